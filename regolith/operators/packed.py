@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regolith.functions.frames import frame
+
 #: Descriptions that follow a comma and belong to the value before it, by field.
 INN_TAILS = ("micronised", "micronized", "hydrated", "anhydrous", "monohydrate", "dihydrate", "trihydrate", "hemihydrate", "hydrate", "purified", "dried")
 NAME_TAILS = ("sugar-free", "sugar free", "junior", "crème", "creme", "tablets", "tablet", "capsules", "oral use", "old pack", "export only", "infantil", "forte", "adult")
 #: Names that hold a delimiter.
-FIXED_NAMES = ("n/a", "cough & cold", "hot & sweet", "day & night", "s.c.", "i/m", "i/v", "f/c tab")
+FIXED_NAMES = ("n/a", "cough & cold", "hot & sweet", "day & night", "i/m", "i/v", "s/c", "p/o", "f/c tab")
 
 _UNIT = r"(?:mg|mcg|µg|ug|g|iu|ml|l|%)"
 _PER_VOLUME = re.compile(r"\s*(?:\d+(?:[.,]\d+)?\s*)?(?:ml|l|dose|doses|actuation|h|hour|day)\b|\s*(?:g|kg)\b", re.I)
@@ -260,7 +262,7 @@ def split_packed(df: DataFrame, key: str = "ord", fields: Sequence[str] = ("inn"
                     places.append(n)
                     items.append(item)
                     sizes.append(len(parts))
-            yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype), "field_name": names, "item_pos": pd.Series(places, dtype="int32"), "item": items, "n_items": pd.Series(sizes, dtype="int32")})
+            yield frame(_key=keys, field_name=names, item_pos=places, item=items, n_items=sizes)
 
     whole = long.where(~packed).select("_key", "field_name", F.lit(1).alias("item_pos"), F.trim("value").alias("item"), F.lit(1).alias("n_items"))
     split = long.where(packed).mapInPandas(cut_all, out)
