@@ -163,6 +163,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
     threshold, margin = threshold or THRESHOLD, margin or MARGIN
     names = reference.select("term_id", "field_name", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("name")).where(F.col("name").isNotNull()).distinct()
     blocks = max(1, -(-names.count() // BLOCK))
+    spread = values.select("field_name", "value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism, "field_name", "value")  # few bytes, much work
     found = None
     for b in range(blocks):
         block = names if blocks == 1 else names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == b)
@@ -179,7 +180,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
                     rows += [(f, v, int(e), float(s)) for e, s in best] or [(f, v, 0, 0.0)]
                 yield frame_of(rows, ["field_name", "value", "term_id", "score"])
 
-        one = values.select("field_name", "value").mapInPandas(look_up, "field_name string, value string, term_id int, score double")
+        one = spread.mapInPandas(look_up, "field_name string, value string, term_id int, score double")
         found = one if found is None else found.unionByName(one)
     ranked = found.groupBy("field_name", "value").agg(F.sort_array(F.collect_list(F.struct("score", "term_id")), asc=False).alias("best"))
     first, second = F.col("best")[0], F.coalesce(F.try_element_at("best", F.lit(2))["score"], F.lit(0.0))

@@ -211,37 +211,32 @@ def link_names(names: DataFrame) -> DataFrame:
     rows = rows.join(parsed, "company_raw", "left")
     bare = F.coalesce("core", F.lit("")) == ""
     rows = rows.withColumn("core", F.when(bare, F.concat(F.lit("#"), F.lower(F.coalesce("company_raw", F.col("name_id").cast("string"))))).otherwise(F.col("core"))).na.fill("", ["extra", "trade"])
-    kinds = rows.select("country", "city", "core", "extra", "trade").distinct().withColumn("node", F.xxhash64("country", "city", "core", "extra", "trade"))
-    kinds = cut(kinds)
+    rows = cut(rows.withColumn("node", F.xxhash64("country", "city", "core", "extra", "trade")))
+    kinds = rows.select("country", "city", "core", "extra", "trade", "node").distinct()
     known, open_ = kinds.where("city <> ''"), kinds.where("city = ''")
     cities = known.select("country", F.col("city").alias("at")).distinct()
     place = F.concat_ws("|", "country", "city")
     # cores without a city stand in every place of their country, and among themselves
     in_places = known.select(place.alias("place"), "core", F.lit(True).alias("firm")).unionByName(open_.join(cities, "country").select(F.concat_ws("|", "country", "at").alias("place"), "core", F.lit(False).alias("firm"))).unionByName(open_.select(F.concat(F.col("country"), F.lit("|")).alias("place"), "core", F.lit(True).alias("firm"))).groupBy("place", "core").agg(F.max("firm").alias("firm"))
+    in_places = cut(in_places)
     near = radius_join(in_places).where(same_core()).distinct()
-    equal = in_places.select("place", F.col("core").alias("core_a"), F.col("core").alias("core_b"), F.lit(0).alias("d"))
-    near = cut(near.unionByName(equal))
-    side = lambda df, s: df.select(F.col("node").alias(f"node_{s}"), F.col("core").alias(f"core_{s}"), F.col("extra").alias(f"extra_{s}"), F.col("trade").alias(f"trade_{s}"), place.alias(f"place_{s}"), F.col("country").alias(f"country_{s}"))
+    near = cut(near.unionByName(in_places.select("place", F.col("core").alias("core_a"), F.col("core").alias("core_b"), F.lit(0).alias("d"))))
+    side = lambda df, s: df.select(F.col("node").alias(f"node_{s}"), F.col("core").alias(f"core_{s}"), F.col("extra").alias(f"extra_{s}"), F.col("trade").alias(f"trade_{s}"), place.alias(f"place_{s}"))
     extra, trade = _fits("extra_a", "extra_b"), _fits("trade_a", "trade_b")
+    edge = (F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # 1. spellings of one city
     pairs = near.withColumnRenamed("place", "place_a").join(side(known, "a"), ["place_a", "core_a"]).join(side(known, "b").withColumnRenamed("place_b", "place_a"), ["place_a", "core_b"]).where("node_a < node_b")
     score = extra + trade - 0.75 * F.col("d")
-    same_city = pairs.where((F.col("d") == 0) | (score >= -1.5) & ~((extra == -1) & (trade == -1))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    first = components(same_city)
-    clusters = cut(known.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("cluster")))
-    # 2. spellings without a city join the best cluster of their country
-    offers = near.where(~F.col("place").endswith("|")).join(side(open_, "a").drop("place_a"), "core_a").join(side(known, "b").withColumnRenamed("place_b", "place"), ["place", "core_b"]).where("country_a = country_b")
+    same_city = pairs.where((F.col("d") == 0) | (score >= -1.5) & ~((extra == -1) & (trade == -1))).select(*edge)
+    # 2. a spelling without a city joins the best spelling of its country that has one, and with it one city's cluster
+    offers = near.where(~F.col("place").endswith("|")).join(side(open_, "a").withColumn("country", F.substring_index("place_a", "|", 1)).drop("place_a"), "core_a").join(side(known, "b").withColumnRenamed("place_b", "place"), ["place", "core_b"]).where(F.col("country") == F.substring_index("place", "|", 1))
     offers = offers.where((extra >= 0) & (trade >= 0)).withColumn("score", 2 * extra + 2 * trade + F.when(F.col("extra_a") == F.col("extra_b"), 1.5).otherwise(0) + F.when(F.col("trade_a") == F.col("trade_b"), 0.5).otherwise(0) - F.col("d"))
-    offers = offers.join(clusters.withColumnRenamed("node", "node_b"), "node_b").groupBy("node_a", "cluster").agg(F.max("score").alias("score"))
-    ranked = offers.groupBy("node_a").agg(F.max_by("cluster", F.struct("score", "cluster")).alias("cluster"), F.max("score").alias("score"))
-    clear = ranked.where("score >= -2").select(F.col("node_a").alias("a"), F.col("cluster").alias("b"))
+    clear = cut(offers.groupBy("node_a").agg(F.max_by("node_b", F.struct("score", "node_b")).alias("node_b"), F.max("score").alias("score")).where("score >= -2").select(*edge))
     # 3. those that fit none link among themselves
-    among = near.where(F.col("place").endswith("|")).withColumnRenamed("place", "place_a").join(side(open_, "a"), ["place_a", "core_a"]).join(side(open_, "b").withColumnRenamed("place_b", "place_a"), ["place_a", "core_b"]).where("node_a < node_b").where((extra >= 0) & (trade >= 0))
-    among = among.join(clear.select(F.col("a").alias("node_a")), "node_a", "left_anti").join(clear.select(F.col("a").alias("node_b")), "node_b", "left_anti").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    second = components(among)
-    left = open_.select("node").join(clear.select(F.col("a").alias("node"), F.col("b").alias("cluster")), "node", "left").join(second, "node", "left")
-    all_clusters = clusters.unionByName(left.select("node", F.coalesce("cluster", "component", "node").alias("cluster")))
-    return rows.withColumn("node", F.xxhash64("country", "city", "core", "extra", "trade")).join(all_clusters, "node").select("name_id", "cluster")
+    lone = open_.join(clear.select(F.col("a").alias("node")), "node", "left_anti")
+    among = near.where(F.col("place").endswith("|")).withColumnRenamed("place", "place_a").join(side(lone, "a"), ["place_a", "core_a"]).join(side(lone, "b").withColumnRenamed("place_b", "place_a"), ["place_a", "core_b"]).where("node_a < node_b").where((extra >= 0) & (trade >= 0)).select(*edge)
+    found = components(same_city.unionByName(clear).unionByName(among))
+    return rows.select("name_id", "node").join(found, "node", "left").select("name_id", F.coalesce("component", "node").alias("cluster"))
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
