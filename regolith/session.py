@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,4 +26,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "8000")  # the driver keeps the text of every plan
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per context, so that they need no installation or shared path.
+
+    The driver serves the archive itself; executors, new ones included, fetch it from the driver.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_regolith_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='regolith-')}/regolith", "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        context._regolith_shipped = True
