@@ -27,7 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on reliable storage and forget how it was made."""
     ensure_checkpoint_dir(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "8000")  # the driver keeps the text of every plan
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # lets the context cleaner drop the shuffle files and broadcasts that only the cut plan referred to
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def ship(spark: SparkSession) -> None:
