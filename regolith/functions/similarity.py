@@ -36,13 +36,13 @@ def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of strings of which the shorter has up to 62 characters, natively."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     letters = F.split(short, "")
-    full = F.shiftleft(F.lit(1).cast("long"), F.length(short)) - F.lit(1)
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(short)) - F.lit(1)
 
     def mask(y: Column) -> Column:
         return F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.length(short), F.lit(1))),
             F.lit(0).cast("long"),
-            lambda m, i: F.when(F.element_at(letters, i) == y, m.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), i - 1))).otherwise(m),
+            lambda m, i: F.when(F.element_at(letters, i) == y, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))).otherwise(m),
         )
 
     def step(s: Column, y: Column) -> Column:

@@ -7,7 +7,8 @@ the delimiters cuts the field.
 
 Defined results: null, empty and blank fields give no rows; blank pieces (doubled or trailing delimiters) have no
 position; an opening quote or parenthesis that is never closed protects nothing; a placeholder such as ``N/A`` is one
-value; repeated rows give repeated results; columns beyond the key and the fields are ignored.
+value; repeated rows give repeated results; rows without a key give none; columns beyond the key and the fields are
+ignored.
 """
 
 from __future__ import annotations
@@ -242,7 +243,7 @@ def split_packed(df: DataFrame, key: str = "ord", fields: Sequence[str] = ("inn"
     if learn and (learn_on := [f for f in fields if rules[f].tails]):
         for r in learned_tails(df, learn_on).collect():
             tails[r.field_name].append(r.tail)
-    long = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))).where(F.col("value").isNotNull() & (F.trim("value") != ""))
+    long = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))).where(F.col("_key").isNotNull() & F.col("value").isNotNull() & (F.trim("value") != ""))
     packed = F.col("value").rlike(r"[;,+/&|\n\t\r]|(?i:\sand\s)")
     out = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("field_name", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("n_items", T.IntegerType())])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from regolith.functions import similarity, text
 from regolith.functions.frames import frame
+from regolith.session import cut
 
 
 def discriminator(tokens: Column) -> Column:
@@ -84,7 +85,7 @@ def group_companies(names: DataFrame, column: str = "company_raw") -> DataFrame:
 
 def group_records(records: DataFrame, query: str) -> DataFrame:
     """Records of every group of which some member matches the query, with their representative."""
-    groups = group_companies(records)
+    groups = cut(group_companies(records))
     hit = with_verdict(groups, F.lit(query), F.col("name")).where("verdict.verdict = 'match'").select("representative").distinct()
     members = groups.join(hit, "representative", "left_semi").select(F.col("name").alias("company_raw"), "representative")
     return records.join(members, "company_raw")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from regolith.functions import similarity, text, vocab
 from regolith.operators import diffing, documents, events, markets, resolve, scoping
 from regolith.operators.snapdiff import record_key
-from regolith.session import table
+from regolith.session import cut, table
 
 AS_OF = "2026-08-31"
 COVERAGE = [("BR", 2026), ("KE", 2024), ("MZ", 2026), ("NG", 2026), ("SN", 2025), ("TZ", 2023)]
@@ -425,7 +425,7 @@ def verified_facts(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     r = register(spark, sf_dir)
-    return scoping.resolve_facts(_facts(spark, sf_dir)[0], r.select("country").where(F.col("country").isNotNull()).distinct(), markets.vocabulary(r))
+    return cut(scoping.resolve_facts(_facts(spark, sf_dir)[0], r.select("country").where(F.col("country").isNotNull()).distinct(), markets.vocabulary(r)))
 
 
 @_query()
