@@ -8,7 +8,7 @@ else it is reported with entry 0.
 The list is read in blocks of ``BLOCK`` names, so an index of bounded size is sent to the executors however long
 the list is; the best two candidates of every block meet in one aggregate.
 
-Defined results: null, blank and placeholder values give no rows; a value equal to a term apart from case is no case
+Defined results: null, blank and placeholder values and rows without a key give no rows; a value equal to a term apart from case is no case
 (``is_term``); of two entries with equal scores neither is accepted unless one matches exactly; duplicate list rows
 count once; an empty list maps every value to 0.
 """
@@ -127,7 +127,7 @@ class NgramIndex:
             for g, n in bag.items():
                 self.postings.setdefault(g, []).append((i, n * self.idf[g] / size))
 
-    def best(self, value: str, keep: int = 8) -> list[tuple[int, float]]:
+    def best(self, value: str, keep: int = 5) -> list[tuple[int, float]]:
         """(entry, score) of the two best entries."""
         scores: dict[int, float] = {}
         for text in readings(value, self.field):
@@ -146,7 +146,7 @@ class NgramIndex:
                 name, entry = self.names[i]
                 a, b = text.replace(" ", ""), name.replace(" ", "")
                 longest = max(len(a), len(b), 1)
-                edit = max(0.0, 1 - osa(a, b, max(3, longest // 2)) / longest)
+                edit = max(0.0, 1 - osa(a, b, max(2, longest // 3)) / longest)
                 score = min(0.99, 0.5 * cosine + 0.5 * edit)
                 if score > scores.get(entry, 0.0):
                     scores[entry] = score
@@ -189,19 +189,19 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
     return ranked.select("field_name", "value", F.when(accepted, first["term_id"]).otherwise(0).cast("int").alias("term_id"), first["score"].alias("score"))
 
 
-def typed_values(records: DataFrame, known: DataFrame | None = None, key: str = "ord") -> DataFrame:
+def typed_values(records: DataFrame, known: DataFrame | None = None, key: str = "ord", fields: tuple[str, ...] = ("form", "route", "inn")) -> DataFrame:
     """(key, field_name, value): every value of form, route and inn, trimmed, without enclosing quotes or placeholders."""
-    split = split_packed(records, key, ("inn", "route"), known).select(key, "field_name", F.col("item").alias("value"))
+    split = split_packed(records, key, tuple(f for f in fields if f != "form"), known).select(key, "field_name", F.col("item").alias("value"))
     whole = records.select(key, F.lit("form").alias("field_name"), F.col("form").alias("value"))
     trimmed = F.trim(F.regexp_replace(F.col("value"), r"^\s+|\s+$", ""))
     bare = F.when(trimmed.rlike(r"""^"[^"]*"$|^'[^']*'$"""), F.trim(trimmed.substr(F.lit(2), F.length(trimmed) - 2))).otherwise(trimmed)
-    return split.unionByName(whole).where(F.col("value").isNotNull()).select(key, "field_name", bare.alias("value")).where(~F.lower("value").isin(*PLACEHOLDERS))
+    return split.unionByName(whole).where(F.col(key).isNotNull() & F.col("value").isNotNull()).select(key, "field_name", bare.alias("value")).where(~F.lower("value").isin(*PLACEHOLDERS))
 
 
-def map_values(records: DataFrame, reference: DataFrame, key: str = "ord") -> DataFrame:
+def map_values(records: DataFrame, reference: DataFrame, key: str = "ord", fields: tuple[str, ...] = ("form", "route", "inn")) -> DataFrame:
     """(key, field_name, value, term_id, is_term): each typed value with its entry, 0 for none."""
     known = reference.select("field_name", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("term"))
-    typed = typed_values(records, known, key).withColumn("low", F.lower("value"))
+    typed = typed_values(records, known, key, fields).withColumn("low", F.lower("value"))
     terms = reference.select("field_name", F.lower("term").alias("low"), "term_id").groupBy("field_name", "low").agg(F.min("term_id").alias("own_id"))
     typed = typed.join(F.broadcast(terms), ["field_name", "low"], "left")
     distinct = typed.where(F.col("own_id").isNull()).select("field_name", F.col("low").alias("value")).distinct()

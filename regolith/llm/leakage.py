@@ -11,7 +11,7 @@ facts, in which every other word differs, never adds up. The best one or two str
 Items are a stated set; they are read in blocks of at most ``BLOCK`` words, so the automaton sent to the executors is
 bounded however many items there are, and every document meets every block.
 
-Defined results: null, empty and blank texts and items give no rows; items shorter than ``LEAST`` words count only where
+Defined results: null, empty and blank texts and items, and those without an id, give no rows; items shorter than ``LEAST`` words count only where
 wholly repeated; items of equal text are all reported; whole documents are read, whatever their length.
 """
 
@@ -181,7 +181,7 @@ def leaks(text: list[str], automaton: SuffixAutomaton, share: float = SHARE) ->
 
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, share, first_word, last_word) of documents that give items away."""
-    sized = items.select("item_id", "text").where(F.col("text").isNotNull()).dropDuplicates(["item_id"])
+    sized = items.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).dropDuplicates(["item_id"])
     blocks: list[list[tuple[int, list[str]]]] = [[]]
     held = 0
     for r in sized.orderBy("item_id").toLocalIterator():
@@ -204,7 +204,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) ->
                     rows += [(doc, *x) for x in leaks(words(text), automaton, share)]
                 yield frame_of(rows, ["doc_id", "item_id", "share", "first_word", "last_word"])
 
-        one = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") > 12)).mapInPandas(stream, "doc_id long, item_id long, share double, first_word int, last_word int")
+        one = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).mapInPandas(stream, "doc_id long, item_id long, share double, first_word int, last_word int")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -233,6 +233,7 @@ def remove_leaks(documents: DataFrame, found: DataFrame) -> DataFrame:
                 rows.append((doc, removed, "".join(c for c, g in zip(text, gone) if not g)))
             yield frame_of(rows, ["doc_id", "words_removed", "clean"])
 
-    touched = documents.select("doc_id", "text").join(spans, "doc_id").mapInPandas(clean, "doc_id long, words_removed int, clean string")
-    rest = documents.select("doc_id", "text").join(spans, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("words_removed"), F.col("text").alias("clean"))
+    documents = documents.select("doc_id", "text")
+    touched = documents.where(F.col("text").isNotNull()).join(spans, "doc_id").mapInPandas(clean, "doc_id long, words_removed int, clean string")
+    rest = documents.join(spans, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("words_removed"), F.col("text").alias("clean"))
     return touched.unionByName(rest)

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regolith.functions.frames import frame
 from regolith.llm import canonical, mojibake, names
-from regolith.operators.packed import split_packed
+from regolith.operators.packed import osa
 from regolith.session import cut
 
 #: The kind each form of the list belongs to.
@@ -44,7 +45,7 @@ KINDS = {
 }
 _STRENGTH = re.compile(r"(\d+(?:[.,  ]\d{3})*(?:[.,]\d+)?)\s*(mg|mcg|µg|μg|ug|g|iu|%)(?![a-z])\.?(?:\s*/\s*(\d+(?:[.,]\d+)?)?\s*(ml|l)(?![a-z])\.?)?", re.I)
 #: Weights of the rules, the ADMM step and the number of rounds.
-EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, STEP, ROUNDS = 4.0, 0.6, 6.0, 1.0, 2.0, 8
+EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, STEP, ROUNDS = 4.0, 0.6, 6.0, 1.0, 8.0, 6
 
 
 def number(text: str) -> float | None:
@@ -83,6 +84,9 @@ class ListingParser:
     def __init__(self, terms: dict[str, list[tuple[int, str]]]):
         self.index = {f: canonical.NgramIndex(terms.get(f, []), f) for f in ("inn", "form")}
         self.seen: dict[tuple[str, str], tuple[int, float]] = {}
+        self.form_words: dict[str, bool] = {}
+        written = {w for _, name in terms.get("form", []) for w in re.findall(r"[a-z0-9]+", canonical.fold(name))}
+        self.vocabulary = sorted(written | {k for k in canonical.WORDS["form"] if len(k) > 1})
 
     def best(self, field: str, text: str) -> tuple[int, float]:
         key = (field, text)
@@ -93,10 +97,33 @@ class ListingParser:
             self.seen[key] = found[0] if found else (0, 0.0)
         return self.seen[key]
 
+    def form_word(self, word: str) -> bool:
+        """Whether a word is one of the words forms are made of, or nearly."""
+        if (known := self.form_words.get(word)) is None:
+            w = re.sub(r"[^a-z0-9]", "", canonical.fold(word))
+            most = 0 if len(w) < 4 else 1 if len(w) < 7 else 2
+            known = bool(w) and any(osa(w, v, most) <= most for v in self.vocabulary if abs(len(v) - len(w)) <= most)
+            if len(self.form_words) > 300_000:
+                self.form_words.clear()
+            self.form_words[word] = known
+        return known
+
     def chunk(self, words: list[str]) -> tuple[str, int, float]:
-        """The cut of a chunk's words into an ingredient and a form, before or after it, that both fit best: (ingredient words, form, score)."""
-        best = ("", 0, -1.0)
+        """The cut of a chunk's words into an ingredient and a form, before or after it, that both fit best: (ingredient words, form, score).
+
+        Where the words of forms stand together at one end, the cut is there; all cuts are tried only where that fits badly.
+        """
+        marks = [self.form_word(w) for w in words]
         n = len(words)
+        ahead = next((i for i, m in enumerate(marks) if not m), n)
+        behind = next((i for i, m in enumerate(reversed(marks)) if not m), n)
+        for form, inn in ((words[:ahead], words[ahead:]), (words[n - behind :], words[: n - behind])):
+            if len(form) == sum(marks):
+                f, fs = self.best("form", " ".join(form)) if form else (0, 0.0)
+                i, s = self.best("inn", " ".join(inn)) if inn else (0, 0.0)
+                if (not form or fs >= 0.8) and (not inn or s >= 0.7):
+                    return " ".join(inn), f, (fs - 0.45) * len("".join(form)) * bool(form) + (s - 0.45) * len("".join(inn)) * bool(inn)
+        best = ("", 0, -1.0)
         for k in range(n + 1):
             for form, inn in ((words[:k], words[k:]), (words[n - k :], words[: n - k])):
                 f, fs = self.best("form", " ".join(form)) if form else (0, 0.0)
@@ -150,19 +177,24 @@ def _companies(raw: DataFrame, restored: DataFrame | None = None) -> DataFrame:
     return parsed.where(F.col("core") != "")
 
 
-def record_signatures(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """(ord, ing, str, kind, core, extra, trade); ing and str are '' and kind is '' where missing."""
-    mapped = canonical.map_values(records, reference)
-    ing = mapped.where(F.col("field_name") == "inn").select("ord", F.when(F.col("term_id") > 0, F.col("term_id").cast("string")).otherwise(F.concat(F.lit("x:"), F.lower("value"))).alias("e")).groupBy("ord").agg(F.array_join(F.sort_array(F.collect_set("e")), "+").alias("ing"))
-    kind = mapped.where((F.col("field_name") == "form") & (F.col("term_id") > 0)).join(_kinds(reference), "term_id").groupBy("ord").agg(F.min("kind").alias("kind"))
+@F.pandas_udf(T.StringType())
+def _strengths(texts: pd.Series) -> pd.Series:
+    return pd.Series(["+".join(sorted(strengths(v))) if isinstance(v, str) else "" for v in texts], dtype=object)
 
-    def strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield frame(ord=batch["ord"], str=["+".join(sorted(strengths(v))) for v in batch["strength"]])
 
-    strength = records.where(F.col("strength").isNotNull()).select("ord", "strength").mapInPandas(strong, "ord long, str string")
+_SIGNATURE = ("ing", "str", "kind", "core", "extra", "trade")
+
+
+def record_signatures(records: DataFrame, reference: DataFrame) -> DataFrame:
+    """(ord, ing, str, kind, core, extra, trade); ing and str are '' and kind is '' where missing."""
+    records = records.select("ord", "inn", "strength", "form", "route", "company_raw").where(F.col("ord").isNotNull())
+    mapped = canonical.map_values(records, reference, fields=("form", "inn")).join(_kinds(reference), "term_id", "left")
+    entry = F.when(F.col("field_name") == "inn", F.when(F.col("term_id") > 0, F.col("term_id").cast("string")).otherwise(F.concat(F.lit("x:"), F.lower("value"))))
+    kind = F.when((F.col("field_name") == "form") & (F.col("term_id") > 0), F.col("kind"))
+    known = mapped.groupBy("ord").agg(F.array_join(F.sort_array(F.collect_set(entry)), "+").alias("ing"), F.min(kind).alias("kind"))
     companies = _companies(records, mojibake.restore_text(records.select("company_raw").distinct(), key="company_raw", fields=("company_raw",)).select("company_raw", "restored").distinct())
-    return records.select("ord", "company_raw").join(companies, "company_raw").join(ing, "ord", "left").join(strength, "ord", "left").join(kind, "ord", "left").select("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in ("ing", "str", "kind", "core", "extra", "trade")])
+    joined = records.select("ord", "company_raw", _strengths("strength").alias("str")).join(cut(companies), "company_raw").join(known, "ord", "left")
+    return joined.select("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in _SIGNATURE])
 
 
 def listing_signatures(listings: DataFrame, reference: DataFrame) -> DataFrame:
@@ -178,89 +210,89 @@ def listing_signatures(listings: DataFrame, reference: DataFrame) -> DataFrame:
             got = [parser.parse(t) for t in batch["generic_name"]]
             yield frame(listing_id=batch["listing_id"], ing=["+".join(g[0]) for g in got], str=["+".join(sorted(g[1])) for g in got], term_id=[g[2] for g in got], company_raw=batch["company_raw"])
 
-    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull()).repartition(max(1, listings.sparkSession.sparkContext.defaultParallelism * 2))
+    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull()).repartition(max(1, listings.sparkSession.sparkContext.defaultParallelism * 2))
     parsed = cut(flat.mapInPandas(parse, "listing_id long, ing string, str string, term_id int, company_raw string"))
     return parsed.join(_kinds(reference), "term_id", "left").join(_companies(parsed), "company_raw").select("listing_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("ing", "str", "kind", "core", "extra", "trade")])
 
 
-_SIGNATURE = ("ing", "str", "kind", "core", "extra", "trade")
-
-
 def _classes(signatures: DataFrame, tag: str) -> DataFrame:
     """Distinct signatures with their class number, columns tagged."""
     return signatures.select(*_SIGNATURE).distinct().select(F.xxhash64(*_SIGNATURE).alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in _SIGNATURE])
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Class pairs (r, c) whose known fields agree and whose companies may be one, with the similarity."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(5), F.length(c) - 1))), lambda i: F.concat(F.lit("^"), F.col(c)).substr(i, F.lit(3))))
-    left, right = left.withColumn("g", grams("core_r")), right.withColumn("g", grams("core_c"))
-    fits = ((F.col("ing_r") == F.col("ing_c")) | (F.col("ing_r") == "") | (F.col("ing_c") == "")) & ((F.col("str_r") == F.col("str_c")) | (F.col("str_r") == "") | (F.col("str_c") == "")) & ((F.col("kind_r") == F.col("kind_c")) | (F.col("kind_r") == "") | (F.col("kind_c") == ""))
+    """Class pairs (r, c) whose known fields agree and whose companies may be one, with the similarity.
+
+    Fields travel as hashes, 0 where missing. Where a field is missing, three places of the company's core stand in for
+    it in the join key: its first two letters, the next three and the last three.
+    """
+    for side, tag in ((0, "r"), (1, "c")):
+        own = (left, right)[side]
+        own = own.withColumns({f"{x}_{tag}": F.when(F.col(f"{x}_{tag}") == "", F.lit(0).cast("long")).otherwise(F.xxhash64(f"{x}_{tag}")) for x in ("ing", "str", "kind")})
+        left, right = (own, right) if tag == "r" else (left, own)
+    grams = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(c, 1, 2)), F.concat(F.lit("+"), F.substring(c, 3, 3)), F.concat(F.lit("$"), F.substring(c, -3, 3))))
+    # one equi-join: every class offers a key for each way in which it may meet the other side
+    has = lambda x, t: F.col(f"{x}_{t}") != 0
+    keyed = lambda tag, c, other: F.when(c, F.transform(grams(f"core_{other}"), lambda g: F.xxhash64(F.lit(tag), F.col(f"{'ing' if tag[0] == 'i' else 'str'}_{other}"), g))).otherwise(F.array().cast("array<long>"))
+    full = lambda t: F.when(has("ing", t) & has("str", t), F.array(F.xxhash64(F.lit("f"), f"ing_{t}", f"str_{t}"))).otherwise(F.array().cast("array<long>"))
+    left_keys = F.concat(full("r"), keyed("i1", has("ing", "r") & ~has("str", "r"), "r"), keyed("i2", has("ing", "r"), "r"), keyed("s1", has("str", "r") & ~has("ing", "r"), "r"), keyed("s2", has("str", "r"), "r"))
+    right_keys = F.concat(full("c"), keyed("i1", has("ing", "c"), "c"), keyed("i2", has("ing", "c") & ~has("str", "c"), "c"), keyed("s1", has("str", "c"), "c"), keyed("s2", has("str", "c") & ~has("ing", "c"), "c"))
+    left, right = left.withColumn("key", F.explode(left_keys)), right.withColumn("key", F.explode(right_keys))
+    fits = F.lit(True)
+    for x in ("ing", "str", "kind"):
+        fits = fits & ((F.col(f"{x}_r") == F.col(f"{x}_c")) | ~has(x, "r") | ~has(x, "c"))
     least = F.least(F.length("core_r"), F.length("core_c"))
     d = F.levenshtein("core_r", "core_c")
     prefix = (F.startswith(F.col("core_r"), F.col("core_c")) | F.startswith(F.col("core_c"), F.col("core_r"))) & (least >= 5)
     cut_short = F.levenshtein(F.expr("left(core_r, least(length(core_r), length(core_c)))"), F.expr("left(core_c, least(length(core_r), length(core_c)))")) <= 1
     extra, trade = names._fits("extra_r", "extra_c"), names._fits("trade_r", "trade_c")
     company = F.when((extra < 0) | (trade < 0), 0.0).when(prefix & (F.abs(F.length("core_r") - F.length("core_c")) <= 4), 1.0).when((d <= 1) & (least >= 4), 1.0).when((d <= 2) & (least >= 6), 0.95).when((d == 3) & (least >= 9) & (F.substring("core_r", 1, 1) == F.substring("core_c", 1, 1)), 0.8).when(cut_short & (least >= 5), 0.85).otherwise(0.0) - F.when(F.col("extra_r") == F.col("extra_c"), 0.0).otherwise(0.1) - F.when(F.col("trade_r") == F.col("trade_c"), 0.0).otherwise(0.05)
-    passes = [
-        left.where("ing_r <> '' and str_r <> ''").join(right.where("ing_c <> '' and str_c <> ''").drop("g"), (F.col("ing_r") == F.col("ing_c")) & (F.col("str_r") == F.col("str_c"))).drop("g"),
-    ]
-    lg, rg = left.withColumn("gram", F.explode("g")).drop("g"), right.withColumn("gram_c", F.explode("g")).drop("g")
-    same = F.col("gram") == F.col("gram_c")
-    ing = F.col("ing_r") == F.col("ing_c")
-    strong = F.col("str_r") == F.col("str_c")
-    passes.append(lg.where("ing_r <> '' and str_r = ''").join(rg.where("ing_c <> ''"), same & ing))
-    passes.append(lg.where("ing_r <> '' and str_r <> ''").join(rg.where("ing_c <> '' and str_c = ''"), same & ing))
-    passes.append(lg.where("ing_r = '' and str_r <> ''").join(rg.where("str_c <> ''"), same & strong))
-    passes.append(lg.where("ing_r <> '' and str_r <> ''").join(rg.where("ing_c = '' and str_c <> ''"), same & strong))
-    out = None
-    for p in passes:
-        p = p.where(fits).withColumn("company", company).where("company >= 0.6").select("r", "c", "company", *[f"{x}_{t}" for x in ("ing", "str", "kind") for t in "rc"])
-        out = p if out is None else out.unionByName(p)
-    known = lambda x, miss: F.when((F.col(f"{x}_r") == "") | (F.col(f"{x}_c") == ""), miss).otherwise(1.0)
+    out = left.join(right, "key").where(fits).withColumn("company", company).where("company >= 0.6").select("r", "c", "company", *[f"{x}_{t}" for x in ("ing", "str", "kind") for t in "rc"])
+    known = lambda x, miss: F.when(~has(x, "r") | ~has(x, "c"), miss).otherwise(1.0)
     score = known("ing", 0.8) + known("str", 0.85) + known("kind", 0.95) + F.col("company") - 3
     return out.dropDuplicates(["r", "c"]).withColumn("sim", F.greatest(F.lit(0.0), score))
 
 
 def infer(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(r, c, confidence): consensus ADMM over the rules."""
-    as_key = lambda t: F.concat_ws("|", *[f"{x}_{t}" for x in ("ing", "str", "kind")])
-    pairs = pairs.select("r", "c", "sim", as_key("r").alias("kr"), as_key("c").alias("kc"))
-    # a side's competing products: how many candidates of one record share a product, so that a product counts once
+    """(r, c, confidence): consensus ADMM over the rules.
+
+    One row holds a variable z and its four copies, by their scaled duals: evidence and prior, which have one member each and
+    are solved in the row, and the exclusivity of its record and of its listing, which need the sum over their members.
+    """
+    # what a side lacks it takes from the other: candidates that differ in that are different products
+    taken = lambda own, other: F.xxhash64(*[F.when(F.col(f"{x}_{own}") == 0, F.col(f"{x}_{other}")).otherwise(F.lit(0).cast("long")) for x in ("ing", "str", "kind")])
+    pairs = pairs.select("r", "c", "sim", taken("c", "r").alias("kr"), taken("r", "c").alias("kc"))
+    # of the candidates of one record that are one product, each counts its part, so that a product counts once
     pairs = pairs.join(pairs.groupBy("r", "kc").agg(F.count("*").alias("n_r")), ["r", "kc"]).join(pairs.groupBy("c", "kr").agg(F.count("*").alias("n_c")), ["c", "kr"])
-    var = F.xxhash64("r", "c")
-    factor = lambda kind, key, a, b, w: F.struct(F.lit(kind).alias("kind"), key.alias("f"), a.alias("a"), F.lit(b).alias("b") if not hasattr(b, "alias") else b.alias("b"), F.lit(w).alias("w"))
-    one = F.lit(1.0)
-    # every factor is w * max(0, sum(a x) - b)
-    copies = pairs.withColumn("v", var).select(
-        "v",
-        F.inline(
-            F.array(
-                factor("e", F.xxhash64(F.lit("e"), "r", "c"), -one, -F.col("sim"), EVIDENCE),
-                factor("p", F.xxhash64(F.lit("p"), "r", "c"), one, 0.0, PRIOR),
-                factor("x", F.xxhash64(F.lit("x"), "r"), 1.0 / F.col("n_r"), 1.0, EXCLUSIVE),
-                factor("x", F.xxhash64(F.lit("y"), "c"), 1.0 / F.col("n_c"), 1.0, EXCLUSIVE),
-            )
-        ),
-    )
-    # alike: mean over the group minus x, a hinge of its own for each member
-    group = pairs.select(var.alias("v"), F.xxhash64(F.lit("t"), "r", "kc").alias("g"))
-    copies = cut(copies.withColumn("u", F.lit(0.0)))
-    z = pairs.select(var.alias("v"), F.col("sim").alias("z"))
+    state = cut(pairs.select("r", "c", "kc", "sim", (1.0 / F.col("n_r")).alias("a_r"), (1.0 / F.col("n_c")).alias("a_c"), F.col("sim").alias("z"), *[F.lit(0.0).alias(u) for u in ("u_e", "u_p", "u_r", "u_c")]))
+
+    def hinge(q, over, weight, a, aa):
+        """The step of one member of w * max(0, sum - b): where the hinge is flat stay, where it is steep move by w, else to the bend."""
+        move = F.when(over <= 0, 0.0).when(over > F.lit(weight / STEP) * aa, F.lit(weight / STEP)).otherwise(over / aa)
+        return q - move * a
+
     for n in range(rounds):
-        own = copies.join(z, "v").withColumn("q", F.col("z") - F.col("u"))
-        sums = own.groupBy("f").agg(F.sum(F.col("a") * F.col("q")).alias("s"), F.sum(F.col("a") * F.col("a")).alias("aa"))
-        own = own.join(sums, "f")
-        over = F.col("s") - F.col("b")
-        move = F.when(over <= 0, 0.0).when(over - F.col("w") / STEP * F.col("aa") > 0, F.col("w") / STEP).otherwise(over / F.col("aa"))
-        copies = own.withColumn("y", F.col("q") - move * F.col("a")).select("v", "kind", "f", "a", "b", "w", (F.col("u") + F.col("y") - F.col("z")).alias("u"), "y")
-        z = copies.groupBy("v").agg(F.avg(F.col("y") + F.col("u")).alias("z"))
-        mean = z.join(group, "v").groupBy("g").agg(F.avg("z").alias("m"))
-        z = z.join(group, "v").join(mean, "g").select("v", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("z") + ALIKE / (4 * STEP) * (F.col("m") - F.col("z")))).alias("z"))
-        copies = copies.drop("y")
-        if n % 2:
-            copies, z = cut(copies), cut(z)
-    return pairs.select("r", "c", var.alias("v")).join(z, "v").select("r", "c", F.col("z").alias("confidence"))
+        q = {u: F.col("z") - F.col(f"u_{u}") for u in "eprc"}
+        for key in "rc":
+            sums = state.groupBy(key).agg(F.sum(F.col(f"a_{key}") * q[key]).alias(f"s_{key}"), F.sum(F.col(f"a_{key}") * F.col(f"a_{key}")).alias(f"aa_{key}"))
+            state = state.join(sums, key)
+        y = {
+            "e": hinge(q["e"], F.col("sim") - q["e"], EVIDENCE, F.lit(-1.0), F.lit(1.0)),
+            "p": hinge(q["p"], q["p"], PRIOR, F.lit(1.0), F.lit(1.0)),
+            "r": hinge(q["r"], F.col("s_r") - 1.0, EXCLUSIVE, F.col("a_r"), F.col("aa_r")),
+            "c": hinge(q["c"], F.col("s_c") - 1.0, EXCLUSIVE, F.col("a_c"), F.col("aa_c")),
+        }
+        state = state.withColumns({f"y_{k}": v for k, v in y.items()})
+        state = state.withColumns({f"u_{k}": F.col(f"u_{k}") + F.col(f"y_{k}") - F.col("z") for k in y})
+        mean = (F.col("y_e") + F.col("y_p") + F.col("y_r") + F.col("y_c") + F.col("u_e") + F.col("u_p") + F.col("u_r") + F.col("u_c")) / 4.0
+        state = state.withColumn("z", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
+        if n % 2:  # transitivity: pulls the candidates of one record that are one product to their mean
+            alike = state.groupBy("r", "kc").agg(F.avg("z").alias("m"))
+            state = state.join(alike, ["r", "kc"]).withColumn("z", F.col("z") + ALIKE / (2 * STEP) * (F.col("m") - F.col("z")))
+            state = cut(state.select("r", "c", "kc", "sim", "a_r", "a_c", "z", "u_e", "u_p", "u_r", "u_c"))
+        else:
+            state = state.select("r", "c", "kc", "sim", "a_r", "a_c", "z", "u_e", "u_p", "u_r", "u_c")
+    return state.select("r", "c", F.col("z").alias("confidence"))
 
 
 def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -12,7 +12,7 @@ counted tokens, so at most 1/``share`` words and 6/``share`` trigrams qualify at
 
 Defined results: null, empty and pure-ASCII values are no cases; a value with U+FFFD or a C1 control character is always
 a case, its lost characters restored to the likeliest ones (left as U+FFFD where the model knows none); HTML entities,
-typing errors and dropped accents are no cases; repeated rows give repeated results.
+typing errors and dropped accents are no cases; repeated rows give repeated results; rows without a key give none.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def restore_text(df: DataFrame, key: str = "ord", fields: Sequence[str] = ("comp
     """Damaged values: (key, field_name, value, restored, fully_restored)."""
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(corpus_model(df, fields, share))
-    long = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))).where(F.col("value").rlike(r"[^\x00-\x7F]"))
+    long = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))).where(F.col("_key").isNotNull() & F.col("value").rlike(r"[^\x00-\x7F]"))
     out = T.StructType([T.StructField("_key", df.schema[key].dataType), *[T.StructField(c, T.StringType()) for c in ("field_name", "value", "restored")], T.StructField("fully_restored", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,13 +10,14 @@ pruned by the lower bound |d(x, p) - d(y, p)| over all pivots before the exact m
 Spellings without a city take part in every place of their country, and join the one cluster that fits best.
 
 Defined results: null or blank names, and names of generic words only, link to nothing but their exact equals in the
-same place; repeated rows (same spelling, other name_id) are linked like any others; a name_id listed twice counts once.
+same place; repeated rows (same spelling, other name_id) are linked like any others; a name_id listed twice counts once, a null one not at all.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,23 @@ TRADES = {
 #: Words that many companies add to their name.
 EXTRAS = frozenset("summit cobalt delta crescent baobab prime lotus maple vita alpine savanna nova meridio harbour orient ivory juniper zenith coral amber".split())
 _GENERIC = {**{w: "" for w in LEGAL | PLACES}, **{w: "x:" + w for w in EXTRAS}, **{w: "t:" + g if g else "" for w, g in TRADES.items()}}
-_LONG = [w for w in _GENERIC if len(w) >= 5]
+#: Long generic words, those that companies add to their names first, as an abbreviation stands for them before legal forms.
+_LONG = sorted((w for w in _GENERIC if len(w) >= 5), key=lambda w: (w not in EXTRAS, w not in TRADES))
+
+
+def _deletions(word: str, most: int) -> set[str]:
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+#: The long words by what is left of them after up to two deletions: two words within two edits share such a rest.
+_RESTS: dict[str, list[str]] = {}
+for _w in _LONG:
+    for _rest in _deletions(_w, 2):
+        _RESTS.setdefault(_rest, []).append(_w)
 
 
 def damerau(a: str, b: str, most: int = RADIUS) -> int:
@@ -76,6 +93,7 @@ def damerau(a: str, b: str, most: int = RADIUS) -> int:
     return d[-1][-1]
 
 
+@lru_cache(maxsize=200_000)
 def _generic(word: str, short: bool) -> str | None:
     """The group of a generic word ('' for legal forms and places), by spelling, abbreviation or a near miss; else None."""
     if word in _GENERIC:
@@ -86,9 +104,10 @@ def _generic(word: str, short: bool) -> str | None:
                 return _GENERIC[w]
     if len(word) >= 5:
         most = 1 if len(word) <= 6 else 2
-        for w in _LONG:
-            if abs(len(w) - len(word)) <= most and osa(word, w, most) <= most:
-                return _GENERIC[w]
+        near = {w for rest in _deletions(word, most) for w in _RESTS.get(rest, ()) if abs(len(w) - len(word)) <= most}
+        found = [(d, w) for w in near if (d := osa(word, w, most)) <= most]
+        if found:
+            return _GENERIC[min(found)[1]]
     return None
 
 
@@ -203,7 +222,7 @@ def _fits(a: str, b: str):
 
 def link_names(names: DataFrame) -> DataFrame:
     """(name_id, cluster): spellings of one company share a cluster. ``names`` is (name_id, company_raw, country, city, source_id)."""
-    rows = names.dropDuplicates(["name_id"])
+    rows = names.select("name_id", "company_raw", "country", "city", "source_id").where(F.col("name_id").isNotNull()).dropDuplicates(["name_id"])
     home = rows.where(F.col("country").isNotNull() & (F.col("country") != "")).groupBy("source_id", "country").agg(F.count("*").alias("n")).groupBy("source_id").agg(F.max_by("country", F.struct("n", "country")).alias("home"))
     city = F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce("city", F.lit("")))), "áàâãäéèêëíìîïóòôõöúùûüç", "aaaaaeeeeiiiiooooouuuuc"), "[^a-z]", "")
     rows = rows.join(F.broadcast(home), "source_id", "left").select("name_id", "company_raw", F.upper(F.coalesce(F.nullif(F.trim("country"), F.lit("")), "home", F.lit("?"))).alias("country"), F.substring(city, 1, 4).alias("city"))
