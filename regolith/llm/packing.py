@@ -7,13 +7,14 @@ Their free spaces are bits of one integer: the best fit for an item of s tokens
 bin to close first, when all are open and none fits, is the lowest set bit of all, the fullest. What is open at the end of
 a shard is packed once more, as items, together with the open bins of neighbouring shards.
 
-Defined results: null, empty and tokenless texts have no container; a text of exactly the capacity fills one; equal texts
+Defined results: null, empty and tokenless texts, and those without an id, have no container; a text of exactly the capacity fills one; equal texts
 are packed each; a capacity below one token is an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import base64
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from regolith.functions.frames import frame, frame_of
 from regolith.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OPEN, BINS, NEIGHBOURS, ITEMS = 128, 2000, 32, 200_000
 
 
@@ -58,22 +61,36 @@ def best_fit(sizes: Iterable[int], capacity: int, most_open: int = OPEN) -> tupl
     return bins, {b: free for free, own in by_free.items() for b in own}
 
 
+def counter(tokenizer: str, pattern: str = PATTERN) -> Callable[[str], int]:
+    """The number of tokens of a text, special tokens' strings being ordinary text; the file's kind is told by its ending."""
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(own.encode_ordinary(text))
+    if tokenizer.endswith(".model"):
+        import sentencepiece
+
+        piece = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        return lambda text: len(piece.encode(text))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return lambda text: len(t.encode(text, add_special_tokens=False).ids)
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, n_tokens) of documents with at least one token."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        size = counter(tokenizer)
         for batch in batches:
-            ids, sizes = list(batch["doc_id"]), []
-            texts = list(batch["text"])
-            for i in range(0, len(texts), 64):
-                sizes += [len(e.ids) for e in t.encode_batch(texts[i : i + 64], add_special_tokens=False)]
-            yield frame(doc_id=ids, n_tokens=sizes)
+            yield frame(doc_id=batch["doc_id"], n_tokens=[size(t) for t in batch["text"]])
 
-    return documents.where(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens int").where("n_tokens > 0")
+    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens int").where("n_tokens > 0")
 
 
 def pack(documents: DataFrame, runs: DataFrame, tokenizer: str = TOKENIZER, most_open: int = OPEN) -> DataFrame:
