@@ -29,6 +29,7 @@ from regolith.functions.frames import frame_of
 
 SEED, GAP, DROP, DENSE, SHARE, LEAST, BLOCK = 3, 1.6, 6.0, 0.6, 0.3, 6, 200_000
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -37,7 +38,7 @@ def words(text: str | None) -> list[str]:
         return []
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     return _WORDS.findall(text)
 
 
