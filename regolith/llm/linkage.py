@@ -29,11 +29,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from regolith.functions.frames import frame
+from regolith.functions.frames import frame_of
 from regolith.llm import canonical, mojibake, names
-from regolith.operators.packed import osa
+from regolith.operators.packed import FIELD_RULES, Segmenter, osa
 from regolith.session import cut
 
 #: The kind each form of the list belongs to.
@@ -81,11 +80,11 @@ def strengths(text: str | None) -> list[str]:
 class ListingParser:
     """Finds ingredients, strengths and the form in one free text, in any order."""
 
-    def __init__(self, terms: dict[str, list[tuple[int, str]]]):
-        self.index = {f: canonical.NgramIndex(terms.get(f, []), f) for f in ("inn", "form")}
+    def __init__(self, index: dict[str, canonical.NgramIndex], forms: list[tuple[int, str]]):
+        self.index = index
         self.seen: dict[tuple[str, str], tuple[int, float]] = {}
         self.form_words: dict[str, bool] = {}
-        written = {w for _, name in terms.get("form", []) for w in re.findall(r"[a-z0-9]+", canonical.fold(name))}
+        written = {w for _, name in forms for w in re.findall(r"[a-z0-9]+", canonical.fold(name))}
         self.vocabulary = sorted(written | {k for k in canonical.WORDS["form"] if len(k) > 1})
 
     def best(self, field: str, text: str) -> tuple[int, float]:
@@ -158,61 +157,125 @@ class ListingParser:
         return sorted(set(ingredients)), strong, form
 
 
-def _kinds(reference: DataFrame):
-    kinds = reference.where(F.col("field_name") == "form").select("term_id", F.lower("term").alias("term"))
-    pairs = [F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind")) for t, k in KINDS.items()]
-    table = reference.sparkSession.range(1).select(F.inline(F.array(*pairs)))
-    return F.broadcast(kinds.join(table, "term").groupBy("term_id").agg(F.first("kind").alias("kind")))
+def _names_of(reference: DataFrame) -> dict[str, list[tuple[int, str]]]:
+    """Terms and aliases of ingredients and forms: a fixed list, refused beyond the block size the mapping works with."""
+    flat = reference.where(F.col("field_name").isin("inn", "form")).select("term_id", "field_name", F.lower("term").alias("term"), F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("name")).where(F.col("name").isNotNull())
+    rows = flat.distinct().limit(canonical.BLOCK + 1).collect()
+    if len(rows) > canonical.BLOCK:
+        raise ValueError("the reference list is too long to send to every worker")
+    out: dict[str, list[tuple[int, str]]] = {"inn": [], "form": [], "term": [], "kind": []}
+    for r in rows:
+        out[r.field_name].append((r.term_id, r.name))
+        if r.term == r.name.lower():
+            out["term"].append((r.term_id, f"{r.field_name}|{r.term}"))
+            if r.field_name == "form" and r.term in KINDS:
+                out["kind"].append((r.term_id, KINDS[r.term]))
+    return out
+
 
+class Signer:
+    """Reduces rows of either side to signatures; built once per task, what it has seen is kept."""
 
-def _companies(raw: DataFrame, restored: DataFrame | None = None) -> DataFrame:
-    """(company_raw, core, extra, trade) of distinct names, damaged text restored first."""
-    distinct = raw.select("company_raw").where(F.col("company_raw").isNotNull() & ~F.lower(F.trim("company_raw")).isin(*canonical.PLACEHOLDERS)).distinct()
-    if restored is not None:
-        distinct = distinct.join(restored, "company_raw", "left").select("company_raw", F.coalesce("restored", "company_raw").alias("clean"))
-        parsed = names.parsed_names(distinct, "clean")
-        parsed = distinct.join(parsed, "clean").drop("clean")
-    else:
-        parsed = names.parsed_names(distinct)
-    return parsed.where(F.col("core") != "")
+    def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple[dict[str, int], dict[str, int]] | None):
+        self.index = {f: canonical.NgramIndex(names_of[f], f) for f in ("inn", "form")}
+        self.terms = {key: entry for entry, key in sorted(names_of["term"], reverse=True)}
+        self.kinds = dict(names_of["kind"])
+        self.segments = Segmenter(FIELD_RULES["inn"], [n.lower() for _, n in names_of["inn"]])
+        self.parser = ListingParser(self.index, names_of["form"])
+        self.channel = mojibake.Channel(*model) if model else None
+        self.seen: dict[tuple[str, str], object] = {}
 
+    def kept(self, what: str, value: str, make):
+        """``make(value)``, once for equal values."""
+        key = (what, value)
+        if key not in self.seen:
+            if len(self.seen) > 400_000:
+                self.seen.clear()
+            self.seen[key] = make(value)
+        return self.seen[key]
 
-@F.pandas_udf(T.StringType())
-def _strengths(texts: pd.Series) -> pd.Series:
-    return pd.Series(["+".join(sorted(strengths(v))) if isinstance(v, str) else "" for v in texts], dtype=object)
+    def entry(self, field: str, value: str) -> int:
+        """The list entry a value means, 0 for none."""
+        low = value.lower()
+        if (own := self.terms.get(f"{field}|{low}")) is not None:
+            return own
+        best = self.index[field].best(low)
+        lead = best[0][1] - (best[1][1] if len(best) > 1 else 0.0) if best else 0.0
+        return best[0][0] if best and best[0][1] >= canonical.THRESHOLD[field] and lead >= canonical.MARGIN[field] else 0
+
+    @staticmethod
+    def bare(value: str) -> str:
+        v = value.strip()
+        return v[1:-1].strip() if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+
+    def ingredients(self, text: str) -> str:
+        found = set()
+        for item in self.segments.cut(text):
+            v = self.bare(item)
+            if v.lower() not in canonical.PLACEHOLDERS:
+                e = self.kept("inn", v.lower(), lambda x: self.entry("inn", x))
+                found.add(str(e) if e else f"x:{v.lower()}")
+        return "+".join(sorted(found))
+
+    def kind(self, text: str) -> str:
+        v = self.bare(text)
+        return "" if v.lower() in canonical.PLACEHOLDERS else self.kinds.get(self.entry("form", v), "")
+
+    def company(self, name: str) -> tuple[str, str, str]:
+        if name.strip().lower() in canonical.PLACEHOLDERS:
+            return "", "", ""
+        if self.channel and not name.isascii():
+            parts = mojibake._SPLIT.split(name)
+            name = "".join(p if i % 2 or p.isascii() else self.channel.restore(p)[0] for i, p in enumerate(parts))
+        return names.parse(name)
 
 
 _SIGNATURE = ("ing", "str", "kind", "core", "extra", "trade")
+_SIGNED = ", ".join(f"{c} string" for c in _SIGNATURE)
 
 
 def record_signatures(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """(ord, ing, str, kind, core, extra, trade); ing and str are '' and kind is '' where missing."""
-    records = records.select("ord", "inn", "strength", "form", "route", "company_raw").where(F.col("ord").isNotNull())
-    mapped = canonical.map_values(records, reference, fields=("form", "inn")).join(_kinds(reference), "term_id", "left")
-    entry = F.when(F.col("field_name") == "inn", F.when(F.col("term_id") > 0, F.col("term_id").cast("string")).otherwise(F.concat(F.lit("x:"), F.lower("value"))))
-    kind = F.when((F.col("field_name") == "form") & (F.col("term_id") > 0), F.col("kind"))
-    known = mapped.groupBy("ord").agg(F.array_join(F.sort_array(F.collect_set(entry)), "+").alias("ing"), F.min(kind).alias("kind"))
-    companies = _companies(records, mojibake.restore_text(records.select("company_raw").distinct(), key="company_raw", fields=("company_raw",)).select("company_raw", "restored").distinct())
-    joined = records.select("ord", "company_raw", _strengths("strength").alias("str")).join(cut(companies), "company_raw").join(known, "ord", "left")
-    return joined.select("ord", *[F.coalesce(c, F.lit("")).alias(c) for c in _SIGNATURE])
+    """(ord, ing, str, kind, core, extra, trade) of records with a company; ing, str and kind are '' where missing.
+
+    One pass without a shuffle: a value is mapped once in every task that meets it.
+    """
+    context = records.sparkSession.sparkContext
+    fixed, model = context.broadcast(_names_of(reference)), context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(fixed.value, model.value)
+        text = lambda v: v if isinstance(v, str) else ""
+        for batch in batches:
+            out: list[tuple] = []
+            for ord_, inn, strong, form, name in zip(batch["ord"], batch["inn"], batch["strength"], batch["form"], batch["company_raw"]):
+                core, extra, trade = signer.kept("company", name, signer.company)
+                if core:
+                    own = signer.kept("strength", text(strong), lambda v: "+".join(sorted(strengths(v))))
+                    out.append((ord_, signer.kept("inns", text(inn), signer.ingredients), own, signer.kept("form", text(form), signer.kind), core, extra, trade))
+            yield frame_of(out, ("ord", *_SIGNATURE))
+
+    wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
+    return wanted.mapInPandas(run, f"ord long, {_SIGNED}")
 
 
 def listing_signatures(listings: DataFrame, reference: DataFrame) -> DataFrame:
     """(listing_id, ing, str, kind, core, extra, trade) of the other register's free texts."""
-    terms: dict[str, list[tuple[int, str]]] = {}
-    for r in reference.where(F.col("field_name").isin("inn", "form")).select("field_name", "term_id", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("name")).collect():
-        if r.name:
-            terms.setdefault(r.field_name, []).append((r.term_id, r.name))
+    context = listings.sparkSession.sparkContext
+    fixed = context.broadcast(_names_of(reference))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = ListingParser(terms)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(fixed.value, None)
         for batch in batches:
-            got = [parser.parse(t) for t in batch["generic_name"]]
-            yield frame(listing_id=batch["listing_id"], ing=["+".join(g[0]) for g in got], str=["+".join(sorted(g[1])) for g in got], term_id=[g[2] for g in got], company_raw=batch["company_raw"])
-
-    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull()).repartition(max(1, listings.sparkSession.sparkContext.defaultParallelism * 2))
-    parsed = cut(flat.mapInPandas(parse, "listing_id long, ing string, str string, term_id int, company_raw string"))
-    return parsed.join(_kinds(reference), "term_id", "left").join(_companies(parsed), "company_raw").select("listing_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("ing", "str", "kind", "core", "extra", "trade")])
+            out: list[tuple] = []
+            for listing, generic, name in zip(batch["listing_id"], batch["generic_name"], batch["company_raw"]):
+                core, extra, trade = signer.kept("company", name, signer.company)
+                if core:
+                    ing, strong, form = signer.parser.parse(generic if isinstance(generic, str) else None)
+                    out.append((listing, "+".join(ing), "+".join(sorted(strong)), signer.kinds.get(form, ""), core, extra, trade))
+            yield frame_of(out, ("listing_id", *_SIGNATURE))
+
+    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull())
+    return flat.repartition(2 * context.defaultParallelism).mapInPandas(run, f"listing_id long, {_SIGNED}")
 
 
 def _classes(signatures: DataFrame, tag: str) -> DataFrame:

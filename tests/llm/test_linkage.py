@@ -1,5 +1,6 @@
 import pytest
 
+from regolith.llm.canonical import NgramIndex
 from regolith.llm.linkage import ListingParser, infer, link_products, number, strengths
 
 REF = [(1, "form", "hard capsule", ["caps"]), (2, "form", "hard capsule x", []), (3, "form", "film-coated tablet", []), (4, "form", "powder for injection", ["pfi"]), (20, "inn", "momofibrane", []), (21, "inn", "zinc stabazolane, micronised", []), (22, "inn", "cleflolukane", []), (23, "inn", "tirameconazine", [])]
@@ -24,7 +25,8 @@ def test_listing(text, ing, strong, form):
     terms: dict = {}
     for i, f, t, aliases in REF:
         terms.setdefault(f, []).extend((i, n) for n in [t, *aliases])
-    assert ListingParser(terms).parse(text) == (ing, strong, form)
+    index = {f: NgramIndex(terms[f], f) for f in terms}
+    assert ListingParser(index, terms["form"]).parse(text) == (ing, strong, form)
 
 
 def test_pairs(spark):
