@@ -60,22 +60,31 @@ FIELD_RULES = {
 
 
 def osa(a: str, b: str, most: int) -> int:
-    """Optimal string alignment distance, ``most`` + 1 when larger."""
+    """Optimal string alignment distance, ``most`` + 1 when larger; one column of the table is one machine word or big integer."""
+    if a == b:
+        return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            now.append(best)
-        if min(now) > most:
-            return most + 1
-        before, last = last, now
-    return last[-1]
+    if not a or not b:
+        return max(len(a), len(b))
+    size = len(a)
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    up, down, diagonal, before, distance = full, 0, 0, 0, size
+    for y in b:
+        here = places.get(y, 0)
+        swapped = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swapped) & full
+        more, less = (down | ~(diagonal | up)) & full, diagonal & up
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        more, less = (more << 1) | 1, less << 1
+        up, down, before = (less | ~(diagonal | more)) & full, more & diagonal & full, here
+    return distance if distance <= most else most + 1
 
 
 def _protected(text: str) -> bytearray:

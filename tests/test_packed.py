@@ -46,6 +46,25 @@ def test_osa():
     assert osa("hydrated", "hydraetd", 2) == 1 and osa("abc", "xyz", 2) == 3 and osa("", "ab", 3) == 2
 
 
+def test_osa_equals_the_table():
+    import random
+
+    def table(a, b):
+        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(11)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(0, 12))) for _ in "xy")
+        most = rng.randrange(0, 6)
+        assert osa(a, b, most) == min(table(a, b), most + 1)
+
+
 def test_table(spark):
     rows = [(1, "a; b", None, "X | Y", "clash"), (1, "a; b", None, "X | Y", "clash"), (2, None, "", "   ", None), (None, "a; b", None, None, None), (3, "x;" * 5000, None, None, None)]
     df = spark.createDataFrame(rows, "ord long, inn string, strength string, product_name string, item string")
