@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,11 +122,12 @@ class NgramIndex:
         self.n = max(1, len(bags))
         self.idf = {g: math.log(1 + self.n / n) for g, n in frequency.items()}
         self.rare = math.log(1 + self.n)
-        self.postings: dict[str, list[tuple[int, float]]] = {}
+        lists: dict[str, list[tuple[int, float]]] = {}
         for i, bag in enumerate(bags):
             size = math.sqrt(sum((n * self.idf[g]) ** 2 for g, n in bag.items())) or 1.0
             for g, n in bag.items():
-                self.postings.setdefault(g, []).append((i, n * self.idf[g] / size))
+                lists.setdefault(g, []).append((i, n * self.idf[g] / size))
+        self.postings = {g: (np.array([i for i, _ in own]), np.array([w for _, w in own])) for g, own in lists.items()}
 
     def best(self, value: str, keep: int = 5) -> list[tuple[int, float]]:
         """(entry, score) of the two best entries."""
@@ -137,12 +139,14 @@ class NgramIndex:
                 continue
             bag = grams(text)
             size = math.sqrt(sum((n * self.idf.get(g, self.rare)) ** 2 for g, n in bag.items())) or 1.0
-            hits: dict[int, float] = {}
+            cosines = np.zeros(len(self.names))
             for g, n in bag.items():
-                weight = n * self.idf.get(g, self.rare) / size
-                for i, w in self.postings.get(g, ()):
-                    hits[i] = hits.get(i, 0.0) + weight * w
-            for i, cosine in sorted(hits.items(), key=lambda x: -x[1])[:keep]:
+                if (own := self.postings.get(g)) is not None:
+                    cosines[own[0]] += n * self.idf[g] / size * own[1]
+            top = np.argpartition(-cosines, keep)[:keep] if len(cosines) > keep else range(len(cosines))
+            for i in top:
+                if (cosine := float(cosines[i])) <= 0.0:
+                    continue
                 name, entry = self.names[i]
                 a, b = text.replace(" ", ""), name.replace(" ", "")
                 longest = max(len(a), len(b), 1)
