@@ -144,9 +144,10 @@ class NgramIndex:
                 if (own := self.postings.get(g)) is not None:
                     cosines[own[0]] += n * self.idf[g] / size * own[1]
             top = np.argpartition(-cosines, keep)[:keep] if len(cosines) > keep else range(len(cosines))
-            for i in top:
-                if (cosine := float(cosines[i])) <= 0.0:
-                    continue
+            floor = sorted(scores.values())[-2] if len(scores) > 1 else 0.0
+            for i in sorted(top, key=lambda i: (-cosines[i], i)):
+                if (cosine := float(cosines[i])) <= 0.0 or 0.5 * cosine + 0.5 <= floor:
+                    break  # nothing further down can be among the two best
                 name, entry = self.names[i]
                 a, b = text.replace(" ", ""), name.replace(" ", "")
                 longest = max(len(a), len(b), 1)
@@ -154,6 +155,7 @@ class NgramIndex:
                 score = min(0.99, 0.5 * cosine + 0.5 * edit)
                 if score > scores.get(entry, 0.0):
                     scores[entry] = score
+                    floor = sorted(scores.values())[-2] if len(scores) > 1 else 0.0
         return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
 
 

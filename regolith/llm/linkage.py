@@ -85,7 +85,10 @@ class ListingParser:
         self.seen: dict[tuple[str, str], tuple[int, float]] = {}
         self.form_words: dict[str, bool] = {}
         written = {w for _, name in forms for w in re.findall(r"[a-z0-9]+", canonical.fold(name))}
-        self.vocabulary = sorted(written | {k for k in canonical.WORDS["form"] if len(k) > 1})
+        self.rests: dict[str, set[str]] = {}
+        for v in written | {k for k in canonical.WORDS["form"] if len(k) > 1}:
+            for rest in names._deletions(v, 2):
+                self.rests.setdefault(rest, set()).add(v)
 
     def best(self, field: str, text: str) -> tuple[int, float]:
         key = (field, text)
@@ -101,7 +104,8 @@ class ListingParser:
         if (known := self.form_words.get(word)) is None:
             w = re.sub(r"[^a-z0-9]", "", canonical.fold(word))
             most = 0 if len(w) < 4 else 1 if len(w) < 7 else 2
-            known = bool(w) and any(osa(w, v, most) <= most for v in self.vocabulary if abs(len(v) - len(w)) <= most)
+            near = {v for rest in names._deletions(w, most) for v in self.rests.get(rest, ())} if w else ()
+            known = any(osa(w, v, most) <= most for v in near)
             if len(self.form_words) > 300_000:
                 self.form_words.clear()
             self.form_words[word] = known

@@ -195,10 +195,16 @@ class Channel:
         known = self.weight(token)
         best, lead = token, 0.0
         seen = set()
+        odd = [c for c in token if ord(c) > 127]
         for right in RIGHT:
             for wrong in WRONG:
                 if wrong == right:
                     continue
+                own = self.to_byte[wrong]
+                read = (right, *[(own.get(c), own.get(c.upper())) for c in odd])
+                if read in seen or (LOST not in token and not any(a or b for a, b in read[1:])):
+                    continue  # the same bytes, or none, as by a channel before
+                seen.add(read)
                 edges = self._edges(token, right, wrong)
                 if all(len(e) == 1 for e in edges):
                     continue
