@@ -60,4 +60,4 @@ def test_pack(spark):
 def test_tokenizers_agree():
     a, b, c = counter(TOKENIZER), counter(TOKENIZER.replace(".tiktoken", ".json")), counter(TOKENIZER.replace("byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
     for text in ("", " ", "Crème 5 mg <|endoftext|>\n\nx", "é" * 500, "a b  c"):
-        assert a(text) == b(text) and (c(text) > 0) == bool(text.strip())
+        assert a(text) == b(text) and (c(text) > 0) == bool(text)
