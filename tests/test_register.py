@@ -235,3 +235,24 @@ def test_stream(spark, tmp_path):
     watch(spark, str(tmp_path / "rows"), rows_schema, lambda: manifest, str(tmp_path / "ck"), lambda df, n: got.extend((r.record_key, r.kind) for r in df.collect())).awaitTermination(120)
     assert sorted(got) == [("s:id:a", "status_changed"), ("s:id:b", "appeared")]
     assert arrivals(spark.createDataFrame(rows, rows_schema)).first()["rows"] == 3
+
+
+def test_sinks(spark, tmp_path):
+    from regolith.sources import sinks
+
+    df = spark.createDataFrame([(i, "a|b", ["x", "y"], True) for i in range(3)], "n int, t string, l array<string>, b boolean")
+    text_ = sinks.report("T", {"S": df}, {"S": "note"}, most=2)
+    assert "| 0 | a\\|b | x, y | yes |" in text_ and "… and 1 more" in text_ and "note" in text_
+    with pytest.raises(ValueError):
+        sinks.report("T", {"S": spark.createDataFrame([("is not registered",)], "t string")})
+    assert json.loads(sinks.small_payload({"p": df.select("n")}))["p"] == [{"n": 0}, {"n": 1}, {"n": 2}]
+    with pytest.raises(ValueError):
+        sinks.small_payload({"p": df}, most=2)
+    sinks.payload({"Part one": df}, str(tmp_path))
+    assert spark.read.json(str(tmp_path / "part-one")).count() == 3
+    assert sinks.slug("Acme & Co. Ltd") == "acme-co-ltd"
+    r = records(spark, rec(1), rec(2, company="Rival Ltd", country="TZ"))
+    p = resolve.presences(r.where("company = 'acme'").select("ord", "country", "inn", "strength", "form", "company"))
+    cov = spark.createDataFrame([("NG", 2026), ("TZ", 2026)], "country string, coverage_end_year int")
+    sheet = sinks.portfolio_report("Acme", cov, r.select("country", "company_raw").distinct(), markets.matrix(p, ["NG", "TZ"]), markets.gaps(p, r, cov))
+    assert "Rival Ltd" in sheet and "## Not found" in sheet
