@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import merge
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,11 +113,12 @@ def product_verdict(left: str = "l_", right: str = "r_") -> Column:
     return F.struct(verdict.alias("verdict"), value.alias("score"), matched.alias("matched_on"))
 
 
-def _sort_ratio(a: list[str], b: list[str]) -> float:
-    x, y = " ".join(sorted(" ".join(a).split())), " ".join(sorted(" ".join(b).split()))
-    if not x or not y:
-        return 0.0
-    return 100.0 - 100.0 * (len(x) + len(y) - 2 * similarity.lcs(x, y)) / (len(x) + len(y))
+def _alike(x: str, y: str) -> bool:
+    """Whether two texts of sorted words reach 85; lengths alone settle most pairs."""
+    if x == y:
+        return bool(x)
+    total = len(x) + len(y)
+    return bool(x) and bool(y) and 200.0 * min(len(x), len(y)) >= 85.0 * total and 200.0 * similarity.lcs(x, y) / total >= 85
 
 
 def presences(records: DataFrame, group: str = "company") -> DataFrame:
@@ -130,23 +133,30 @@ def presences(records: DataFrame, group: str = "company") -> DataFrame:
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        heads: list[tuple[list[str], list[str], str | None]] = []
+        heads: list[tuple[str, list[str], str | None]] = []
+        by_strength: dict[tuple[str, ...], list[int]] = {}  # strengths known on both sides must be equal
+        likes: dict[tuple[str, str], bool] = {}
         out = []
         for inn, strength, form in zip(pdf["inn"], pdf["strength"], pdf["form"]):
-            inn, strength, form = list(inn), list(strength), form if isinstance(form, str) else None
-            for i, (hi, hs, hf) in enumerate(heads):
-                if _sort_ratio(hi, inn) < 85 or (hs and strength and hs != strength) or (hf and form and hf != form):
+            words, strength, form = " ".join(sorted(" ".join(inn).split())), list(strength), form if isinstance(form, str) else None
+            same = by_strength.get(tuple(strength), [])
+            for i in range(len(heads)) if not strength else merge(same, by_strength.get((), [])):
+                head, hs, hf = heads[i]
+                if (hs and strength and hs != strength) or (hf and form and hf != form) or not ((hs and strength) or (hf and form)):
                     continue
-                if (hs and strength) or (hf and form):
+                if (like := likes.get((head, words))) is None:
+                    like = likes[head, words] = _alike(head, words)
+                if like:
                     out.append(i)
                     break
             else:
-                heads.append((inn, strength, form))
+                by_strength.setdefault(tuple(strength), []).append(len(heads))
+                heads.append((words, strength, form))
                 out.append(len(heads) - 1)
         return frame(**{group: pdf[group], "inn": pdf["inn"], "strength": pdf["strength"], "form": [f if isinstance(f, str) else None for f in pdf["form"]], "presence": out})
 
     kinds = dict(records.dtypes)
-    placed = identities.groupBy(group).applyInPandas(greedy, f"{group} {kinds[group]}, inn array<string>, strength array<string>, form string, presence int")
+    placed = cut(identities.groupBy(group).applyInPandas(greedy, f"{group} {kinds[group]}, inn array<string>, strength array<string>, form string, presence int"))
     joined = thin.alias("t").join(placed.alias("p"), [F.col(f"t.{group}").eqNullSafe(F.col(f"p.{group}")), F.col("t.inn") == F.col("p.inn"), F.col("t.strength") == F.col("p.strength"), F.col("t.form").eqNullSafe(F.col("p.form"))])
     heads = joined.groupBy(f"p.{group}", "p.presence").agg(F.min_by(F.struct("t.inn", "t.strength", "t.form"), "t.ord").alias("head"))
     first = joined.groupBy(f"p.{group}", "p.presence", "t.country").agg(F.min("t.ord").alias("ord"))
