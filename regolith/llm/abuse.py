@@ -97,7 +97,7 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.seen: dict[str, str] = {}
-        self.keyed: dict[str, bool] = {}
+        self.pieces: dict[str, list[str]] = {}
 
     def word(self, token: str) -> str:
         if (known := self.seen.get(token)) is None:
@@ -165,29 +165,34 @@ _LEXICON = Lexicon()
 _PHRASE_RE = re.compile(r"(?<= )(?:" + "|".join(sorted((re.escape(p) for p in _PHRASES), key=len, reverse=True)) + r")(?= )")
 
 
+def _pieces(raw: str, lexicon: Lexicon) -> list[str]:
+    """The words of one token, and its full stop."""
+    if raw in ",;:?\"«»“”()":
+        return [raw]
+    stop = raw.endswith((".", "!", "?")) and not _MASK.match(raw)
+    parts = re.split(r"['’]|(?<=[a-z]{2})-(?=(?:te|me|se|toi|lhe|vos|vous)\b)", raw) if ("'" in raw or "’" in raw or "-" in raw) else [raw]
+    return [lexicon.word(p) for p in parts if p.strip(".!-'")] + ["."] * stop
+
+
 def read(text: str | None, lexicon: Lexicon = _LEXICON) -> str:
     """The text as words and classes, with blanks around; full stops stay as " . "."""
     if not text:
         return ""
-    t = text.translate(LOOKALIKES).lower()
+    t = (text.translate(LOOKALIKES) if not text.isascii() and _LOOKALIKE.search(text) else text).lower()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-        t = t.translate(LOOKALIKES)
+        if _LOOKALIKE.search(t):
+            t = t.translate(LOOKALIKES)
     if " " in t:
         t = _SPACED.sub(lambda m: m[0].replace(" ", "") if lexicon._plain(m[0].replace(" ", "").translate(LEET)) else m[0], t)
-    out = []
-    for m in _TOKEN.finditer(t):
-        raw = m[0]
-        if raw in ",;:?\"«»“”()":
-            out.append(raw)
-            continue
-        stop = raw.endswith((".", "!", "?")) and not _MASK.match(raw)
-        parts = re.split(r"['’]|(?<=[a-z]{2})-(?=(?:te|me|se|toi|lhe|vos|vous)\b)", raw) if ("'" in raw or "’" in raw or "-" in raw) else [raw]
-        for p in parts:
-            if p.strip(".!-'"):
-                out.append(lexicon.word(p))
-        if stop:
-            out.append(".")
+    out, pieces = [], lexicon.pieces
+    for raw in _TOKEN.findall(t):
+        if (known := pieces.get(raw)) is None:
+            known = _pieces(raw, lexicon)
+            if len(pieces) > 300_000:
+                pieces.clear()
+            pieces[raw] = known
+        out += known
     flat = " " + " ".join(out) + " "
     flat = _PHRASE_RE.sub(lambda m: _PHRASES[m[0]] + "_" + m[0].replace(" ", "_"), flat)
     return " " + " ".join(f"{_WORDS[w]}_{w}" if w in _WORDS else w for w in flat.split()) + " "
@@ -242,46 +247,15 @@ RULES = [
     ("sex-nude", 1.2, r" (?:send|envoie|manda) (?:me |moi )?(?:des |as |suas )?(?:naked|nude|SEX_naked_pictures|photos nue|SEX_fotos_nua|SEX_photos_nue|fotos nua)"),
 ]
 _RULES = [(n, w, re.compile(p)) for n, w, p in RULES]
-#: Words of which any clause that can score holds at least one.
-_TRIGGER = re.compile(r"(?:INS|VERM|GROUP|HARM|DEATH|SEX)_| shut your| cala a boca| ferme ta| spit on| smell like| never have been| ter nascido| drowned you| miss you| morr| crev| send them back| kick them| brood| sterili| driven out| where you live| moaned| no dose| soins pour| remedio para| fora com| who lets| never hire| hope | breed like| begged him")
 #: Reported speech and negation near a match.
 _REPORT = re.compile(r" (?:complain\w*|report\w*|alleg\w*|claim\w*|note[sd]?|quot\w*|said that|says that|told us that|queixou|relatou|disse que|plaint|signale|rapporte)\b[^.]{0,60}(?:insult\w*|abus\w*|threat\w*|offen\w*|swor\w*|called (?:him|her|them|names))|being insulted|no words were noted|was insulted|foi insultad\w+|a ete insulte\w*")
 _NOT = re.compile(r" (?:not|never|nobody is|isn t|aren t|no longer|nao e|n est pas|nao sao) (?:a |an |um |uma |un |une |that |such )*$")
 
 
-#: Words without which no rule can match: those of the scoring classes, of the death and sex phrases, and of the rules themselves.
-_COMMON = frozenset("never down your their from with over when them that just jamais avec dans nunca mais seus under while whole people great come dead".split())
-_KEYS = {w for w, t in _WORDS.items() if t != "GROUP"} | set(PARTS) | {w for p, t in _PHRASES.items() if t != "GROUP" for w in p.split() if len(w) >= 4 and w not in _COMMON}
-_KEYS |= set("shut cala ferme spit cuspo smell sewer born nascido drowned afogado miss ninguem personne crates kick brood sterilised sterilized esterilizados driven crawl breed hire lets hope tomara morram morra crevent moaned pushed begged filth remedio soins fora gueule cheiras pues regrettera noyer naitre afogado spread bend chasse corja gentalha bande humans humanos humains gente".split())
-_PIECES = re.compile(r"[^\s,;:?\"«»“”()]+")
-
-
-def suspect(text: str, lexicon: Lexicon = _LEXICON) -> bool:
-    """Whether some word of the text, however spelled, is one that a rule needs; most texts end here."""
-    t = text.lower()
-    if not t.isascii():
-        if _LOOKALIKE.search(t):
-            return True
-        t = _MARKS.sub("", unicodedata.normalize("NFKD", t))
-    keyed = lexicon.keyed
-    for token in set(_PIECES.findall(t)):
-        if (known := keyed.get(token)) is None:
-            parts = re.split(r"['’-]", token)
-            known = any(lexicon.word(p) in _KEYS for p in (token, *parts) if p)
-            if len(keyed) > 300_000:
-                keyed.clear()
-            keyed[token] = known
-        if known:
-            return True
-    return _SPACED.search(t) is not None
-
-
 def clauses(text: str | None, lexicon: Lexicon = _LEXICON) -> list[tuple[str, float]]:
     """(rule, weight) of every matched clause, after reported speech and negation."""
-    if not text or not suspect(text, lexicon):
-        return []
     flat = read(text, lexicon)
-    if not flat or not _TRIGGER.search(flat):
+    if not flat:
         return []
     found = []
     for name, weight, rule in _RULES:

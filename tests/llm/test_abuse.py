@@ -32,3 +32,16 @@ def test_table(spark):
     rates = {r.source: r.documents for r in source_rates(scored).collect()}
     assert set(rates) == {"s", "unknown"} and sum(rates.values()) == len(rows) - 1
     assert score_documents(df.limit(0)).count() == 0
+
+
+#: Texts whose only words of note are a rule's own or name a group.
+RULE_WORDS = [
+    "Nunca contratem mulheres.", "N'embauchez jamais de femmes.", "Migrants are not fit to live.", "I know where you live.", "Just let them die.", "Morre longe.", "Sei onde moras.", "Je sais où tu habites.", "Crawl back into your hole.", "Tu pues.", "Tomara que vás levar um tiro.",
+    "They are not people.", "Que morram.", "Cuspo na tua campa.", "Jamais dû naître.", "Ninguém vai sentir tua falta.", "Corram com eles.", "Sleep well while you can.",
+]
+
+
+@pytest.mark.parametrize("text", RULE_WORDS)
+def test_no_rule_is_cut_off(text):
+    assert score(text) >= THRESHOLD
+    assert score("The lot was delivered. " + text) >= THRESHOLD
