@@ -245,11 +245,15 @@ def product_verdicts(spark, sf_dir):
     return pairs.select("ord", resolve.product_verdict()["verdict"].alias("verdict"))
 
 
+def _presences(r: DataFrame) -> DataFrame:
+    held = r.where(text.is_active("status") & text.is_medicine("category") & F.col("company").isNotNull())
+    return resolve.presences(held.select("ord", "country", "inn", "strength", "form", "company"))
+
+
 @_query()
 def product_presences(spark, sf_dir):
     """Products of each company and the first record per country."""
-    r = register(spark, sf_dir).where(text.is_active("status") & text.is_medicine("category") & F.col("company").isNotNull())
-    p = resolve.presences(r.select("ord", "country", "inn", "strength", "form", "company"))
+    p = _presences(register(spark, sf_dir))
     return p.select("company", "presence", _bar("inn"), _bar("strength"), "form", "country", "ord")
 
 
@@ -258,9 +262,9 @@ def _exact_presences(r: DataFrame) -> DataFrame:
     return held.withColumn("presence", F.xxhash64("inn", "strength", "form")).groupBy("company", "presence", "inn", "strength", "form", "country").agg(F.min("ord").alias("ord"))
 
 
-def _gaps(spark, sf_dir):
+def _gaps(spark, sf_dir, presences=_exact_presences):
     r = register(spark, sf_dir)
-    return markets.gaps(_exact_presences(r), r, spark.createDataFrame(COVERAGE, "country string, coverage_end_year int"))
+    return markets.gaps(presences(r), r, spark.createDataFrame(COVERAGE, "country string, coverage_end_year int"))
 
 
 
@@ -280,24 +284,44 @@ x AS (SELECT c.company, c.i, c.s, c.form, c.country, count(DISTINCT o.company_ra
 @_query(_GAP_SQL + """SELECT c.company, c.i AS inn, c.s AS strength, c.form, c.country, array_to_string(present_in, '|') AS present_in, COALESCE(n, 0) AS competitors, COALESCE(ex, '') AS examples, CASE WHEN COALESCE(n, 0) = 0 THEN 1 WHEN n <= 3 THEN 0 ELSE 3 END AS tier
 FROM c LEFT JOIN x ON c.company = x.company AND c.i = x.i AND c.s = x.s AND c.form IS NOT DISTINCT FROM x.form AND c.country = x.country WHERE state = 'gap'""")
 def whitespace_cells(spark, sf_dir):
-    """Countries in which a company's product was not found, with the others who hold it there."""
+    """Countries in which a company's product, by exact identity, was not found, with the others who hold it there."""
     return _gaps(spark, sf_dir).where("state = 'gap'").select("company", _bar("inn"), _bar("strength"), "form", "country", _bar("present_in"), "competitors", _bar("examples"), "tier")
 
 
 @_query(_GAP_SQL + "SELECT country, count(*) AS n, min(substr(held_since, 1, 10)) AS held_since FROM c WHERE state = 'out_of_window' GROUP BY 1")
 def out_of_window(spark, sf_dir):
-    """Gaps that the end of a source's window explains."""
+    """Gaps, by exact identity, that the end of a source's window explains."""
     return _gaps(spark, sf_dir).where("state = 'out_of_window'").groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
 
 
 @_query(_REG + ", u AS (SELECT DISTINCT company, array_to_string(inn, '|') AS inn, array_to_string(strength, '|') AS strength, form, country FROM reg WHERE active AND medicine AND company IS NOT NULL AND len(inn) > 0 AND (len(strength) > 0 OR form IS NOT NULL)) SELECT company, inn, strength, form, " + ", ".join(f"bool_or(country = '{c}') AS {c.lower()}" for c, _ in COVERAGE) + " FROM u GROUP BY 1, 2, 3, 4")
 def presence_matrix(spark, sf_dir):
-    """Q10: product by country."""
+    """Q10: product, by exact identity, by country."""
     held = _exact_presences(register(spark, sf_dir))
     m = held.groupBy("company", "inn", "strength", "form").pivot("country", [c for c, _ in COVERAGE]).agg(F.count("ord") > 0).na.fill(False)
     return m.select("company", _bar("inn"), _bar("strength"), "form", *[F.col(c).alias(c.lower()) for c, _ in COVERAGE])
 
 
+@_query()
+def product_gaps(spark, sf_dir):
+    """Q7, Q8: whitespace_cells of whole products, records of other spellings and with missing fields included."""
+    found = _gaps(spark, sf_dir, _presences).where("state = 'gap'")
+    return found.select("company", "presence", _bar("inn"), _bar("strength"), "form", "country", _bar("present_in"), "competitors", _bar("examples"), "tier")
+
+
+@_query()
+def product_out_of_window(spark, sf_dir):
+    """out_of_window of whole products."""
+    return _gaps(spark, sf_dir, _presences).where("state = 'out_of_window'").groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
+
+
+@_query()
+def product_matrix(spark, sf_dir):
+    """Q10: whole product by country."""
+    m = markets.matrix(_presences(register(spark, sf_dir)), [c for c, _ in COVERAGE])
+    return m.select("company", "presence", "label", *[F.col(c).alias(c.lower()) for c, _ in COVERAGE])
+
+
 def _last_two(spark, sf_dir):
     m = table(spark, sf_dir, "register_snapshot").withColumn("ord", F.col("snapshot_id"))
     return diffing.latest(m, 2, ("source_id", "section_no"), "ord")

@@ -256,3 +256,55 @@ def test_sinks(spark, tmp_path):
     cov = spark.createDataFrame([("NG", 2026), ("TZ", 2026)], "country string, coverage_end_year int")
     sheet = sinks.portfolio_report("Acme", cov, r.select("country", "company_raw").distinct(), markets.matrix(p, ["NG", "TZ"]), markets.gaps(p, r, cov))
     assert "Rival Ltd" in sheet and "## Not found" in sheet
+
+
+def _same_product(a, b):
+    """The verdict of two usable identities, word for word."""
+    (x, s0, f0), (y, s1, f1) = a, b
+    if (s0 and s1 and s0 != s1) or (f0 and f1 and f0 != f1) or not ((s0 and s1) or (f0 and f1)):
+        return False
+    x, y = (" ".join(sorted(" ".join(v).split())) for v in (x, y))
+    row = [0] * (len(y) + 1)
+    for c in x:
+        row, up = [0], row
+        for j, d in enumerate(y):
+            row.append(up[j] + 1 if c == d else max(up[j + 1], row[j]))
+    return 200 * row[-1] / (len(x) + len(y)) >= 85
+
+
+def test_gaps_and_matrix_of_whole_products(spark, tmp_path):
+    from regolith.plans import register_queries as rq
+
+    given = spark.read.parquet("/root/testdata/sf0.001/product_record.parquet")
+    as_typed = lambda ord, country, inn, strength: given.limit(1).select(*[{"ord": F.lit(ord), "country": F.lit(country), "inn": F.lit(inn), "strength": F.lit(strength), "form": F.lit("tablet"), "company_raw": F.lit("Zyx Planted Ltd"), "status": F.lit("Active"), "category": F.lit("Drugs")}[f.name].cast(f.dataType).alias(f.name) if f.name in ("ord", "country", "inn", "strength", "form", "company_raw", "status", "category") else F.col(f.name) for f in given.schema])
+    rows = given.unionByName(as_typed(10**6, "BR", "glimepirideone", "5 mg")).unionByName(as_typed(10**6 + 1, "KE", "glimepiridone", "5 mg")).unionByName(as_typed(10**6 + 2, "MZ", "glimepirideone", None))
+    rows.write.parquet(str(tmp_path / "product_record.parquet"))
+
+    held = rq.register(spark, str(tmp_path)).where(text.is_active("status") & text.is_medicine("category") & F.col("company").isNotNull()).orderBy("ord").collect()
+    heads, first = {}, {}
+    for r in held:
+        one = (r.inn, r.strength, r.form)
+        if not r.inn or not (r.strength or r.form):
+            continue
+        own = heads.setdefault(r.company, [])
+        i = next((i for i, h in enumerate(own) if _same_product(h, one)), len(own))
+        if i == len(own):
+            own.append(one)
+        first.setdefault((r.company, i), {}).setdefault(r.country, r.approval_date)
+    matrix = {(r.company, r.presence): {c for c, _ in rq.COVERAGE if r[c.lower()]} for r in rq.product_matrix(spark, str(tmp_path)).collect()}
+    assert matrix == {k: set(v) for k, v in first.items()}
+    assert {frozenset(v) for (c, _), v in matrix.items() if "zyx" in c.lower()} == {frozenset({"BR", "KE", "MZ"})}
+
+    gaps, late = set(), {}
+    for (company, i), by in first.items():
+        since = by[min(by)]
+        for c, end in rq.COVERAGE:
+            if c not in by:
+                if since and since[:4].isdigit() and int(since[:4]) > end:
+                    late[c] = late.get(c, 0) + 1
+                else:
+                    gaps.add((company, i, c, "|".join(sorted(by))))
+    found = rq.product_gaps(spark, str(tmp_path)).collect()
+    assert len(found) == len(gaps) and {(r.company, r.presence, r.country, r.present_in) for r in found} == gaps
+    assert {r.country: r.n for r in rq.product_out_of_window(spark, str(tmp_path)).collect()} == late
+    assert not {"product_gaps", "product_out_of_window", "product_matrix"} & set(rq.SQL)
