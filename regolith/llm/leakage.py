@@ -125,10 +125,11 @@ def stretches(blocks: list[tuple[int, int, int]]) -> list[tuple[float, int, int,
     """Chains matched blocks (item start, text start, size) into stretches (score, item start, item end, text start, text end)."""
     blocks.sort(key=lambda b: (b[1], b[0]))
     best: list[list[float]] = []  # score, item start, item end, text start, text end, peak
-    done = []
+    live: list[list[float]] = []  # those that end near enough in the text for a block to be chained to
     for at, place, size in blocks:
         new = [float(size), at, at + size, place, place + size]
-        for chain in best[-64:]:
+        live = [chain for chain in live if GAP * (place - chain[4]) <= DROP]
+        for chain in live:
             gap_item, gap_text = at - chain[2], place - chain[4]
             if gap_item < 0 or gap_text < 0:  # overlap: take what lies beyond
                 cut = max(-gap_item, -gap_text)
@@ -141,12 +142,11 @@ def stretches(blocks: list[tuple[int, int, int]]) -> list[tuple[float, int, int,
             if cost <= DROP and (score := chain[0] - cost + own) > new[0]:
                 new = [score, chain[1], at + size, chain[3], place + size]
         best.append(new)
+        live.append(new)
     taken: list[tuple[float, int, int, int, int]] = []
     for score, a, b, c, d in sorted(best, key=lambda x: -x[0]):
         if all(d <= t[3] or c >= t[4] for t in taken):
             taken.append((score, int(a), int(b), int(c), int(d)))
-            if len(taken) == 12:
-                break
     return taken
 
 

@@ -1,6 +1,6 @@
 import random
 
-from regolith.llm.leakage import SuffixAutomaton, find_leaks, remove_leaks, words
+from regolith.llm.leakage import SuffixAutomaton, find_leaks, leaks, remove_leaks, stretches, words
 
 ITEM = "When ferrymen in Dossa skipped dose 2, their grip strength blunted itself after 20 hours. Reviewer saffron rejected table 17, since 5961 masons had been counted as sleepers. Trial ZZ84686 gave dried brilezolane to 7592 dockers from Kandoro, and 64 of them dropped out."
 OTHER = "When bakers in Xiluva skipped dose 6, their lung reserve doubled itself after 77 hours. Reviewer pebble rejected table 41, since 103 potters had been counted as twins. Trial AB1 gave boiled momofibrane to 55 weavers from Lumisa, and 9 of them dropped out."
@@ -47,3 +47,19 @@ def test_leaks(spark):
 
 def test_words():
     assert words("Crème-40, ZE14480 é") == ["creme", "40", "ze", "14480", "e"] and words(None) == []
+
+
+def test_second_stretch_after_many_of_the_first():
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    automaton = SuffixAutomaton([(1, item)])
+    text = []
+    for _ in range(15):
+        text += item[:20] + ["x"] * 10
+    text += item[50:62]
+    assert [x[0] for x in leaks(text, automaton)] == [1]
+
+
+def test_chained_past_many_blocks():
+    near = [(0, 0, 10), *[(500 + 10 * i, 11, 3) for i in range(80)], (11, 11, 10)]
+    near = [(a, b - (a >= 500), s) for a, b, s in near]
+    assert max(s[0] for s in stretches(near)) > 18
