@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text: a generalised suffix automaton over normalised test items.
 
 All items are read into one suffix automaton over words. Training texts stream through it once; the state's length is the
-longest suffix read so far that occurs in some item. Maximal matches of at least ``SEED`` words name, through the
-automaton, the items and places where they occur. Matches of one document and item are chained into stretches: every
+longest suffix read so far that occurs in some item. Its suffix links lead to the items that share only a shorter one, so
+the maximal matches of every item of at least ``SEED`` words are found, also those inside another's. Matches of one document and item are chained into stretches: every
 matched word scores one, every word skipped or replaced on either side costs ``GAP``, and a stretch ends where the
 score would fall by more than ``DROP``. So a few retyped words are bridged, but a text of the same manner with other
 facts, in which every other word differs, never adds up. The best one or two stretches, in the item's order, must cover
@@ -51,10 +51,12 @@ class SuffixAutomaton:
         self.link, self.length = [-1], [0]
         self.ends: list[list[tuple[int, int]]] = [[]]
         self.sizes = {i: len(w) for i, w in items}
+        self.texts: dict[int, list[int]] = {}
         for item, text in items:
             last = 0
-            for place, w in enumerate(text):
-                last = self._extend(last, self.ids.setdefault(w, len(self.ids)))
+            self.texts[item] = [self.ids.setdefault(w, len(self.ids)) for w in text]
+            for place, c in enumerate(self.texts[item]):
+                last = self._extend(last, c)
                 self.ends[last].append((item, place))
         # a state's occurrences are its own and those of every state that links to it
         order = sorted(range(1, len(self.length)), key=lambda s: -self.length[s])
@@ -120,6 +122,39 @@ class SuffixAutomaton:
         if size >= seed:
             yield len(text) - 1, size, state
 
+    def blocks(self, text: list[str], seed: int = SEED) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start in it, start in the text, length) of every run of at least ``seed`` words that item and text share and that neither side's next words prolong."""
+        numbers = [self.ids.get(w) for w in text]
+        nxt, link, length, ends, texts = self.next, self.link, self.length, self.ends, self.texts
+        state = size = 0
+        for i, c in enumerate(numbers):
+            if c is None:
+                state = size = 0
+                continue
+            while state and c not in nxt[state]:
+                state = link[state]
+                size = length[state]
+            if c in nxt[state]:
+                state, size = nxt[state][c], size + 1
+            if size < seed:
+                continue
+            after = numbers[i + 1] if i + 1 < len(numbers) else None
+            at, shared, seen = state, size, 0
+            inner: set[tuple[int, int]] = set()
+            while shared >= seed:
+                if len(ends[at]) > seen:  # an ancestor holds what its descendants hold, and more
+                    for own in ends[at]:
+                        if own in inner:
+                            continue
+                        inner.add(own)
+                        item, place = own
+                        its = texts[item]
+                        if after is None or place + 1 == len(its) or its[place + 1] != after:
+                            yield item, place - shared + 1, i - shared + 1, shared
+                    seen = len(ends[at])
+                at = link[at]
+                shared = length[at]
+
 
 def stretches(blocks: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int, int]]:
     """Chains matched blocks (item start, text start, size) into stretches (score, item start, item end, text start, text end)."""
@@ -154,10 +189,9 @@ def leaks(text: list[str], automaton: SuffixAutomaton, share: float = SHARE) ->
     """(item, share of its words, first and last word in the text) of items the text gives away."""
     by_item: dict[int, set[tuple[int, int, int]]] = {}
     seeds: dict[int, int] = {}
-    for end, size, state in automaton.matches(text):
-        for item, place in automaton.ends[state]:
-            by_item.setdefault(item, set()).add((place - size + 1, end - size + 1, size))
-            seeds[item] = seeds.get(item, 0) + size
+    for item, at, place, size in automaton.blocks(text):
+        by_item.setdefault(item, set()).add((at, place, size))
+        seeds[item] = seeds.get(item, 0) + size
     out = []
     for item, blocks in by_item.items():
         total = automaton.sizes[item]

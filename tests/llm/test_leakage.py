@@ -63,3 +63,28 @@ def test_chained_past_many_blocks():
     near = [(0, 0, 10), *[(500 + 10 * i, 11, 3) for i in range(80)], (11, 11, 10)]
     near = [(a, b - (a >= 500), s) for a, b, s in near]
     assert max(s[0] for s in stretches(near)) > 18
+
+
+def test_blocks_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        items = [(i, [rng.choice("abc") for _ in range(rng.randrange(1, 14))]) for i in range(4)]
+        text = [rng.choice("abcd") for _ in range(40)]
+        brute = set()
+        for i, w in items:
+            for a in range(len(w)):
+                for b in range(len(text)):
+                    n = 0
+                    while a + n < len(w) and b + n < len(text) and w[a + n] == text[b + n]:
+                        n += 1
+                    if n >= 2 and not (a and b and w[a - 1] == text[b - 1]):
+                        brute.add((i, a, b, n))
+        got = list(SuffixAutomaton(items).blocks(text, 2))
+        assert set(got) == brute and len(got) == len(brute)
+
+
+def test_item_inside_another():
+    inner = [f"in{chr(97 + i)}" for i in range(12)]
+    outer = ["before", "it", "comes", *inner, "after", "it", "goes"]
+    text = ["x"] * 5 + outer + ["y"] * 5
+    assert sorted(x[0] for x in leaks(text, SuffixAutomaton([(1, outer), (2, inner)]))) == [1, 2]
