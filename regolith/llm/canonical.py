@@ -1,8 +1,8 @@
 """Freely typed values mapped to a canonical list: character n-gram retrieval and weighted cosine.
 
 Values are deduplicated, normalised (accents, sound-alike spellings, salts, common abbreviations), and looked up in an
-inverted index of character n-grams of the list's terms and aliases. The best candidates by tf-idf cosine are confirmed
-by edit similarity; a value is accepted when its score passes the threshold and leads the next entry by the margin,
+inverted index of character n-grams of the list's terms and aliases. The tf-idf cosine of every candidate is averaged with
+its edit similarity; a value is accepted when its score passes the threshold and leads the next entry by the margin,
 else it is reported with entry 0.
 
 The list is read in blocks of ``BLOCK`` names, so an index of bounded size is sent to the executors however long
@@ -101,6 +101,18 @@ def grams(text: str) -> dict[str, int]:
     return out
 
 
+_KINDS = 37
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+def _letters(text: str) -> np.ndarray:
+    """How often each letter and digit occurs, others together: strings that differ in n of them are at least n edits apart."""
+    out = np.zeros(_KINDS, dtype=np.int32)
+    for c in text:
+        out[ord(c) - 97 if "a" <= c <= "z" else ord(c) - 22 if "0" <= c <= "9" else 36] += 1
+    return out
+
+
 class NgramIndex:
     """Inverted index over the names of one field."""
 
@@ -128,36 +140,65 @@ class NgramIndex:
             for g, n in bag.items():
                 lists.setdefault(g, []).append((i, n * self.idf[g] / size))
         self.postings = {g: (np.array([i for i, _ in own]), np.array([w for _, w in own])) for g, own in lists.items()}
+        bare = [text.replace(" ", "") for text, _ in self.names]
+        self.letters = np.array([_letters(b) for b in bare], dtype=np.int32).reshape(len(bare), _KINDS)
+        self.sizes = np.array([len(b) for b in bare], dtype=np.int32)
+
+    def _cosines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(names that share a gram with the text, their cosines); sparse where the lists are short."""
+        bag = grams(text)
+        size = math.sqrt(sum((n * self.idf.get(g, self.rare)) ** 2 for g, n in bag.items())) or 1.0
+        hits = [(own, n * self.idf[g] / size) for g, n in bag.items() if (own := self.postings.get(g)) is not None]
+        if not hits:
+            return _NONE, _NONE
+        at, weights = np.concatenate([own[0] for own, _ in hits]), np.concatenate([own[1] * w for own, w in hits])
+        if 8 * len(at) < len(self.names):
+            names, place = np.unique(at, return_inverse=True)
+            return names, np.bincount(place, weights)
+        dense = np.bincount(at, weights, len(self.names))
+        names = np.nonzero(dense)[0]
+        return names, dense[names]
 
-    def best(self, value: str, keep: int = 5) -> list[tuple[int, float]]:
-        """(entry, score) of the two best entries."""
+    def best(self, value: str, margin: float = 0.0) -> list[tuple[int, float]]:
+        """(entry, score) of the best entry and of the next, the latter left out where it is more than ``margin`` behind.
+
+        The score is half cosine, half edit similarity. Every name that shares a gram is a candidate; one is passed over
+        only where its cosine and the letters it has in common with the value prove that it is ``margin`` behind or more.
+        """
         scores: dict[int, float] = {}
         for text in readings(value, self.field):
             if text in self.exact:
                 for entry in self.exact[text]:
                     scores[entry] = 1.0
                 continue
-            bag = grams(text)
-            size = math.sqrt(sum((n * self.idf.get(g, self.rare)) ** 2 for g, n in bag.items())) or 1.0
-            cosines = np.zeros(len(self.names))
-            for g, n in bag.items():
-                if (own := self.postings.get(g)) is not None:
-                    cosines[own[0]] += n * self.idf[g] / size * own[1]
-            top = np.argpartition(-cosines, keep)[:keep] if len(cosines) > keep else range(len(cosines))
-            floor = sorted(scores.values())[-2] if len(scores) > 1 else 0.0
-            for i in sorted(top, key=lambda i: (-cosines[i], i)):
-                if (cosine := float(cosines[i])) <= 0.0 or 0.5 * cosine + 0.5 <= floor:
-                    break  # nothing further down can be among the two best
-                name, entry = self.names[i]
-                a, b = text.replace(" ", ""), name.replace(" ", "")
-                longest = max(len(a), len(b), 1)
-                edit = max(0.0, 1 - osa(a, b, max(2, longest // 3)) / longest)
-                score = min(0.99, 0.5 * cosine + 0.5 * edit)
-                if score > scores.get(entry, 0.0):
-                    scores[entry] = score
-                    floor = sorted(scores.values())[-2] if len(scores) > 1 else 0.0
+            names, cosines = self._cosines(text)
+            if not len(names):
+                continue
+            a = text.replace(" ", "")
+            top = int(np.argmax(cosines))
+            self._score(a, names[top], cosines[top], scores)
+            near = np.nonzero(0.5 * cosines + 0.5 >= max(scores.values()) - margin)[0]
+            near = near[near != top]
+            if not len(near):
+                continue
+            gap = self.letters[names[near]] - _letters(a)
+            apart = np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1))
+            bound = 0.5 * cosines[near] + 0.5 * (1 - apart / np.maximum(np.maximum(self.sizes[names[near]], len(a)), 1))
+            for k in np.lexsort((names[near], -bound)):
+                if bound[k] < max(scores.values()) - margin:
+                    break  # nothing further down can be the best, or near enough to it to matter
+                self._score(a, names[near[k]], cosines[near[k]], scores)
         return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
 
+    def _score(self, a: str, i: int, cosine: float, scores: dict[int, float]) -> None:
+        """Puts the score of the i-th name into ``scores`` where it is its entry's best."""
+        name, entry = self.names[i]
+        b = name.replace(" ", "")
+        longest = max(len(a), len(b), 1)
+        score = min(0.99, 0.5 * float(cosine) + 0.5 * (1 - osa(a, b, longest) / longest))
+        if score > scores.get(entry, 0.0):
+            scores[entry] = score
+
 
 #: Least score and least lead over the next entry, by field.
 THRESHOLD = {"form": 0.5, "route": 0.5, "inn": 0.5}
@@ -167,6 +208,7 @@ MARGIN = {"form": 0.02, "route": 0.02, "inn": 0.02}
 def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, float] | None = None, margin: dict[str, float] | None = None) -> DataFrame:
     """(field_name, value, term_id, score) for distinct (field_name, value) against (term_id, field_name, term, aliases)."""
     threshold, margin = threshold or THRESHOLD, margin or MARGIN
+    of_margin = dict(margin)
     names = reference.select("term_id", "field_name", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("name")).where(F.col("name").isNotNull()).distinct()
     blocks = max(1, -(-names.count() // BLOCK))
     spread = values.select("field_name", "value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism, "field_name", "value")  # few bytes, much work
@@ -182,7 +224,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
             for batch in batches:
                 rows = []
                 for f, v in zip(batch["field_name"], batch["value"]):
-                    best = index[f].best(v) if f in index else []
+                    best = index[f].best(v, of_margin.get(f, 0.02)) if f in index else []
                     rows += [(f, v, int(e), float(s)) for e, s in best] or [(f, v, 0, 0.0)]
                 yield frame_of(rows, ["field_name", "value", "term_id", "score"])
 
@@ -209,7 +251,8 @@ def map_values(records: DataFrame, reference: DataFrame, key: str = "ord", field
     known = reference.select("field_name", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("term"))
     typed = typed_values(records, known, key, fields).withColumn("low", F.lower("value"))
     terms = reference.select("field_name", F.lower("term").alias("low"), "term_id").groupBy("field_name", "low").agg(F.min("term_id").alias("own_id"))
-    typed = typed.join(F.broadcast(terms), ["field_name", "low"], "left")
+    short = reference.limit(BLOCK + 1).count() <= BLOCK
+    typed = typed.join(F.broadcast(terms) if short else terms, ["field_name", "low"], "left")
     distinct = typed.where(F.col("own_id").isNull()).select("field_name", F.col("low").alias("value")).distinct()
     mapped = map_to_list(distinct, reference).select("field_name", F.col("value").alias("low"), F.col("term_id").alias("mapped_id"), "score")
     return typed.join(mapped, ["field_name", "low"], "left").select(key, "field_name", "value", F.coalesce("own_id", "mapped_id").cast("int").alias("term_id"), F.col("own_id").isNotNull().alias("is_term"), F.when(F.col("own_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))

@@ -1,8 +1,9 @@
 """Matching entities across sources without keys: soft-logic linkage.
 
 Both sides are reduced to signatures: ingredient entries, strengths in milligrams, the kind of form, and the parsed
-company name; equal signatures are one class. Candidate class pairs come from equi-joins in which whatever both sides
-know must agree (fields missing on one side drop out of the join key and are replaced by letter trigrams of the company's core).
+company name; every distinct value is mapped once, equal signatures are one class, and classes travel as hashes. Names of
+companies that may be one are found first, by keys that provably meet within the distance accepted; candidate class pairs then
+come from one equi-join on company, ingredients and strengths together, in which a field missing on one side drops out of the key.
 
 Weighted rules over the candidates become a convex hinge-loss problem, min sum_k w_k max(0, l_k(x)), x in [0, 1]:
 
@@ -10,15 +11,15 @@ Weighted rules over the candidates become a convex hinge-loss problem, min sum_k
   conjunction of the similarities);
 * prior: a pair does not match unless something says so;
 * exclusivity: one record is one product, so the products it might be share at most one unit, and likewise for a listing;
-* transitivity: listings of one product and one company match a record alike.
+* transitivity: listings of one product match a record alike, max(0, x - m) + max(0, m - x) with m the group's own variable.
 
-The problem is solved by consensus ADMM in which every step is a join-free aggregate: a factor's step needs only the
-sum over its members, a variable's step only the mean over its copies. No group is collected, whatever its size.
-The value of x is the confidence.
+Pairs without rivals have a closed form. The others are solved by consensus ADMM: pairs that hang together by a record or a
+listing form parts, parts are solved side by side, and one too large for a task by rounds over the whole table, in which every step is
+a sum over a group. Rounds go on until copies and variables agree. The value of x is the confidence.
 
 Defined results: null, placeholder or unreadable ingredients, strengths and forms do not speak against a pair; a missing
-company does; a pair that agrees in company alone, or in company and form alone, is no candidate; repeated rows are paired
-each; empty sides give no pairs.
+company does; a pair that shares neither ingredients nor strengths needs one known kind of form on both sides and one product of the
+company and kind; a pair that agrees in company alone is no candidate; repeated rows are paired each; empty sides give no pairs.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from regolith.functions.frames import frame_of
+from regolith.functions.frames import frame, frame_of
 from regolith.llm import canonical, mojibake, names
 from regolith.operators.packed import FIELD_RULES, Segmenter, osa
 from regolith.session import cut
@@ -43,8 +46,12 @@ KINDS = {
     "nasal spray": "spray", "suppository": "suppository", "pessary": "suppository", "granules": "granules", "metered-dose inhaler": "inhaler", "transdermal patch": "patch",
 }
 _STRENGTH = re.compile(r"(\d+(?:[.,  ]\d{3})*(?:[.,]\d+)?)\s*(mg|mcg|µg|μg|ug|g|iu|%)(?![a-z])\.?(?:\s*/\s*(\d+(?:[.,]\d+)?)?\s*(ml|l)(?![a-z])\.?)?", re.I)
-#: Weights of the rules, the ADMM step and the number of rounds.
-EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, STEP, ROUNDS = 4.0, 0.6, 6.0, 1.0, 8.0, 6
+#: Weights of the rules, the ADMM step, and how far copies and variables may differ at the end.
+EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, STEP, TOLERANCE = 4.0, 0.6, 6.0, 1.0, 12.0, 0.01
+#: Rounds between two looks at the difference, and rounds after which a problem that does not settle is an error.
+CHECKED, MOST_ROUNDS = 2, 2000
+#: Contested rows that hang together are solved in one task up to this number, by rounds over the table beyond it.
+MEMBERS = 20_000
 
 
 def number(text: str) -> float | None:
@@ -178,7 +185,7 @@ def _names_of(reference: DataFrame) -> dict[str, list[tuple[int, str]]]:
 
 
 class Signer:
-    """Reduces rows of either side to signatures; built once per task, what it has seen is kept."""
+    """Reduces single values of either side to what they mean; built once per task, what it has seen is kept."""
 
     def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple[dict[str, int], dict[str, int]] | None):
         self.index = {f: canonical.NgramIndex(names_of[f], f) for f in ("inn", "form")}
@@ -187,23 +194,15 @@ class Signer:
         self.segments = Segmenter(FIELD_RULES["inn"], [n.lower() for _, n in names_of["inn"]])
         self.parser = ListingParser(self.index, names_of["form"])
         self.channel = mojibake.Channel(*model) if model else None
-        self.seen: dict[tuple[str, str], object] = {}
-
-    def kept(self, what: str, value: str, make):
-        """``make(value)``, once for equal values."""
-        key = (what, value)
-        if key not in self.seen:
-            if len(self.seen) > 400_000:
-                self.seen.clear()
-            self.seen[key] = make(value)
-        return self.seen[key]
+        self.items: dict[str, str] = {}
+        self.companies: dict[str, tuple[str, str, str]] = {}
 
     def entry(self, field: str, value: str) -> int:
         """The list entry a value means, 0 for none."""
         low = value.lower()
         if (own := self.terms.get(f"{field}|{low}")) is not None:
             return own
-        best = self.index[field].best(low)
+        best = self.index[field].best(low, canonical.MARGIN[field])
         lead = best[0][1] - (best[1][1] if len(best) > 1 else 0.0) if best else 0.0
         return best[0][0] if best and best[0][1] >= canonical.THRESHOLD[field] and lead >= canonical.MARGIN[field] else 0
 
@@ -214,11 +213,15 @@ class Signer:
 
     def ingredients(self, text: str) -> str:
         found = set()
-        for item in self.segments.cut(text):
-            v = self.bare(item)
-            if v.lower() not in canonical.PLACEHOLDERS:
-                e = self.kept("inn", v.lower(), lambda x: self.entry("inn", x))
-                found.add(str(e) if e else f"x:{v.lower()}")
+        for item in self.segments.cut(text) if _PACKED.search(text) else [text]:
+            v = self.bare(item).lower()
+            if v not in canonical.PLACEHOLDERS:
+                if (own := self.items.get(v)) is None:
+                    e = self.entry("inn", v)
+                    own = self.items[v] = str(e) if e else f"x:{v}"
+                found.add(own)
+        if len(self.items) > 400_000:
+            self.items.clear()
         return "+".join(sorted(found))
 
     def kind(self, text: str) -> str:
@@ -226,6 +229,13 @@ class Signer:
         return "" if v.lower() in canonical.PLACEHOLDERS else self.kinds.get(self.entry("form", v), "")
 
     def company(self, name: str) -> tuple[str, str, str]:
+        if (own := self.companies.get(name)) is None:
+            if len(self.companies) > 400_000:
+                self.companies.clear()
+            own = self.companies[name] = self._company(name)
+        return own
+
+    def _company(self, name: str) -> tuple[str, str, str]:
         if name.strip().lower() in canonical.PLACEHOLDERS:
             return "", "", ""
         if self.channel and not name.isascii():
@@ -234,139 +244,315 @@ class Signer:
         return names.parse(name)
 
 
-_SIGNATURE = ("ing", "str", "kind", "core", "extra", "trade")
-_SIGNED = ", ".join(f"{c} string" for c in _SIGNATURE)
+_PACKED = re.compile(r"[;,+/&|\n\t\r]|\sand\s", re.I)
+_PARTS = ("ing", "str", "kind", "company")
+_TRIPLE = ("core", "extra", "trade")
+
+
+def _code(*columns) -> Column:
+    """Hash of what a field means, 0 where it is missing."""
+    return F.when(F.coalesce(columns[0], F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*columns))
+
+
+def strength_code(column: str) -> Column:
+    """``strengths`` as one hash, natively: every amount in milligrams or its unit, with six digits, in order."""
+    pattern = F.lit("(?i)" + _STRENGTH.pattern)
+    found = F.arrays_zip(*[F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), pattern, F.lit(i)).alias(n) for i, n in enumerate(("n", "unit", "per", "volume"), 1)])
+
+    def amount(c: Column) -> Column:
+        bare = F.regexp_replace(c, "[\u00a0 ]", "")
+        plain = F.when(bare.rlike(r"^[1-9]\d{0,2}(?:,\d{3})+(?:\.\d+)?$"), F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
+        return plain.try_cast("double")
+
+    def one(x: Column) -> Column:
+        unit, n = F.lower(x["unit"]), amount(x["n"])
+        small = unit.isin("mcg", "µg", "μg", "ug")
+        value = F.when(unit == "g", n * 1000).when(small, n / 1000).otherwise(n)
+        own = F.concat(F.format_string("%.6g", value), F.when((unit == "g") | small, F.lit("mg")).otherwise(unit))
+        per = F.coalesce(F.nullif(amount(x["per"]), F.lit(0.0)), F.lit(1.0)) * F.when(F.lower(x["volume"]) == "l", 1000.0).otherwise(1.0)
+        return F.when(n.isNotNull(), F.concat(own, F.when(x["volume"] != "", F.concat(F.lit("/"), F.format_string("%.6g", per), F.lit("ml"))).otherwise("")))
 
+    return _code(F.array_join(F.array_sort(F.filter(F.transform(found, one), lambda v: v.isNotNull())), "+"))
 
-def record_signatures(records: DataFrame, reference: DataFrame) -> DataFrame:
-    """(ord, ing, str, kind, core, extra, trade) of records with a company; ing, str and kind are '' where missing.
 
-    One pass without a shuffle: a value is mapped once in every task that meets it.
+def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, ing, str, kind, company) of records with a company, as hashes, 0 where missing; and (company, core, extra, trade).
+
+    A distinct value is mapped once and joined back by its hash.
     """
     context = records.sparkSession.sparkContext
     fixed, model = context.broadcast(_names_of(reference)), context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
+    wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
+    at = lambda f: F.xxhash64(F.lit(f), F.col(f))
+    fields = ("inn", "form", "company_raw")
+    values = wanted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(fixed.value, model.value)
-        text = lambda v: v if isinstance(v, str) else ""
         for batch in batches:
-            out: list[tuple] = []
-            for ord_, inn, strong, form, name in zip(batch["ord"], batch["inn"], batch["strength"], batch["form"], batch["company_raw"]):
-                core, extra, trade = signer.kept("company", name, signer.company)
-                if core:
-                    own = signer.kept("strength", text(strong), lambda v: "+".join(sorted(strengths(v))))
-                    out.append((ord_, signer.kept("inns", text(inn), signer.ingredients), own, signer.kept("form", text(form), signer.kind), core, extra, trade))
-            yield frame_of(out, ("ord", *_SIGNATURE))
-
-    wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
-    return wanted.mapInPandas(run, f"ord long, {_SIGNED}")
-
-
-def listing_signatures(listings: DataFrame, reference: DataFrame) -> DataFrame:
-    """(listing_id, ing, str, kind, core, extra, trade) of the other register's free texts."""
+            out = []
+            for field, value, place in zip(batch["field"], batch["value"], batch["at"]):
+                if field == "company_raw":
+                    out.append((field, place, None, *signer.company(value)))
+                else:
+                    out.append((field, place, signer.ingredients(value) if field == "inn" else signer.kind(value), None, None, None))
+            yield frame_of(out, ("field", "at", "sign", *_TRIPLE))
+
+    spread = values.repartition(4 * context.defaultParallelism, "at")  # few bytes, much work
+    meant = cut(spread.mapInPandas(mean, "field string, at long, sign string, core string, extra string, trade string"))
+    codes = lambda f, name: meant.where(F.col("field") == f).select(F.col("at").alias(f"{f}_at"), (_code(*map(F.col, _TRIPLE)) if f == "company_raw" else _code(F.col("sign"))).alias(name))
+    rows = wanted.select("ord", strength_code("strength").alias("str"), *[at(f).alias(f"{f}_at") for f in fields])
+    for f, name in (("form", "kind"), ("inn", "ing"), ("company_raw", "company")):
+        rows = rows.join(codes(f, name), f"{f}_at", "left").drop(f"{f}_at")
+    rows = rows.na.fill(0, ["kind", "ing", "company"]).where("company <> 0").select("ord", *_PARTS)
+    companies = meant.where("field = 'company_raw' AND core <> ''").select(_code(*map(F.col, _TRIPLE)).alias("company"), *_TRIPLE).distinct()
+    return rows, companies
+
+
+def listing_signatures(listings: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listing_id, ing, str, kind, company) of the other register's free texts, and their companies."""
     context = listings.sparkSession.sparkContext
     fixed = context.broadcast(_names_of(reference))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(fixed.value, None)
         for batch in batches:
             out: list[tuple] = []
-            for listing, generic, name in zip(batch["listing_id"], batch["generic_name"], batch["company_raw"]):
-                core, extra, trade = signer.kept("company", name, signer.company)
-                if core:
-                    ing, strong, form = signer.parser.parse(generic if isinstance(generic, str) else None)
-                    out.append((listing, "+".join(ing), "+".join(sorted(strong)), signer.kinds.get(form, ""), core, extra, trade))
-            yield frame_of(out, ("listing_id", *_SIGNATURE))
+            for listing, strong, generic, name in zip(batch["listing_id"], batch["str"], batch["generic_name"], batch["company_raw"]):
+                triple = signer.company(name)
+                if triple[0]:
+                    ing, _, form = signer.parser.parse(generic if isinstance(generic, str) else None)
+                    out.append((listing, strong, "+".join(ing), signer.kinds.get(form, ""), *triple))
+            yield frame_of(out, ("listing_id", "str", "ing", "kind", *_TRIPLE))
 
-    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull())
-    return flat.repartition(2 * context.defaultParallelism).mapInPandas(run, f"listing_id long, {_SIGNED}")
+    flat = listings.select("listing_id", strength_code("generic_name").alias("str"), "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull())
+    signed = cut(flat.repartition(4 * context.defaultParallelism).mapInPandas(mean, "listing_id long, str long, ing string, kind string, core string, extra string, trade string"))
+    company = _code(*map(F.col, _TRIPLE)).alias("company")
+    return signed.select("listing_id", _code(F.col("ing")).alias("ing"), "str", _code(F.col("kind")).alias("kind"), company), signed.select(company, *_TRIPLE).distinct()
 
 
 def _classes(signatures: DataFrame, tag: str) -> DataFrame:
     """Distinct signatures with their class number, columns tagged."""
-    return signatures.select(*_SIGNATURE).distinct().select(F.xxhash64(*_SIGNATURE).alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in _SIGNATURE])
+    return signatures.select(*_PARTS).distinct().select(F.xxhash64(*_PARTS).alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in _PARTS])
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Class pairs (r, c) whose known fields agree and whose companies may be one, with the similarity.
+def core_keys(core: str) -> list[str]:
+    """Keys of which two cores share one wherever ``similar`` may hold.
 
-    Fields travel as hashes, 0 where missing. Where a field is missing, three places of the company's core stand in for
-    it in the join key: its first two letters, the next three and the last three.
+    Cut both cores where the first five letters of one end: of up to three edits one part takes one at most, so the
+    beginnings or the ends share what a single deletion leaves of them. Short cores within two edits share what two deletions
+    leave; cores within three edits are similar only with the same first letter, so it is part of the key.
     """
-    for side, tag in ((0, "r"), (1, "c")):
-        own = (left, right)[side]
-        own = own.withColumns({f"{x}_{tag}": F.when(F.col(f"{x}_{tag}") == "", F.lit(0).cast("long")).otherwise(F.xxhash64(f"{x}_{tag}")) for x in ("ing", "str", "kind")})
-        left, right = (own, right) if tag == "r" else (left, own)
-    grams = lambda c: F.array_distinct(F.array(F.concat(F.lit("^"), F.substring(c, 1, 2)), F.concat(F.lit("+"), F.substring(c, 3, 3)), F.concat(F.lit("$"), F.substring(c, -3, 3))))
-    # one equi-join: every class offers a key for each way in which it may meet the other side
-    has = lambda x, t: F.col(f"{x}_{t}") != 0
-    keyed = lambda tag, c, other: F.when(c, F.transform(grams(f"core_{other}"), lambda g: F.xxhash64(F.lit(tag), F.col(f"{'ing' if tag[0] == 'i' else 'str'}_{other}"), g))).otherwise(F.array().cast("array<long>"))
-    full = lambda t: F.when(has("ing", t) & has("str", t), F.array(F.xxhash64(F.lit("f"), f"ing_{t}", f"str_{t}"))).otherwise(F.array().cast("array<long>"))
-    left_keys = F.concat(full("r"), keyed("i1", has("ing", "r") & ~has("str", "r"), "r"), keyed("i2", has("ing", "r"), "r"), keyed("s1", has("str", "r") & ~has("ing", "r"), "r"), keyed("s2", has("str", "r"), "r"))
-    right_keys = F.concat(full("c"), keyed("i1", has("ing", "c"), "c"), keyed("i2", has("ing", "c") & ~has("str", "c"), "c"), keyed("s1", has("str", "c"), "c"), keyed("s2", has("str", "c") & ~has("ing", "c"), "c"))
-    left, right = left.withColumn("key", F.explode(left_keys)), right.withColumn("key", F.explode(right_keys))
-    fits = F.lit(True)
-    for x in ("ing", "str", "kind"):
-        fits = fits & ((F.col(f"{x}_r") == F.col(f"{x}_c")) | ~has(x, "r") | ~has(x, "c"))
-    least = F.least(F.length("core_r"), F.length("core_c"))
-    d = F.levenshtein("core_r", "core_c")
-    prefix = (F.startswith(F.col("core_r"), F.col("core_c")) | F.startswith(F.col("core_c"), F.col("core_r"))) & (least >= 5)
-    cut_short = F.levenshtein(F.expr("left(core_r, least(length(core_r), length(core_c)))"), F.expr("left(core_c, least(length(core_r), length(core_c)))")) <= 1
+    keys = {"p" + x for x in names._deletions(core[:5], 1)}
+    if len(core) >= 9:
+        keys |= {"s" + x for x in names._deletions(core[-5:], 1)} | {"e" + core[0] + x for x in names._deletions(core[-4:], 1)}
+    if 6 <= len(core) <= 10:
+        keys |= {"d" + x for x in names._deletions(core, 2)}
+    return list(keys)
+
+
+def similar(a: str = "core_r", b: str = "core_c") -> Column:
+    """How alike two cores are: equal but for a typing error or a cut end 1, else less, 0 for different ones."""
+    a, b = F.col(a), F.col(b)
+    least = F.least(F.length(a), F.length(b))
+    d = F.levenshtein(a, b)
+    prefix = (F.startswith(a, b) | F.startswith(b, a)) & (least >= 5)
+    cut_short = F.levenshtein(F.left(a, least), F.left(b, least)) <= 1
+    return (
+        F.when(a == b, 1.0)
+        .when(prefix & (F.abs(F.length(a) - F.length(b)) <= 4), 1.0)
+        .when((d <= 1) & (least >= 4), 1.0)
+        .when((d <= 2) & (least >= 6), 0.95)
+        .when((d == 3) & (least >= 9) & (F.substring(a, 1, 1) == F.substring(b, 1, 1)), 0.8)
+        .when(cut_short & (least >= 5), 0.85)
+        .otherwise(0.0)
+    )
+
+
+def alike_companies(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(company_r, company_c, company): pairs of companies that may be one, with the similarity; each side is (company, core, extra, trade)."""
+
+    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield frame(core=batch["core"], key=[core_keys(c) for c in batch["core"]])
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        keys = side.select("core").distinct().mapInPandas(key, "core string, key array<string>")
+        return keys.select(F.col("core").alias(name), F.explode("key").alias("key")).select(name, F.xxhash64("key").alias("key"))
+
+    cores = keyed(left, "core_r").join(keyed(right, "core_c"), "key").select("core_r", "core_c").distinct().withColumn("near", similar()).where("near > 0")
+    side = lambda df, t: df.select(*[F.col(c).alias(f"{c}_{t}") for c in ("company", *_TRIPLE)])
     extra, trade = names._fits("extra_r", "extra_c"), names._fits("trade_r", "trade_c")
-    company = F.when((extra < 0) | (trade < 0), 0.0).when(prefix & (F.abs(F.length("core_r") - F.length("core_c")) <= 4), 1.0).when((d <= 1) & (least >= 4), 1.0).when((d <= 2) & (least >= 6), 0.95).when((d == 3) & (least >= 9) & (F.substring("core_r", 1, 1) == F.substring("core_c", 1, 1)), 0.8).when(cut_short & (least >= 5), 0.85).otherwise(0.0) - F.when(F.col("extra_r") == F.col("extra_c"), 0.0).otherwise(0.1) - F.when(F.col("trade_r") == F.col("trade_c"), 0.0).otherwise(0.05)
-    out = left.join(right, "key").where(fits).withColumn("company", company).where("company >= 0.6").select("r", "c", "company", *[f"{x}_{t}" for x in ("ing", "str", "kind") for t in "rc"])
-    known = lambda x, miss: F.when(~has(x, "r") | ~has(x, "c"), miss).otherwise(1.0)
-    score = known("ing", 0.8) + known("str", 0.85) + known("kind", 0.95) + F.col("company") - 3
-    return out.dropDuplicates(["r", "c"]).withColumn("sim", F.greatest(F.lit(0.0), score))
+    both = cores.join(side(left, "r"), "core_r").join(side(right, "c"), "core_c").where((extra >= 0) & (trade >= 0))
+    near = F.col("near") - F.when(F.col("extra_r") == F.col("extra_c"), 0.0).otherwise(0.1) - F.when(F.col("trade_r") == F.col("trade_c"), 0.0).otherwise(0.05)
+    return both.select("company_r", "company_c", near.alias("company")).where("company >= 0.6")
 
 
-def infer(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(r, c, confidence): consensus ADMM over the rules.
+def candidates(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
+    """(r, c, sim, ing_r, str_r, kind_r, ing_c, str_c, kind_c): class pairs whose known fields agree and whose companies may be one.
 
-    One row holds a variable z and its four copies, by their scaled duals: evidence and prior, which have one member each and
-    are solved in the row, and the exclusivity of its record and of its listing, which need the sum over their members.
+    One equi-join on company, ingredients and strengths together, so no pair is made only to be thrown away but for its kind of
+    form. A side that knows a field offers its value and, where the other may lack it, a mark; a side that lacks it offers
+    that mark: every pair meets under exactly one key. Pairs that share neither ingredients nor strengths must be of one known
+    kind, and are made only where one product of that company and kind is there at all: where several would fit alike, none is it.
+    """
+    own, lacks, any_ = 0, 1, 2
+    mark = lambda n, v=None: F.xxhash64(F.lit(n), v if v is not None else F.lit(0))
+    ways_r = lambda x: F.when(F.col(x) != 0, F.array(mark(own, F.col(x)), mark(lacks))).otherwise(F.array(mark(any_)))
+    ways_c = lambda x: F.when(F.col(x) != 0, F.array(mark(own, F.col(x)), mark(any_))).otherwise(F.array(mark(lacks), mark(any_)))
+    cross = lambda a, b: F.flatten(F.transform(a, lambda i: F.transform(b, lambda s: F.struct(i.alias("i"), s.alias("s")))))
+    blank = [mark(lacks), mark(any_)]
+    agree = lambda k: ~(k["i"].isin(*blank) & k["s"].isin(*blank))
+    right = right.join(alike, "company_c")
+    keys = lambda company, ways, a, b: F.transform(F.filter(cross(ways(a), ways(b)), agree), lambda k: F.xxhash64(F.col(company), k["i"], k["s"]))
+    # a class goes into the join as its number alone, a class of listings with the similarity of the company it stands for
+    met = left.select("r", F.explode(keys("company_r", ways_r, "ing_r", "str_r")).alias("key")).join(right.select("c", "company", F.explode(keys("company_r", ways_c, "ing_c", "str_c")).alias("key")), "key").select("r", "c", "company")
+    # pairs that know nothing in common but the kind
+    known = lambda t: (F.col(f"ing_{t}") != 0) | (F.col(f"str_{t}") != 0)
+    poor_r, poor_c = (F.col("ing_r") == 0) | (F.col("str_r") == 0), (F.col("ing_c") == 0) | (F.col("str_c") == 0)
+    place = ["company_r", "kind"]
+    of_kind_r, of_kind_c = left.where("kind_r <> 0").withColumnRenamed("kind_r", "kind"), right.where("kind_c <> 0").withColumnRenamed("kind_c", "kind")
+    products = lambda df, t: F.count_distinct(F.when(known(t), F.xxhash64(f"ing_{t}", f"str_{t}")))
+    single = of_kind_c.groupBy(*place).agg(products(of_kind_c, "c").alias("n_c")).join(of_kind_r.groupBy(*place).agg(products(of_kind_r, "r").alias("n_r"), F.count_if(poor_r).alias("poor")), place)
+    single = single.where("n_c <= 1 AND n_r <= 1")
+    rest = of_kind_r.join(single.select(*place), place).join(of_kind_c.select("c", "company", "ing_c", "str_c", *place), place)
+    rest = rest.where(((F.col("ing_r") == 0) | (F.col("ing_c") == 0)) & ((F.col("str_r") == 0) | (F.col("str_c") == 0)) & (known("r") | known("c"))).select("r", "c", "company")
+    met = met.unionByName(rest)
+    out = met.join(left.select("r", "ing_r", "str_r", "kind_r"), "r").join(right.select("c", "ing_c", "str_c", "kind_c").distinct(), "c")
+    out = out.where((F.col("kind_r") == F.col("kind_c")) | (F.col("kind_r") == 0) | (F.col("kind_c") == 0))
+    value = lambda x, miss: F.when((F.col(f"{x}_r") == 0) | (F.col(f"{x}_c") == 0), miss).otherwise(1.0)
+    score = value("ing", 0.8) + value("str", 0.85) + value("kind", 0.95) + F.col("company") - 3
+    return out.withColumn("sim", F.greatest(F.lit(0.0), score)).drop("company")
+
+
+def infer(pairs: DataFrame) -> DataFrame:
+    """(r, c, confidence): the least of the sum of all hinges.
+
+    A pair without a rival product on either side is bound by evidence, prior and transitivity alone, and those have a closed
+    form: x is the pair's similarity, raised to the point of its group where as much pulls up as down. The others go through
+    consensus ADMM: exclusivity and transitivity hold copies of the variables, evidence and prior are solved in the variable's
+    own step. Every step is an aggregate over a group, and rounds go on until copies and variables agree within ``TOLERANCE``.
     """
     # what a side lacks it takes from the other: candidates that differ in that are different products
     taken = lambda own, other: F.xxhash64(*[F.when(F.col(f"{x}_{own}") == 0, F.col(f"{x}_{other}")).otherwise(F.lit(0).cast("long")) for x in ("ing", "str", "kind")])
     pairs = pairs.select("r", "c", "sim", taken("c", "r").alias("kr"), taken("r", "c").alias("kc"))
+    level = F.expr(f"percentile_disc({ALIKE / (ALIKE + PRIOR)}) WITHIN GROUP (ORDER BY sim)")
     # of the candidates of one record that are one product, each counts its part, so that a product counts once
-    pairs = pairs.join(pairs.groupBy("r", "kc").agg(F.count("*").alias("n_r")), ["r", "kc"]).join(pairs.groupBy("c", "kr").agg(F.count("*").alias("n_c")), ["c", "kr"])
-    state = cut(pairs.select("r", "c", "kc", "sim", (1.0 / F.col("n_r")).alias("a_r"), (1.0 / F.col("n_c")).alias("a_c"), F.col("sim").alias("z"), *[F.lit(0.0).alias(u) for u in ("u_e", "u_p", "u_r", "u_c")]))
-
-    def hinge(q, over, weight, a, aa):
-        """The step of one member of w * max(0, sum - b): where the hinge is flat stay, where it is steep move by w, else to the bend."""
-        move = F.when(over <= 0, 0.0).when(over > F.lit(weight / STEP) * aa, F.lit(weight / STEP)).otherwise(over / aa)
-        return q - move * a
-
-    for n in range(rounds):
-        q = {u: F.col("z") - F.col(f"u_{u}") for u in "eprc"}
-        for key in "rc":
-            sums = state.groupBy(key).agg(F.sum(F.col(f"a_{key}") * q[key]).alias(f"s_{key}"), F.sum(F.col(f"a_{key}") * F.col(f"a_{key}")).alias(f"aa_{key}"))
-            state = state.join(sums, key)
-        y = {
-            "e": hinge(q["e"], F.col("sim") - q["e"], EVIDENCE, F.lit(-1.0), F.lit(1.0)),
-            "p": hinge(q["p"], q["p"], PRIOR, F.lit(1.0), F.lit(1.0)),
-            "r": hinge(q["r"], F.col("s_r") - 1.0, EXCLUSIVE, F.col("a_r"), F.col("aa_r")),
-            "c": hinge(q["c"], F.col("s_c") - 1.0, EXCLUSIVE, F.col("a_c"), F.col("aa_c")),
-        }
-        state = state.withColumns({f"y_{k}": v for k, v in y.items()})
-        state = state.withColumns({f"u_{k}": F.col(f"u_{k}") + F.col(f"y_{k}") - F.col("z") for k in y})
-        mean = (F.col("y_e") + F.col("y_p") + F.col("y_r") + F.col("y_c") + F.col("u_e") + F.col("u_p") + F.col("u_r") + F.col("u_c")) / 4.0
-        state = state.withColumn("z", F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)))
-        if n % 2:  # transitivity: pulls the candidates of one record that are one product to their mean
-            alike = state.groupBy("r", "kc").agg(F.avg("z").alias("m"))
-            state = state.join(alike, ["r", "kc"]).withColumn("z", F.col("z") + ALIKE / (2 * STEP) * (F.col("m") - F.col("z")))
-            state = cut(state.select("r", "c", "kc", "sim", "a_r", "a_c", "z", "u_e", "u_p", "u_r", "u_c"))
-        else:
-            state = state.select("r", "c", "kc", "sim", "a_r", "a_c", "z", "u_e", "u_p", "u_r", "u_c")
-    return state.select("r", "c", F.col("z").alias("confidence"))
+    by_r = pairs.groupBy("r", "kc").agg(F.count("*").alias("n_r"), level.alias("level"))
+    by_c = pairs.groupBy("c", "kr").agg(F.count("*").alias("n_c"))
+    rivals_r, rivals_c = by_r.groupBy("r").agg(F.count("*").alias("k_r"), F.sum(1.0 / F.col("n_r")).alias("aa_r")), by_c.groupBy("c").agg(F.count("*").alias("k_c"), F.sum(1.0 / F.col("n_c")).alias("aa_c"))
+    placed = pairs.join(by_r, ["r", "kc"]).join(rivals_r, "r").join(by_c, ["c", "kr"]).join(rivals_c, "c")
+    contested = (F.col("k_r") > 1) | (F.col("k_c") > 1)
+    placed = cut(placed.join(placed.groupBy("r", "kc").agg(F.bool_or(contested).alias("open")), ["r", "kc"]))
+    settled = placed.where(~F.col("open")).select("r", "c", F.greatest("sim", "level").alias("confidence"))
+    # one row holds a variable z, its group's m, and the scaled duals of the copies it has; a flag says which it has
+    flags = {"r": F.col("k_r") > 1, "c": F.col("k_c") > 1, "t": F.col("n_r") > 1}
+    state = placed.where("open").select(
+        "r", "c", "kc", "sim", (1.0 / F.col("n_r")).alias("a_r"), (1.0 / F.col("n_c")).alias("a_c"), "aa_r", "aa_c",
+        *[x.cast("double").alias(f"has_{k}") for k, x in flags.items()], "level", F.col("sim").alias("z"), F.col("level").alias("m"), *[F.lit(0.0).alias(f"u_{k}") for k in "rctm"], F.lit(1.0).alias("gap"),
+    )
+    state = _parts(state)
+    sizes = state.groupBy("part").agg(F.count("*").alias("size"))
+    kept = ["r", "c", "confidence"]
+    most = sizes.agg(F.max("size")).first()[0] or 0
+    if not most:
+        return settled
+    small = state if most <= MEMBERS else state.join(sizes.where(F.col("size") <= MEMBERS), "part", "left_semi")
+    solved = settled.unionByName(small.groupBy("part").applyInPandas(_solved, "r long, c long, confidence double"))
+    return solved if most <= MEMBERS else solved.unionByName(_rounds(state.join(sizes.where(F.col("size") > MEMBERS), "part", "left_semi")).select(*kept))
+
+
+def _parts(state: DataFrame) -> DataFrame:
+    """The rows with ``part``: contested rows that hang together by a record or a listing have the same; a few steps nearly always suffice."""
+    state = state.withColumn("part", F.least("r", "c"))
+    while True:
+        for k in "rcrc":
+            state = state.withColumn("part", F.min("part").over(W.partitionBy(k)))
+        state = cut(state)
+        # after the step by listings only a record can still hold two parts
+        if state.groupBy("r").agg((F.min("part") != F.max("part")).alias("split")).where("split").isEmpty():
+            return state
+
+
+def _rounds(state: DataFrame) -> DataFrame:
+    """The confidences of contested rows by rounds over the whole table; for parts too large for one task."""
+    columns = state.columns
+    state = cut(state)
+    rounds = 0
+    while (state.agg(F.max("gap")).first()[0] or 0.0) > TOLERANCE:
+        if rounds >= MOST_ROUNDS:
+            raise RuntimeError(f"copies and variables still differ after {rounds} rounds")
+        for _ in range(CHECKED):
+            state = _round(state).select(*columns)
+        rounds += CHECKED
+        state = cut(state)
+    return state.withColumnRenamed("z", "confidence")
+
+
+def _solved(rows: pd.DataFrame) -> pd.DataFrame:
+    """The same rounds over one part in memory."""
+    at = {"r": pd.factorize(rows["r"])[0], "c": pd.factorize(rows["c"])[0], "t": rows.groupby(["r", "kc"], sort=False).ngroup().to_numpy()}
+    has = {k: rows[f"has_{k}"].to_numpy() for k in "rct"}
+    part = {k: rows[f"a_{k}"].to_numpy() for k in "rc"}
+    whole = {k: rows[f"aa_{k}"].to_numpy() for k in "rc"}
+    sim, z, m = rows["sim"].to_numpy(), rows["sim"].to_numpy().copy(), rows["level"].to_numpy().copy()
+    u = {k: np.zeros(len(rows)) for k in "rctm"}
+    copies = has["r"] + has["c"] + has["t"]
+    twins = np.bincount(at["t"])[at["t"]]
+    for _ in range(MOST_ROUNDS):
+        y = {}
+        for k in "rc":
+            q = z - u[k]
+            over = np.bincount(at[k], part[k] * q)[at[k]] - 1.0
+            y[k] = q - np.clip(over / whole[k], 0.0, EXCLUSIVE / STEP) * part[k]
+        apart = np.clip((z - u["t"] - m + u["m"]) / 2, -ALIKE / STEP, ALIKE / STEP)
+        y["t"], y_m = z - u["t"] - apart, m - u["m"] + apart
+        mean = sum(has[k] * (y[k] + u[k]) for k in "rct") / copies
+        up, down = mean + (EVIDENCE - PRIOR) / (copies * STEP), mean - PRIOR / (copies * STEP)
+        new = np.clip(np.where(up < sim, up, np.where(down > sim, down, sim)), 0.0, 1.0)
+        m_new = np.bincount(at["t"], y_m + u["m"])[at["t"]] / twins
+        gap = max(*[(has[k] * np.abs(y[k] - new)).max() for k in "rct"], (has["t"] * np.abs(y_m - m_new)).max(), np.abs(new - z).max())
+        for k in "rct":
+            u[k] = u[k] + y[k] - new
+        u["m"] = u["m"] + y_m - m_new
+        z, m = new, m_new
+        if gap <= TOLERANCE / 10:
+            return frame(r=rows["r"], c=rows["c"], confidence=z.tolist())
+    raise RuntimeError(f"copies and variables still differ after {MOST_ROUNDS} rounds")
+
+
+def _round(state: DataFrame) -> DataFrame:
+    """One round: copies of exclusivity and transitivity, then the variables, then the duals."""
+    # windows spill, and what is contested is a few rows of a product: a join with itself would double the plan every time
+    for k in "cr":
+        state = state.withColumn(f"s_{k}", F.sum(F.col(f"a_{k}") * (F.col("z") - F.col(f"u_{k}"))).over(W.partitionBy(k)))
+
+    def exclusive(k: str) -> Column:
+        # the step of one member of w * max(0, sum - 1): where the hinge is flat stay, where it is steep move by w, else to the bend
+        over, aa = F.col(f"s_{k}") - 1.0, F.col(f"aa_{k}")
+        return F.col("z") - F.col(f"u_{k}") - F.least(F.greatest(over / aa, F.lit(0.0)), F.lit(EXCLUSIVE / STEP)) * F.col(f"a_{k}")
+
+    most = F.lit(ALIKE / STEP)
+    apart = F.greatest(-most, F.least(most, (F.col("z") - F.col("u_t") - F.col("m") + F.col("u_m")) / 2))
+    state = state.withColumns({"y_r": exclusive("r"), "y_c": exclusive("c"), "y_t": F.col("z") - F.col("u_t") - apart, "y_m": F.col("m") - F.col("u_m") + apart})
+    copies = F.col("has_r") + F.col("has_c") + F.col("has_t")
+    mean = sum((F.col(f"has_{k}") * (F.col(f"y_{k}") + F.col(f"u_{k}")) for k in "rct"), F.lit(0.0)) / copies
+    up, down = mean + (EVIDENCE - PRIOR) / (copies * STEP), mean - PRIOR / (copies * STEP)
+    z = F.when(up < F.col("sim"), up).when(down > F.col("sim"), down).otherwise(F.col("sim"))
+    state = state.withColumn("z_new", F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)))
+    state = state.withColumn("m_new", F.avg(F.col("y_m") + F.col("u_m")).over(W.partitionBy("r", "kc")))
+    moved = F.greatest(*[F.col(f"has_{k}") * F.abs(F.col(f"y_{k}") - F.col("z_new")) for k in "rct"], F.col("has_t") * F.abs(F.col("y_m") - F.col("m_new")), F.abs(F.col("z_new") - F.col("z")))
+    state = state.withColumns({"gap": moved, **{f"u_{k}": F.col(f"u_{k}") + F.col(f"y_{k}") - F.col("z_new") for k in "rct"}, "u_m": F.col("u_m") + F.col("y_m") - F.col("m_new")})
+    return state.drop("z", "m").withColumnsRenamed({"z_new": "z", "m_new": "m"})
 
 
 def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(ord, listing_id, confidence) of pairs above the threshold."""
-    left, right = cut(record_signatures(records, reference)), cut(listing_signatures(listings, reference))
-    pairs = cut(candidates(_classes(left, "r"), _classes(right, "c")))
-    found = infer(pairs).where(F.col("confidence") > threshold)
-    rows = left.select("ord", F.xxhash64(*_SIGNATURE).alias("r"))
-    others = right.select("listing_id", F.xxhash64(*_SIGNATURE).alias("c"))
-    return found.join(rows, "r").join(others, "c").select("ord", "listing_id", "confidence")
+    """(ord, listing_id, confidence) of pairs above the threshold by more than the tolerance to which confidences are solved."""
+    left, companies = record_signatures(records, reference)
+    right, others = listing_signatures(listings, reference)
+    left = cut(left)
+    pairs = cut(candidates(_classes(left, "r"), _classes(right, "c"), cut(alike_companies(companies, others))))
+    found = infer(pairs).where(F.col("confidence") > threshold + TOLERANCE)
+    rows = left.select("ord", F.xxhash64(*_PARTS).alias("r"))
+    listed = right.select("listing_id", F.xxhash64(*_PARTS).alias("c"))
+    return found.join(rows, "r").join(listed, "c").select("ord", "listing_id", "confidence")
