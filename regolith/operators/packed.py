@@ -34,6 +34,7 @@ _UNIT = r"(?:mg|mcg|µg|ug|g|iu|ml|l|%)"
 _PER_VOLUME = re.compile(r"\s*(?:\d+(?:[.,]\d+)?\s*)?(?:ml|l|dose|doses|actuation|h|hour|day)\b|\s*(?:g|kg)\b", re.I)
 _STRENGTH_TAIL = re.compile(r"\s+\d+(?:[.,]\d+)?\s*" + _UNIT + r"\.?(?:\s*/\s*(?:\d+(?:[.,]\d+)?\s*)?(?:ml|l|g)\.?)?$", re.I)
 _NAME_TAIL_PATTERN = re.compile(r"(?:\d+|box of \d+|pack of \d+|n[^a-z0-9\s]{1,6}\s*\d+|cr[^a-z]{1,6}me)(?:\s.*)?$", re.I)
+_GUARDS = re.compile("[\"'“‘(]")
 _WORD_DELIMITER = re.compile(r"\s(and)\s", re.I)
 
 
@@ -90,6 +91,8 @@ def osa(a: str, b: str, most: int) -> int:
 def _protected(text: str) -> bytearray:
     """Marks characters inside closed quotes (opened at the start of a piece) and closed parentheses."""
     safe = bytearray(len(text))
+    if not _GUARDS.search(text):
+        return safe
     i, fresh = 0, True
     while i < len(text):
         c = text[i]
