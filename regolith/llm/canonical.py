@@ -101,16 +101,19 @@ def grams(text: str) -> dict[str, int]:
     return out
 
 
-_KINDS = 37
+#: Letters, digits and the rest; names compared at once rather than one by one; cells of a table of postings.
+_KINDS, _MANY, _TABLE = 37, 6, 4_000_000
 _NONE = np.zeros(0, dtype=np.int64)
 
 
+def _place(c: str) -> int:
+    """Readings hold letters, digits and blanks only."""
+    return ord(c) - 97 if "a" <= c <= "z" else ord(c) - 22 if "0" <= c <= "9" else 36
+
+
 def _letters(text: str) -> np.ndarray:
-    """How often each letter and digit occurs, others together: strings that differ in n of them are at least n edits apart."""
-    out = np.zeros(_KINDS, dtype=np.int32)
-    for c in text:
-        out[ord(c) - 97 if "a" <= c <= "z" else ord(c) - 22 if "0" <= c <= "9" else 36] += 1
-    return out
+    """How often each letter and digit occurs: strings that differ in n of them are at least n edits apart."""
+    return np.bincount([_place(c) for c in text], minlength=_KINDS) if text else np.zeros(_KINDS, dtype=np.int64)
 
 
 class NgramIndex:
@@ -140,30 +143,47 @@ class NgramIndex:
             for g, n in bag.items():
                 lists.setdefault(g, []).append((i, n * self.idf[g] / size))
         self.postings = {g: (np.array([i for i, _ in own]), np.array([w for _, w in own])) for g, own in lists.items()}
-        bare = [text.replace(" ", "") for text, _ in self.names]
-        self.letters = np.array([_letters(b) for b in bare], dtype=np.int32).reshape(len(bare), _KINDS)
-        self.sizes = np.array([len(b) for b in bare], dtype=np.int32)
+        self.bare = [text.replace(" ", "") for text, _ in self.names]
+        self.letters = np.array([_letters(b) for b in self.bare], dtype=np.int32).reshape(len(self.bare), _KINDS)
+        self.sizes = np.array([len(b) for b in self.bare], dtype=np.int32)
+        self.places: np.ndarray | None = None
+        # a short list's postings fit one table, a gram a row
+        self.rows = {g: k for k, g in enumerate(self.postings)}
+        self.table: np.ndarray | None = None
+        if len(self.rows) * len(self.names) <= _TABLE:
+            self.table = np.zeros((len(self.rows), len(self.names)))
+            for g, (at, weights) in self.postings.items():
+                self.table[self.rows[g], at] = weights
 
     def _cosines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(names that share a gram with the text, their cosines); sparse where the lists are short."""
+        """(names that share a gram with the text, their cosines); sparse where the lists are long."""
         bag = grams(text)
-        size = math.sqrt(sum((n * self.idf.get(g, self.rare)) ** 2 for g, n in bag.items())) or 1.0
-        hits = [(own, n * self.idf[g] / size) for g, n in bag.items() if (own := self.postings.get(g)) is not None]
-        if not hits:
-            return _NONE, _NONE
-        at, weights = np.concatenate([own[0] for own, _ in hits]), np.concatenate([own[1] * w for own, w in hits])
-        if 8 * len(at) < len(self.names):
-            names, place = np.unique(at, return_inverse=True)
-            return names, np.bincount(place, weights)
-        dense = np.bincount(at, weights, len(self.names))
+        idf, rare = self.idf, self.rare
+        weights = {g: n * idf.get(g, rare) for g, n in bag.items()}
+        size = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        if self.table is not None:
+            rows = [g for g in weights if g in self.rows]
+            if not rows:
+                return _NONE, _NONE
+            dense = np.array([weights[g] for g in rows]) @ self.table[[self.rows[g] for g in rows]]
+        else:
+            hits = [(own, weights[g]) for g in weights if (own := self.postings.get(g)) is not None]
+            if not hits:
+                return _NONE, _NONE
+            at, parts = np.concatenate([own[0] for own, _ in hits]), np.concatenate([own[1] * w for own, w in hits])
+            if 8 * len(at) < len(self.names):
+                names, place = np.unique(at, return_inverse=True)
+                return names, np.bincount(place, parts) / size
+            dense = np.bincount(at, parts, len(self.names))
         names = np.nonzero(dense)[0]
-        return names, dense[names]
+        return names, dense[names] / size
 
-    def best(self, value: str, margin: float = 0.0) -> list[tuple[int, float]]:
+    def best(self, value: str, margin: float = 0.0, least: float = 0.0) -> list[tuple[int, float]]:
         """(entry, score) of the best entry and of the next, the latter left out where it is more than ``margin`` behind.
 
         The score is half cosine, half edit similarity. Every name that shares a gram is a candidate; one is passed over
-        only where its cosine and the letters it has in common with the value prove that it is ``margin`` behind or more.
+        only where its cosine and the letters it has in common with the value prove that it is ``margin`` behind or more, or
+        below ``least``; so scores from ``least`` on are exact.
         """
         scores: dict[int, float] = {}
         for text in readings(value, self.field):
@@ -177,28 +197,63 @@ class NgramIndex:
             a = text.replace(" ", "")
             top = int(np.argmax(cosines))
             self._score(a, names[top], cosines[top], scores)
-            near = np.nonzero(0.5 * cosines + 0.5 >= max(scores.values()) - margin)[0]
+            near = np.nonzero(0.5 * cosines + 0.5 >= max(max(scores.values()) - margin, least))[0]
             near = near[near != top]
             if not len(near):
                 continue
             gap = self.letters[names[near]] - _letters(a)
-            apart = np.maximum(np.where(gap > 0, gap, 0).sum(1), np.where(gap < 0, -gap, 0).sum(1))
-            bound = 0.5 * cosines[near] + 0.5 * (1 - apart / np.maximum(np.maximum(self.sizes[names[near]], len(a)), 1))
+            over, under = np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)
+            bound = 0.5 * cosines[near] + 0.5 * (1 - np.maximum(over, under) / np.maximum(np.maximum(self.sizes[names[near]], len(a)), 1))
+            hopeful = bound >= max(max(scores.values()) - margin, least)
+            near, bound = near[hopeful], bound[hopeful]
+            if len(near) > _MANY and self.sizes[names[near]].max() <= 63:
+                self._score_all(a, names[near], cosines[near], scores)
+                continue
             for k in np.lexsort((names[near], -bound)):
-                if bound[k] < max(scores.values()) - margin:
+                if bound[k] < max(max(scores.values()) - margin, least):
                     break  # nothing further down can be the best, or near enough to it to matter
                 self._score(a, names[near[k]], cosines[near[k]], scores)
         return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:2]
 
     def _score(self, a: str, i: int, cosine: float, scores: dict[int, float]) -> None:
         """Puts the score of the i-th name into ``scores`` where it is its entry's best."""
-        name, entry = self.names[i]
-        b = name.replace(" ", "")
+        b, entry = self.bare[i], self.names[i][1]
         longest = max(len(a), len(b), 1)
         score = min(0.99, 0.5 * float(cosine) + 0.5 * (1 - osa(a, b, longest) / longest))
         if score > scores.get(entry, 0.0):
             scores[entry] = score
 
+    def _score_all(self, a: str, at: np.ndarray, cosines: np.ndarray, scores: dict[int, float]) -> None:
+        """The same for many names of up to 63 letters at once: the alignment's columns as machine words, one per name."""
+        one = np.uint64(1)
+        masks, sizes = self._masks()[at], self.sizes[at]
+        top = one << (np.maximum(sizes, 1) - 1).astype(np.uint64)
+        up, down = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+        diagonal, before, distance = down.copy(), down.copy(), sizes.astype(np.int64)
+        for c in a:
+            here = masks[:, _place(c)]
+            swapped = ((~diagonal & here) << one) & before
+            diagonal = (((here & up) + up) ^ up) | here | down | swapped
+            more, less = down | ~(diagonal | up), diagonal & up
+            distance += ((more & top) != 0).astype(np.int64) - ((less & top) != 0)
+            more, less = (more << one) | one, less << one
+            up, down, before = less | ~(diagonal | more), more & diagonal, here
+        longest = np.maximum(np.maximum(sizes, len(a)), 1)
+        for i, score in zip(at, np.minimum(0.99, 0.5 * cosines + 0.5 * (1 - distance / longest))):
+            entry = self.names[i][1]
+            if score > scores.get(entry, 0.0):
+                scores[entry] = float(score)
+
+    def _masks(self) -> np.ndarray:
+        """For each name and letter, the places where it stands as bits."""
+        if self.places is None:
+            self.places = np.zeros((len(self.bare), _KINDS), np.uint64)
+            for i, b in enumerate(self.bare):
+                if len(b) <= 63:
+                    for k, c in enumerate(b):
+                        self.places[i, _place(c)] |= np.uint64(1 << k)
+        return self.places
+
 
 #: Least score and least lead over the next entry, by field.
 THRESHOLD = {"form": 0.5, "route": 0.5, "inn": 0.5}
@@ -206,9 +261,9 @@ MARGIN = {"form": 0.02, "route": 0.02, "inn": 0.02}
 
 
 def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, float] | None = None, margin: dict[str, float] | None = None) -> DataFrame:
-    """(field_name, value, term_id, score) for distinct (field_name, value) against (term_id, field_name, term, aliases)."""
+    """(field_name, value, term_id, score) for distinct (field_name, value) against (term_id, field_name, term, aliases); score 0 below the threshold."""
     threshold, margin = threshold or THRESHOLD, margin or MARGIN
-    of_margin = dict(margin)
+    of_margin, of_least = dict(margin), dict(threshold)
     names = reference.select("term_id", "field_name", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("term"))).alias("name")).where(F.col("name").isNotNull()).distinct()
     blocks = max(1, -(-names.count() // BLOCK))
     spread = values.select("field_name", "value").repartition(2 * values.sparkSession.sparkContext.defaultParallelism, "field_name", "value")  # few bytes, much work
@@ -224,7 +279,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
             for batch in batches:
                 rows = []
                 for f, v in zip(batch["field_name"], batch["value"]):
-                    best = index[f].best(v, of_margin.get(f, 0.02)) if f in index else []
+                    best = index[f].best(v, of_margin.get(f, 0.02), of_least.get(f, 0.0)) if f in index else []
                     rows += [(f, v, int(e), float(s)) for e, s in best] or [(f, v, 0, 0.0)]
                 yield frame_of(rows, ["field_name", "value", "term_id", "score"])
 
@@ -234,7 +289,7 @@ def map_to_list(values: DataFrame, reference: DataFrame, threshold: dict[str, fl
     first, second = F.col("best")[0], F.coalesce(F.try_element_at("best", F.lit(2))["score"], F.lit(0.0))
     of = lambda table: F.coalesce(*[F.when(F.col("field_name") == k, F.lit(v)) for k, v in table.items()], F.lit(0.7))
     accepted = (first["score"] >= of(threshold)) & (first["score"] - second >= of(margin))
-    return ranked.select("field_name", "value", F.when(accepted, first["term_id"]).otherwise(0).cast("int").alias("term_id"), first["score"].alias("score"))
+    return ranked.select("field_name", "value", F.when(accepted, first["term_id"]).otherwise(0).cast("int").alias("term_id"), F.when(first["score"] >= of(threshold), first["score"]).otherwise(0.0).alias("score"))
 
 
 def typed_values(records: DataFrame, known: DataFrame | None = None, key: str = "ord", fields: tuple[str, ...] = ("form", "route", "inn")) -> DataFrame:

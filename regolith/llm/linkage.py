@@ -202,7 +202,7 @@ class Signer:
         low = value.lower()
         if (own := self.terms.get(f"{field}|{low}")) is not None:
             return own
-        best = self.index[field].best(low, canonical.MARGIN[field])
+        best = self.index[field].best(low, canonical.MARGIN[field], canonical.THRESHOLD[field])
         lead = best[0][1] - (best[1][1] if len(best) > 1 else 0.0) if best else 0.0
         return best[0][0] if best and best[0][1] >= canonical.THRESHOLD[field] and lead >= canonical.MARGIN[field] else 0
 
@@ -254,27 +254,6 @@ def _code(*columns) -> Column:
     return F.when(F.coalesce(columns[0], F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*columns))
 
 
-def strength_code(column: str) -> Column:
-    """``strengths`` as one hash, natively: every amount in milligrams or its unit, with six digits, in order."""
-    pattern = F.lit("(?i)" + _STRENGTH.pattern)
-    found = F.arrays_zip(*[F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), pattern, F.lit(i)).alias(n) for i, n in enumerate(("n", "unit", "per", "volume"), 1)])
-
-    def amount(c: Column) -> Column:
-        bare = F.regexp_replace(c, "[\u00a0 ]", "")
-        plain = F.when(bare.rlike(r"^[1-9]\d{0,2}(?:,\d{3})+(?:\.\d+)?$"), F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.replace(bare, F.lit(","), F.lit(".")))
-        return plain.try_cast("double")
-
-    def one(x: Column) -> Column:
-        unit, n = F.lower(x["unit"]), amount(x["n"])
-        small = unit.isin("mcg", "µg", "μg", "ug")
-        value = F.when(unit == "g", n * 1000).when(small, n / 1000).otherwise(n)
-        own = F.concat(F.format_string("%.6g", value), F.when((unit == "g") | small, F.lit("mg")).otherwise(unit))
-        per = F.coalesce(F.nullif(amount(x["per"]), F.lit(0.0)), F.lit(1.0)) * F.when(F.lower(x["volume"]) == "l", 1000.0).otherwise(1.0)
-        return F.when(n.isNotNull(), F.concat(own, F.when(x["volume"] != "", F.concat(F.lit("/"), F.format_string("%.6g", per), F.lit("ml"))).otherwise("")))
-
-    return _code(F.array_join(F.array_sort(F.filter(F.transform(found, one), lambda v: v.isNotNull())), "+"))
-
-
 def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, ing, str, kind, company) of records with a company, as hashes, 0 where missing; and (company, core, extra, trade).
 
@@ -284,7 +263,7 @@ def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFra
     fixed, model = context.broadcast(_names_of(reference)), context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
     wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
     at = lambda f: F.xxhash64(F.lit(f), F.col(f))
-    fields = ("inn", "form", "company_raw")
+    fields = ("inn", "strength", "form", "company_raw")
     values = wanted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,16 +274,17 @@ def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFra
                 if field == "company_raw":
                     out.append((field, place, None, *signer.company(value)))
                 else:
-                    out.append((field, place, signer.ingredients(value) if field == "inn" else signer.kind(value), None, None, None))
+                    sign = signer.ingredients(value) if field == "inn" else signer.kind(value) if field == "form" else "+".join(sorted(strengths(value)))
+                    out.append((field, place, sign, None, None, None))
             yield frame_of(out, ("field", "at", "sign", *_TRIPLE))
 
     spread = values.repartition(4 * context.defaultParallelism, "at")  # few bytes, much work
     meant = cut(spread.mapInPandas(mean, "field string, at long, sign string, core string, extra string, trade string"))
     codes = lambda f, name: meant.where(F.col("field") == f).select(F.col("at").alias(f"{f}_at"), (_code(*map(F.col, _TRIPLE)) if f == "company_raw" else _code(F.col("sign"))).alias(name))
-    rows = wanted.select("ord", strength_code("strength").alias("str"), *[at(f).alias(f"{f}_at") for f in fields])
-    for f, name in (("form", "kind"), ("inn", "ing"), ("company_raw", "company")):
+    rows = wanted.select("ord", *[at(f).alias(f"{f}_at") for f in fields])
+    for f, name in (("form", "kind"), ("strength", "str"), ("inn", "ing"), ("company_raw", "company")):
         rows = rows.join(codes(f, name), f"{f}_at", "left").drop(f"{f}_at")
-    rows = rows.na.fill(0, ["kind", "ing", "company"]).where("company <> 0").select("ord", *_PARTS)
+    rows = rows.na.fill(0, ["kind", "str", "ing", "company"]).where("company <> 0").select("ord", *_PARTS)
     companies = meant.where("field = 'company_raw' AND core <> ''").select(_code(*map(F.col, _TRIPLE)).alias("company"), *_TRIPLE).distinct()
     return rows, companies
 
@@ -318,17 +298,17 @@ def listing_signatures(listings: DataFrame, reference: DataFrame) -> tuple[DataF
         signer = Signer(fixed.value, None)
         for batch in batches:
             out: list[tuple] = []
-            for listing, strong, generic, name in zip(batch["listing_id"], batch["str"], batch["generic_name"], batch["company_raw"]):
+            for listing, generic, name in zip(batch["listing_id"], batch["generic_name"], batch["company_raw"]):
                 triple = signer.company(name)
                 if triple[0]:
-                    ing, _, form = signer.parser.parse(generic if isinstance(generic, str) else None)
-                    out.append((listing, strong, "+".join(ing), signer.kinds.get(form, ""), *triple))
-            yield frame_of(out, ("listing_id", "str", "ing", "kind", *_TRIPLE))
+                    ing, strong, form = signer.parser.parse(generic if isinstance(generic, str) else None)
+                    out.append((listing, "+".join(ing), "+".join(sorted(strong)), signer.kinds.get(form, ""), *triple))
+            yield frame_of(out, ("listing_id", "ing", "str", "kind", *_TRIPLE))
 
-    flat = listings.select("listing_id", strength_code("generic_name").alias("str"), "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull())
-    signed = cut(flat.repartition(4 * context.defaultParallelism).mapInPandas(mean, "listing_id long, str long, ing string, kind string, core string, extra string, trade string"))
+    flat = listings.select("listing_id", "generic_name", F.col("marketing_authorisation_holder.value").alias("company_raw")).where(F.col("company_raw").isNotNull() & F.col("listing_id").isNotNull())
+    signed = cut(flat.repartition(4 * context.defaultParallelism).mapInPandas(mean, "listing_id long, ing string, str string, kind string, core string, extra string, trade string"))
     company = _code(*map(F.col, _TRIPLE)).alias("company")
-    return signed.select("listing_id", _code(F.col("ing")).alias("ing"), "str", _code(F.col("kind")).alias("kind"), company), signed.select(company, *_TRIPLE).distinct()
+    return signed.select("listing_id", *[_code(F.col(x)).alias(x) for x in ("ing", "str", "kind")], company), signed.select(company, *_TRIPLE).distinct()
 
 
 def _classes(signatures: DataFrame, tag: str) -> DataFrame:
@@ -346,8 +326,8 @@ def core_keys(core: str) -> list[str]:
     keys = {"p" + x for x in names._deletions(core[:5], 1)}
     if len(core) >= 9:
         keys |= {"s" + x for x in names._deletions(core[-5:], 1)} | {"e" + core[0] + x for x in names._deletions(core[-4:], 1)}
-    if 6 <= len(core) <= 10:
-        keys |= {"d" + x for x in names._deletions(core, 2)}
+    if 6 <= len(core) <= 10:  # the longer of two gives two letters up, the shorter has at most eight
+        keys |= {"d" + x for x in names._deletions(core, 2) if len(core) <= 8 or len(x) == len(core) - 2}
     return list(keys)
 
 
