@@ -35,6 +35,8 @@ _PER_VOLUME = re.compile(r"\s*(?:\d+(?:[.,]\d+)?\s*)?(?:ml|l|dose|doses|actuatio
 _STRENGTH_TAIL = re.compile(r"\s+\d+(?:[.,]\d+)?\s*" + _UNIT + r"\.?(?:\s*/\s*(?:\d+(?:[.,]\d+)?\s*)?(?:ml|l|g)\.?)?$", re.I)
 _NAME_TAIL_PATTERN = re.compile(r"(?:\d+|box of \d+|pack of \d+|n[^a-z0-9\s]{1,6}\s*\d+|cr[^a-z]{1,6}me)(?:\s.*)?$", re.I)
 _GUARDS = re.compile("[\"'“‘(]")
+#: Where one of these stands, what it protects must be looked at; elsewhere every delimiter cuts.
+_CAREFUL = re.compile("[\"'“‘(,/]")
 _WORD_DELIMITER = re.compile(r"\s(and)\s", re.I)
 
 
@@ -124,6 +126,7 @@ class Segmenter:
 
         self.rules = rules
         self.cutters = frozenset(rules.delimiters)
+        self.plain = re.compile("[" + re.escape(rules.delimiters) + "]" + (r"|(?i:(?<=\s)and(?=\s))" if rules.words else ""))
         self.tails = frozenset(rules.tails) | {t for t in tails if t}
         self.long_tails = tuple(t for t in self.tails if len(t) >= 6) if rules.fuzzy_tails else ()
         self.automaton = ahocorasick.Automaton()
@@ -176,6 +179,8 @@ class Segmenter:
     def cut(self, text: str) -> list[str]:
         """The values in ``text``, in the order written."""
         rules, low = self.rules, text.lower()
+        if not _CAREFUL.search(text) and not (self.any and next(self.automaton.iter(low), None)):
+            return [p for p in map(str.strip, self.plain.split(text)) if p.strip("\"'*#").strip()]
         if len(low) != len(text):  # lower case changed the length: positions must agree
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         safe = _protected(text)
