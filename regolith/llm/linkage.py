@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -244,6 +246,17 @@ class Signer:
         return names.parse(name)
 
 
+_KEPT: dict[str, Signer] = {}
+
+
+def _signer(name: str, fixed, model) -> Signer:
+    """The worker's signer for one run: workers outlive tasks, and so does what they have seen; those of earlier runs are dropped."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Signer(fixed.value, model.value if model is not None else None)
+    return _KEPT[name]
+
+
 _PACKED = re.compile(r"[;,+/&|\n\t\r]|\sand\s", re.I)
 _PARTS = ("ing", "str", "kind", "company")
 _TRIPLE = ("core", "extra", "trade")
@@ -254,20 +267,20 @@ def _code(*columns) -> Column:
     return F.when(F.coalesce(columns[0], F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*columns))
 
 
-def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+def record_signatures(records: DataFrame, reference: Broadcast) -> tuple[DataFrame, DataFrame]:
     """(ord, ing, str, kind, company) of records with a company, as hashes, 0 where missing; and (company, core, extra, trade).
 
     A distinct value is mapped once and joined back by its hash.
     """
-    context = records.sparkSession.sparkContext
-    fixed, model = context.broadcast(_names_of(reference)), context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
+    context, run = records.sparkSession.sparkContext, uuid4().hex
+    model = context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
     wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
     at = lambda f: F.xxhash64(F.lit(f), F.col(f))
     fields = ("inn", "strength", "form", "company_raw")
     values = wanted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(fixed.value, model.value)
+        signer = _signer(run, reference, model)
         for batch in batches:
             out = []
             for field, value, place in zip(batch["field"], batch["value"], batch["at"]):
@@ -289,13 +302,12 @@ def record_signatures(records: DataFrame, reference: DataFrame) -> tuple[DataFra
     return rows, companies
 
 
-def listing_signatures(listings: DataFrame, reference: DataFrame) -> tuple[DataFrame, DataFrame]:
+def listing_signatures(listings: DataFrame, reference: Broadcast) -> tuple[DataFrame, DataFrame]:
     """(listing_id, ing, str, kind, company) of the other register's free texts, and their companies."""
-    context = listings.sparkSession.sparkContext
-    fixed = context.broadcast(_names_of(reference))
+    context, run = listings.sparkSession.sparkContext, uuid4().hex
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(fixed.value, None)
+        signer = _signer(run, reference, None)
         for batch in batches:
             out: list[tuple] = []
             for listing, generic, name in zip(batch["listing_id"], batch["generic_name"], batch["company_raw"]):
@@ -392,9 +404,10 @@ def candidates(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame
     poor_r, poor_c = (F.col("ing_r") == 0) | (F.col("str_r") == 0), (F.col("ing_c") == 0) | (F.col("str_c") == 0)
     place = ["company_r", "kind"]
     of_kind_r, of_kind_c = left.where("kind_r <> 0").withColumnRenamed("kind_r", "kind"), right.where("kind_c <> 0").withColumnRenamed("kind_c", "kind")
-    products = lambda df, t: F.count_distinct(F.when(known(t), F.xxhash64(f"ing_{t}", f"str_{t}")))
-    single = of_kind_c.groupBy(*place).agg(products(of_kind_c, "c").alias("n_c")).join(of_kind_r.groupBy(*place).agg(products(of_kind_r, "r").alias("n_r"), F.count_if(poor_r).alias("poor")), place)
-    single = single.where("n_c <= 1 AND n_r <= 1")
+    product = lambda df, t: df.select(*place, F.lit(t).alias("t"), F.when(known(t), F.xxhash64(f"ing_{t}", f"str_{t}")).alias("p"), (poor_r if t == "r" else poor_c).alias("poor"))
+    only = lambda t: F.coalesce(F.min(F.when(F.col("t") == t, F.col("p"))) == F.max(F.when(F.col("t") == t, F.col("p"))), F.lit(True))
+    there = product(of_kind_r, "r").unionByName(product(of_kind_c, "c")).groupBy(*place)
+    single = there.agg((only("r") & only("c") & F.bool_or("poor") & (F.min("t") != F.max("t"))).alias("single")).where("single")
     rest = of_kind_r.join(single.select(*place), place).join(of_kind_c.select("c", "company", "ing_c", "str_c", *place), place)
     rest = rest.where(((F.col("ing_r") == 0) | (F.col("ing_c") == 0)) & ((F.col("str_r") == 0) | (F.col("str_c") == 0)) & (known("r") | known("c"))).select("r", "c", "company")
     met = met.unionByName(rest)
@@ -416,14 +429,15 @@ def infer(pairs: DataFrame) -> DataFrame:
     # what a side lacks it takes from the other: candidates that differ in that are different products
     taken = lambda own, other: F.xxhash64(*[F.when(F.col(f"{x}_{own}") == 0, F.col(f"{x}_{other}")).otherwise(F.lit(0).cast("long")) for x in ("ing", "str", "kind")])
     pairs = pairs.select("r", "c", "sim", taken("c", "r").alias("kr"), taken("r", "c").alias("kc"))
-    level = F.expr(f"percentile_disc({ALIKE / (ALIKE + PRIOR)}) WITHIN GROUP (ORDER BY sim)")
-    # of the candidates of one record that are one product, each counts its part, so that a product counts once
-    by_r = pairs.groupBy("r", "kc").agg(F.count("*").alias("n_r"), level.alias("level"))
-    by_c = pairs.groupBy("c", "kr").agg(F.count("*").alias("n_c"))
-    rivals_r, rivals_c = by_r.groupBy("r").agg(F.count("*").alias("k_r"), F.sum(1.0 / F.col("n_r")).alias("aa_r")), by_c.groupBy("c").agg(F.count("*").alias("k_c"), F.sum(1.0 / F.col("n_c")).alias("aa_c"))
-    placed = pairs.join(by_r, ["r", "kc"]).join(rivals_r, "r").join(by_c, ["c", "kr"]).join(rivals_c, "c")
+    # of the candidates of one record that are one product, each counts its part, so that a product counts once; windows spill, and share their order
+    alike_r, alike_c = W.partitionBy("r", "kc"), W.partitionBy("c", "kr")
+    placed = pairs.withColumns({"n_r": F.count("*").over(alike_r), "rank": F.cume_dist().over(alike_r.orderBy("sim"))})
+    placed = placed.withColumn("level", F.min(F.when(F.col("rank") >= ALIKE / (ALIKE + PRIOR), F.col("sim"))).over(alike_r)).drop("rank")
+    placed = placed.withColumns({"k_r": F.round(F.sum(1.0 / F.col("n_r")).over(W.partitionBy("r"))), "aa_r": F.sum(1.0 / (F.col("n_r") * F.col("n_r"))).over(W.partitionBy("r"))})
+    placed = placed.withColumn("n_c", F.count("*").over(alike_c))
+    placed = placed.withColumns({"k_c": F.round(F.sum(1.0 / F.col("n_c")).over(W.partitionBy("c"))), "aa_c": F.sum(1.0 / (F.col("n_c") * F.col("n_c"))).over(W.partitionBy("c"))})
     contested = (F.col("k_r") > 1) | (F.col("k_c") > 1)
-    placed = cut(placed.join(placed.groupBy("r", "kc").agg(F.bool_or(contested).alias("open")), ["r", "kc"]))
+    placed = cut(placed.withColumn("open", F.bool_or(contested).over(alike_r)))
     settled = placed.where(~F.col("open")).select("r", "c", F.greatest("sim", "level").alias("confidence"))
     # one row holds a variable z, its group's m, and the scaled duals of the copies it has; a flag says which it has
     flags = {"r": F.col("k_r") > 1, "c": F.col("k_c") > 1, "t": F.col("n_r") > 1}
@@ -528,8 +542,9 @@ def _round(state: DataFrame) -> DataFrame:
 
 def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(ord, listing_id, confidence) of pairs above the threshold by more than the tolerance to which confidences are solved."""
-    left, companies = record_signatures(records, reference)
-    right, others = listing_signatures(listings, reference)
+    fixed = records.sparkSession.sparkContext.broadcast(_names_of(reference))
+    left, companies = record_signatures(records, fixed)
+    right, others = listing_signatures(listings, fixed)
     left = cut(left)
     pairs = cut(candidates(_classes(left, "r"), _classes(right, "c"), cut(alike_companies(companies, others))))
     found = infer(pairs).where(F.col("confidence") > threshold + TOLERANCE)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regolith.functions.frames import frame_of
+from regolith.session import cut
 
 LOST = "�"
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_2", "iso8859_15", "koi8_r", "cp866")
@@ -246,7 +247,7 @@ def corpus_model(df: DataFrame, fields: Sequence[str], share: float = 1e-5) -> t
     """Frequencies of words outside ASCII and of their trigrams, over all rows; both bounded by ``share``."""
     tokens = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("v")).where(F.col("v").rlike(r"[^\x00-\x7F]"))
     tokens = tokens.select(F.explode(F.split("v", TOKEN)).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
-    shapes = tokens.select(F.regexp_replace(F.lower("w"), r"\d", "0").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    shapes = cut(tokens.select(F.regexp_replace(F.lower("w"), r"\d", "0").alias("w")).groupBy("w").agg(F.count("*").alias("n")))
     total = shapes.agg(F.sum("n")).first()[0] or 0
     words = {r.w: r.n for r in shapes.where((F.col("n") >= share * total) & (F.col("n") > 1)).collect()}
     padded = shapes.select(F.concat(F.lit("^^"), "w", F.lit("$$")).alias("s"), "n")
