@@ -7,6 +7,7 @@ carry entities beyond the XML ones.
 from __future__ import annotations
 
 import html
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -115,14 +116,20 @@ def normalize_strength(c: C) -> Column:
 
 def normalize_form(c: C) -> Column:
     """The bucket of a dosage form: an exact variant, else the longest variant found as whole words (the first bucket of equals)."""
-    text = _bare(clean(c))
-    exact = F.lit(None).cast("string")
-    for variant, bucket in reversed(vocab.FORM_VARIANTS):
-        exact = F.when(text == variant, F.lit(bucket)).otherwise(exact)
+    exact: dict[str, str] = {}
+    for variant, bucket in vocab.FORM_VARIANTS:
+        exact.setdefault(variant, bucket)
     order = {b: i for i, b in enumerate(vocab.FORMS)}
     ranked = sorted(vocab.FORM_VARIANTS, key=lambda v: (-len(v[0]), order[v[1]]))
-    found = F.coalesce(*[F.when(text.rlike(rf"\b{v}\b"), F.lit(b)) for v, b in ranked])
-    return F.coalesce(exact, found)
+    table = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair])
+
+    def bucket(t: Column) -> Column:
+        within = F.coalesce(*[F.when(t.rlike(rf"\b{v}\b"), F.lit(b)) for v, b in ranked])
+        any_of = r"\b(?:" + "|".join(v for v, _ in ranked) + r")\b"
+        return F.coalesce(F.try_element_at(table, t), F.when(t.rlike(any_of), within))
+
+    # the cleaned text is bound once, not repeated in every branch
+    return F.transform(F.array(_bare(clean(c))), bucket)[0]
 
 
 def normalize_route(c: C) -> Column:
@@ -195,9 +202,10 @@ def shift_months(day: str, months: int) -> str:
     return f"{year + (month - 1) // 12:04d}-{(month - 1) % 12 + 1:02d}-{rest}"
 
 
-def expiry_of(extras: C) -> Column:
-    """The first ten characters of the expiry, whichever field holds it."""
-    return F.substring(filled(_c(extras)["expiry_date"]), 1, 10)
+def expiry_of(extras: C, fields: Sequence[str] = ("expiry", "expiry_date")) -> Column:
+    """The first ten characters of the expiry: of ``expiry``, else of ``expiry_date``; ``fields`` are those the struct has."""
+    held = [filled(_c(extras)[f]) for f in ("expiry", "expiry_date") if f in fields]
+    return F.substring(F.coalesce(*held) if held else F.lit(None).cast("string"), 1, 10)
 
 
 def structure_bucket(n: Column) -> Column:

@@ -50,3 +50,21 @@ def guarded_diff(before: DataFrame, after: DataFrame, pair: list[str], most: flo
 def by_kind(changes: DataFrame, pair: list[str]) -> DataFrame:
     """Changes by pair and kind."""
     return changes.groupBy(*pair, "kind").agg(F.count("*").alias("n"))
+
+
+def export(changes: DataFrame, series: DataFrame, pair: list[str], most: int = 300) -> DataFrame:
+    """(pair…, has_history, kind, record_key, before, after, evidence, note): the first ``most`` changes of each series, and a row for each that has but one snapshot.
+
+    ``series`` is (pair…, authority, snapshots, before_date, after_date), one row each.
+    """
+    shown = changes.withColumn("_n", F.row_number().over(W.partitionBy(*pair).orderBy("kind", "record_key"))).where(F.col("_n") <= most).drop("_n")
+    old, new, where = F.col("before_date"), F.col("after_date"), F.col("authority")
+    said = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    evidence = (
+        F.when(F.col("kind") == "appeared", F.concat(F.lit("not present in the "), where, F.lit(" snapshot of "), old, F.lit("; present in "), new))
+        .when(F.col("kind") == "disappeared", F.concat(F.lit("present in the "), where, F.lit(" snapshot of "), old, F.lit("; not found in "), new))
+        .when(F.col("kind").isNotNull(), F.concat(F.regexp_replace("kind", "_changed", ""), F.lit(" recorded as "), said("before"), F.lit(" in the "), where, F.lit(" snapshot of "), old, F.lit(" and "), said("after"), F.lit(" in "), new))
+    )
+    joined = series.join(shown, pair, "left").where((F.col("snapshots") < 2) | F.col("kind").isNotNull())
+    note = F.when(F.col("snapshots") < 2, F.lit("Only one snapshot so far. Nothing to compare against yet."))
+    return joined.select(*pair, (F.col("snapshots") >= 2).alias("has_history"), "kind", "record_key", "before", "after", evidence.alias("evidence"), note.alias("note"))

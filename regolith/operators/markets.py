@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import text
+from regolith.operators import resolve
+from regolith.session import cut
 
 RECENT = "2024-08-31"
 
@@ -55,15 +57,16 @@ def presence_counts(records: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.groupBy("representative").agg(F.countDistinct("country").alias("countries"), F.count("*").alias("records")).withColumn("dual", F.col("countries") > 1)
 
 
-def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: str = "company") -> DataFrame:
+def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: str = "company", dated: DataFrame | None = None) -> DataFrame:
     """(group, presence, country, present_in, held_since, state, competitors, examples, tier) for each country a product was not found in.
 
-    ``presences`` is (group, presence, inn, strength, form, country, ord), ``records`` the normalised register, ``coverage``
+    ``presences`` is (group, presence, inn, strength, form, country, ord), ``records`` the normalised register, ``dated`` the records presences point
+    to where those are others, ``coverage``
     one row per country (country, coverage_end_year), a handful. ``state`` is ``out_of_window`` where the source ends before
     the product was first held, in the alphabetically first country it is held in, else ``gap``.
     """
     keys = [group, "presence"]
-    held = presences.join(records.select("ord", "approval_date"), "ord", "left")
+    held = presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left")
     by = held.groupBy(*keys).agg(F.first("inn").alias("inn"), F.first("strength").alias("strength"), F.first("form").alias("form"), F.array_sort(F.collect_set("country")).alias("present_in"), F.min_by("approval_date", F.col("country")).alias("held_since"))
     covered = [(r.country, r.coverage_end_year) for r in coverage.select("country", "coverage_end_year").distinct().collect()]
     targets = F.array(*[F.struct(F.lit(c).alias("country"), F.lit(y).cast("int").alias("end_year")) for c, y in covered])
@@ -93,3 +96,51 @@ def matrix(presences: DataFrame, countries: list[str], group: str = "company") -
     """Product by country, true where held."""
     label = F.concat_ws(" ", F.array_join("inn", " + "), F.array_join("strength", " + "), F.col("form"))
     return presences.groupBy(group, "presence", label.alias("label")).pivot("country", countries).agg(F.count("ord") > 0).na.fill(False)
+
+
+def source_coverage(records: DataFrame, counted: dict[str, str]) -> DataFrame:
+    """(source_id, country, record_count, with_expiry, coverage_end_year); ``counted`` says by country whether all, active or attributed records count."""
+    rule = F.coalesce(*[F.when(F.col("country") == c, F.lit(r)) for c, r in counted.items()], F.lit("all"))
+    counts = F.when(rule == "active", text.is_active("status")).when(rule == "attributed", F.col("company_raw").isNotNull()).otherwise(True)
+    return records.where(counts).groupBy("source_id", "country").agg(F.count("*").alias("record_count"), F.count("expiry").alias("with_expiry"), F.max(text.year_of("approval_date")).alias("coverage_end_year"))
+
+
+def not_found_phrase(authority: str, retrieved: str) -> Column:
+    """What may be said of a product that did not appear in a source."""
+    return F.concat(F.lit("not found in "), F.col(authority), F.lit(" source, retrieved "), F.col(retrieved))
+
+
+def reading(n: str) -> Column:
+    """How a number of other holders is put in words."""
+    count = F.col(n).cast("string")
+    return F.when(F.col(n) == 0, F.lit("no holder found in this source")).when(F.col(n) <= 2, F.concat(count, F.lit(" other holder(s) found"))).when(F.col(n) > 2, F.concat(count, F.lit(" other holders found")))
+
+
+def absences(records: DataFrame, coverage: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(ingredient, country, phrase): ingredients of the whole register that are active in no record of a source's country.
+
+    ``coverage`` is one row per country (country, authority, retrieved), a handful; ``listed`` the ingredients asked about, all where not given.
+    """
+    wanted = vocabulary(records) if listed is None else listed
+    covered = [(r.country, r.authority, r.retrieved) for r in coverage.select("country", "authority", "retrieved").distinct().collect()]
+    places = F.array(*[F.struct(F.lit(c).alias("country"), F.lit(a).alias("authority"), F.lit(d).alias("retrieved")) for c, a, d in covered])
+    held = active_medicines(records).select("country", F.explode("inn").alias("ingredient")).groupBy("ingredient").agg(F.collect_set("country").alias("held"))  # at most one entry a country
+    cells = wanted.join(held, "ingredient", "left").select("ingredient", F.explode(F.filter(places, lambda p: ~F.coalesce(F.array_contains("held", p["country"]), F.lit(False)))).alias("p"))
+    return cells.select("ingredient", "p.*").select("ingredient", "country", not_found_phrase("authority", "retrieved").alias("phrase"))
+
+
+def portfolio(records: DataFrame, query: str, coverage: DataFrame, active_only: bool = True) -> dict[str, DataFrame]:
+    """What the company a query names holds and where its products were not found: entities, presences, matrix and cells.
+
+    Groups of spellings, then products, then gaps; entities are those of all records, the rest of active medicines, or of all
+    records where ``active_only`` is off.
+    """
+    own = resolve.group_records(records, query)
+    kept = own.where(text.is_active("status") & text.is_medicine("category")) if active_only else own
+    held = cut(resolve.presences(kept.select("ord", "country", "inn", "strength", "form", "representative"), "representative"))
+    entities = own.groupBy("representative", "country").agg(F.array_sort(F.collect_set("company_raw")).alias("names"), F.count("*").alias("records"))
+    countries = [r.country for r in coverage.select("country").distinct().orderBy("country").collect()]
+    # competitors are told by company key; the group's own keys are left out
+    names = own.select("company").where(F.col("company").isNotNull()).distinct()
+    others = records.join(names, "company", "left_anti")
+    return {"entities": entities, "presences": held, "matrix": matrix(held, countries, "representative"), "cells": gaps(held, others.unionByName(own.where(F.col("company").isNull())), coverage, "representative", own)}

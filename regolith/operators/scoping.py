@@ -16,14 +16,14 @@ def _escape(term: str) -> str:
     return term.replace("-", r"\-").replace("(", r"\(")
 
 
-def terms() -> list[tuple[str, str, str, float]]:
-    """(kind, value, pattern, confidence): one pattern per value, its synonyms in order of preference."""
+def terms() -> list[tuple[str, str, list[str], float]]:
+    """(kind, value, words, confidence): the synonyms of each value in order of preference."""
     out = []
     for group, values in vocab.SPOKEN.items():
         for value, words in values.items():
             kind = "market" if group == "region" else group
             out.append((kind, f"region:{value}" if group == "region" else value, words, vocab.CONFIDENCE[group]))
-    return out + [("constraint", c, c, vocab.CONFIDENCE["constraint"]) for c in vocab.CONSTRAINTS]
+    return out + [("constraint", c, [c], vocab.CONFIDENCE["constraint"]) for c in vocab.CONSTRAINTS]
 
 
 def propose(notes: DataFrame, ingredients: DataFrame | None = None, key: str = "note_id") -> DataFrame:
@@ -35,7 +35,7 @@ def propose(notes: DataFrame, ingredients: DataFrame | None = None, key: str = "
     low = F.lower("text")
     hits = []
     for kind, value, words, confidence in terms():
-        found = F.coalesce(*[F.when(low.rlike(rf"\b{_escape(w)}\b"), F.struct(F.expr(f"regexp_instr(lower(text), '\\\\b{_escape(w)}\\\\b')").alias("at"), F.lit(len(w)).alias("size"))) for w in words.split(", ")])
+        found = F.coalesce(*[F.when(low.rlike(rf"\b{_escape(w)}\b"), F.struct(F.expr(f"regexp_instr(lower(text), '\\\\b{_escape(w)}\\\\b')").alias("at"), F.lit(len(w)).alias("size"))) for w in words])
         hits.append(F.when(found.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.substring(F.col("text"), found["at"], found["size"]).alias("quote"), (found["at"] - 1).alias("start"), F.lit(confidence).alias("confidence"))))
     facts = notes.select(key, F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
     for kind, pattern in (("volume", vocab.VOLUME), ("timing", vocab.TIMING)):
@@ -84,7 +84,7 @@ def resolve_facts(facts: DataFrame, markets: DataFrame, ingredients: DataFrame)
     """Facts with the entity they mean: a covered market, a known ingredient; other kinds mean themselves."""
     m = markets.select(F.col("country").alias("value"), F.lit(True).alias("covered")).distinct()
     i = ingredients.select(F.col("ingredient").alias("low"), F.lit(True).alias("known")).distinct()
-    joined = facts.join(F.broadcast(m), "value", "left").withColumn("low", F.lower("value")).join(i, "low", "left")
+    joined = facts.join(m, "value", "left").withColumn("low", F.lower("value")).join(i, "low", "left")
     region = F.startswith("value", F.lit("region:"))
     entity = F.when(F.col("kind") == "market", F.when(~region & F.col("covered"), F.col("value"))).when(F.col("kind") == "product", F.when(F.col("known"), F.col("low"))).otherwise(F.col("value"))
     return joined.withColumn("entity", entity).withColumn("certainty", F.when(F.col("entity").isNotNull(), F.col("confidence")).when((F.col("kind") == "market") & region, 0.5).otherwise(0.0)).drop("low", "covered", "known")
@@ -95,7 +95,7 @@ def _distinct(resolved: DataFrame, kind: str, key: str) -> DataFrame:
 
 
 def scope_lines(resolved: DataFrame, holders: DataFrame, client: str | None = None, key: str = "note_id") -> DataFrame:
-    """(key, product, market, service, already_held, holder, competitors): what was asked, crossed within each note.
+    """(key, product, market, service, already_held, holder, competitors, observed_timeline): what was asked, crossed within each note.
 
     ``holders`` is (country, ingredient, company_raw, ord) of active registrations.
     """
@@ -105,7 +105,7 @@ def scope_lines(resolved: DataFrame, holders: DataFrame, client: str | None = No
     by = holders.select("country", "ingredient", "company_raw", "ord").join(names, "company_raw").groupBy("country", "ingredient").agg(F.min_by(F.when(F.col("own"), F.col("company_raw")), F.when(F.col("own"), F.col("ord"))).alias("holder"), F.countDistinct("company_raw").alias("names"))
     joined = lines.join(by, (F.col("market") == F.col("country")) & (F.col("product") == F.col("ingredient")), "left")
     held = F.when(F.col("names").isNotNull() & F.lit(client is not None), F.col("holder").isNotNull())
-    return joined.select(key, "product", "market", "service", held.alias("already_held"), "holder", (F.coalesce("names", F.lit(0)) - F.col("holder").isNotNull().cast("int")).cast("long").alias("competitors"))
+    return joined.select(key, "product", "market", "service", held.alias("already_held"), "holder", (F.coalesce("names", F.lit(0)) - F.col("holder").isNotNull().cast("int")).cast("long").alias("competitors"), F.lit(None).cast("string").alias("observed_timeline"))
 
 
 def open_questions(resolved: DataFrame, lines: DataFrame, notes: DataFrame, client: str | None = None, key: str = "note_id") -> DataFrame:

@@ -38,7 +38,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "product_record")
     return raw.select(
         "ord", "source_id", "country", "product_name", text.normalize_inn("inn").alias("inn"), text.normalize_strength("strength").alias("strength"), text.normalize_form("form").alias("form"), text.normalize_route("route").alias("route"),
-        "atc", "company_raw", text.company_key("company_raw").alias("company"), text.identifier("registration_number").alias("registration_number"), "approval_date", "status", "category", "source_ref", text.expiry_of("extras").alias("expiry"),
+        "atc", "company_raw", text.company_key("company_raw").alias("company"), text.identifier("registration_number").alias("registration_number"), "approval_date", "status", "category", "source_ref", text.expiry_of("extras", raw.schema["extras"].dataType.names).alias("expiry"), F.date_format("retrieved_at", "yyyy-MM-dd").alias("retrieved_date"),
     )
 
 
@@ -92,7 +92,7 @@ def _form_case() -> str:
 _KEY_TOKENS = f"list_filter(string_split({_bare(chr(39).join(['regexp_replace(' + _clean('company_raw') + ', ', '\\([^)]*\\)', ', ', ' ', ', ', 'g', ')']))}, ' '), lambda t: t <> '' AND t NOT IN {_list([*vocab.LEGAL, *vocab.PLACES])})"
 _REG = f"""
 WITH f0 AS (SELECT *, {_bare(_clean('form'))} AS f FROM product_record),
-reg AS (SELECT ord, source_id, country, product_name, {_INN} AS inn, {_STRENGTH} AS strength, {_form_case()} AS form, {_ROUTE} AS route, company_raw,
+reg AS MATERIALIZED (SELECT ord, source_id, country, product_name, {_INN} AS inn, {_STRENGTH} AS strength, {_form_case()} AS form, {_ROUTE} AS route, company_raw,
   NULLIF(array_to_string({_KEY_TOKENS}, ' '), '') AS company, NULLIF(registration_number, '') AS registration_number, approval_date, status, category, substr(NULLIF(extras.expiry_date, ''), 1, 10) AS expiry,
   lower(trim(COALESCE(status, ''))) = 'active' AS active, COALESCE(lower(trim(category)) IN {_list(vocab.MEDICINES)}, true) AS medicine, NULLIF(substr(NULLIF(approval_date, ''), 1, 10), '') AS granted FROM f0)
 """
@@ -128,19 +128,21 @@ def generic_names(spark, sf_dir):
     return rows.select("listing_id", F.array_join("p.inn", "|").alias("inn"), F.array_join("p.strength", "|").alias("strength"), F.col("p.form").alias("form"))
 
 
-_EVENTS = _REG + f""", b AS (SELECT *, min(granted) OVER (PARTITION BY company_raw) AS first_seen FROM reg WHERE company_raw <> ''),
-e AS (SELECT *, CASE WHEN active AND granted >= '{text.shift_months(AS_OF, -12)}' AND granted = first_seen THEN row_number() OVER (PARTITION BY company_raw, active AND granted >= '{text.shift_months(AS_OF, -12)}' AND granted = first_seen ORDER BY ord) END AS n FROM b),
-ev AS (SELECT ord, 0 AS emit, 'lapsed' AS kind, 0 AS severity, expiry AS date, company_raw AS company, country FROM e WHERE NOT active AND expiry BETWEEN '{text.shift_months(AS_OF, -12)}' AND '{AS_OF}'
-  UNION ALL SELECT ord, 0, 'renewal_due', 1, expiry, company_raw, country FROM e WHERE active AND expiry BETWEEN '{AS_OF}' AND '{text.shift_months(AS_OF, 12)}'
-  UNION ALL SELECT ord, 1, 'newly_granted', 2, granted, company_raw, country FROM e WHERE active AND granted >= '{text.shift_months(AS_OF, -12)}'
-  UNION ALL SELECT ord, 2, 'first_entry', 3, granted, company_raw, country FROM e WHERE n = 1)
+#: A capital after everything that is no letter, letter by letter.
+_TITLE = "list_reduce(string_split(array_to_string(inn, ' + '), ''), lambda s, x: s || CASE WHEN regexp_matches(s, '[a-z]$', 'i') THEN lower(x) ELSE upper(x) END, '')"
+_EVENTS = _REG + f""", b AS (SELECT *, COALESCE(NULLIF(product_name, ''), NULLIF({_TITLE}, ''), '(unnamed)') AS product, min(granted) OVER (PARTITION BY source_id, company_raw) AS first_seen FROM reg WHERE company_raw <> ''),
+e AS (SELECT *, CASE WHEN active AND granted >= '{text.shift_months(AS_OF, -12)}' AND granted = first_seen THEN row_number() OVER (PARTITION BY source_id, company_raw, active AND granted >= '{text.shift_months(AS_OF, -12)}' AND granted = first_seen ORDER BY ord) END AS n FROM b),
+ev AS (SELECT ord, 0 AS emit, 'lapsed' AS kind, 0 AS severity, expiry AS date, source_id, company_raw AS company, country, product FROM e WHERE NOT active AND expiry BETWEEN '{text.shift_months(AS_OF, -12)}' AND '{AS_OF}'
+  UNION ALL SELECT ord, 0, 'renewal_due', 1, expiry, source_id, company_raw, country, product FROM e WHERE active AND expiry BETWEEN '{AS_OF}' AND '{text.shift_months(AS_OF, 12)}'
+  UNION ALL SELECT ord, 1, 'newly_granted', 2, granted, source_id, company_raw, country, product FROM e WHERE active AND granted >= '{text.shift_months(AS_OF, -12)}'
+  UNION ALL SELECT ord, 2, 'first_entry', 3, granted, source_id, company_raw, country, product FROM e WHERE n = 1)
 """
 
 
-@_query(_EVENTS + "SELECT ord, emit, kind, severity, date, company, country FROM ev")
+@_query(_EVENTS + "SELECT ord, emit, kind, severity, date, source_id, company, country, product FROM ev")
 def triggers_detail(spark, sf_dir):
-    """Dated events of every record."""
-    return events.detect(register(spark, sf_dir), AS_OF).select("ord", "emit", "kind", "severity", "date", "company", "country")
+    """Dated events of every record, gravest first."""
+    return events.ordered(events.detect(register(spark, sf_dir), AS_OF)).select("ord", "emit", "kind", "severity", "date", "source_id", "company", "country", "product")
 
 
 @_query(_EVENTS + "SELECT kind, count(*) AS n FROM ev GROUP BY 1")
@@ -149,17 +151,30 @@ def triggers_summary(spark, sf_dir):
     return events.summarise(events.detect(register(spark, sf_dir), AS_OF))
 
 
-@_query(_EVENTS + """SELECT company, country, count(*) FILTER (WHERE kind = 'lapsed') AS n_lapsed, count(*) FILTER (WHERE kind = 'renewal_due') AS n_renewal_due, count(*) FILTER (WHERE kind = 'newly_granted') AS n_newly_granted,
+@_query(_EVENTS + """SELECT company, country, first(source_id ORDER BY severity, date, ord, emit) AS source_id, count(*) FILTER (WHERE kind = 'lapsed') AS n_lapsed, count(*) FILTER (WHERE kind = 'renewal_due') AS n_renewal_due, count(*) FILTER (WHERE kind = 'newly_granted') AS n_newly_granted,
   count(*) FILTER (WHERE kind = 'first_entry') AS n_first_entry, count(*) AS total, min(severity) AS severity, first(kind ORDER BY severity, date, ord, emit) AS top_kind, COALESCE(min(date) FILTER (WHERE kind = 'renewal_due'), max(date)) AS next_date FROM ev GROUP BY 1, 2""")
 def trigger_accounts(spark, sf_dir):
     """A1-A4: events by account, ranked."""
     return events.ranked(events.by_account(events.detect(register(spark, sf_dir), AS_OF)))
 
 
-@_query(_EVENTS + "SELECT country, count(DISTINCT ord) AS records, count(*) AS triggers FROM ev GROUP BY 1")
+@_query(_EVENTS + """, h AS (SELECT source_id, country, count(*) AS records, strftime(max(retrieved_at), '%Y-%m-%d') AS retrieved FROM product_record GROUP BY 1, 2), f AS (SELECT source_id, country, count(*) AS triggers, count(DISTINCT company) AS accounts FROM ev GROUP BY 1, 2)
+SELECT h.source_id, h.country, records, retrieved, COALESCE(triggers, 0) AS triggers, COALESCE(accounts, 0) AS accounts FROM h LEFT JOIN f ON h.source_id = f.source_id AND h.country = f.country""")
 def feed_by_market(spark, sf_dir):
-    """Events by market."""
-    return events.detect(register(spark, sf_dir), AS_OF).groupBy("country").agg(F.countDistinct("ord").alias("records"), F.count("*").alias("triggers"))
+    """Every register with all it holds and the events found in it."""
+    r = register(spark, sf_dir)
+    return events.feed(r, events.detect(r, AS_OF))
+
+
+_ACCOUNTS = """SELECT company, country, count(*) FILTER (WHERE kind = 'lapsed') AS n_lapsed, count(*) FILTER (WHERE kind = 'renewal_due') AS n_renewal_due, count(*) FILTER (WHERE kind = 'newly_granted') AS n_newly_granted, count(*) FILTER (WHERE kind = 'first_entry') AS n_first_entry,
+  count(*) AS total, min(severity) AS severity, COALESCE(min(date) FILTER (WHERE kind = 'renewal_due'), max(date)) AS next_date FROM ev GROUP BY 1, 2"""
+
+
+@_query(_EVENTS + f"SELECT company, country, total, next_date FROM ({_ACCOUNTS}) WHERE lower(company) LIKE '%pharma%' AND (n_renewal_due > 0 OR n_first_entry > 0) ORDER BY severity, total DESC, next_date, company, country LIMIT 300")
+def accounts_filtered(spark, sf_dir):
+    """The first accounts that hold a word in their name and have an event of the kinds asked for."""
+    accounts = events.by_account(events.detect(register(spark, sf_dir), AS_OF))
+    return events.filtered(accounts, "Pharma", ("renewal_due", "first_entry")).select("company", "country", "total", "next_date")
 
 
 _ACTIVE = "active AND medicine AND len(inn) > 0"
@@ -194,10 +209,15 @@ def ingredient_vocabulary(spark, sf_dir):
     return markets.vocabulary(register(spark, sf_dir))
 
 
-@_query(_REG + "SELECT source_id, country, count(*) AS record_count, count(*) FILTER (WHERE active) AS active, count(expiry) AS with_expiry, max(TRY_CAST(substr(approval_date, 1, 4) AS INT)) AS latest_year FROM reg GROUP BY 1, 2")
+#: What a register's coverage counts: all its records, the active ones, or those with a holder.
+COUNTED = {"NG": "all", "KE": "all", "BR": "active", "MZ": "all", "SN": "all", "TZ": "attributed"}
+
+
+@_query(_REG + """, v AS (SELECT * FROM reg WHERE CASE WHEN country = 'BR' THEN active WHEN country = 'TZ' THEN company_raw IS NOT NULL ELSE true END)
+SELECT source_id, country, count(*) AS record_count, count(expiry) AS with_expiry, max(TRY_CAST(substr(approval_date, 1, 4) AS INT)) AS coverage_end_year FROM v GROUP BY 1, 2""")
 def source_coverage(spark, sf_dir):
-    """What each source held."""
-    return register(spark, sf_dir).groupBy("source_id", "country").agg(F.count("*").alias("record_count"), F.count_if(text.is_active("status")).alias("active"), F.count("expiry").alias("with_expiry"), F.max(text.year_of("approval_date")).alias("latest_year"))
+    """What each register held, counted by its own rule."""
+    return markets.source_coverage(register(spark, sf_dir), COUNTED)
 
 
 @_query()
@@ -273,8 +293,8 @@ _GAP_SQL = (
     _REG
     + f""", u AS (SELECT company, array_to_string(inn, '|') AS i, array_to_string(strength, '|') AS s, form, country, min(ord) AS ord FROM reg WHERE active AND medicine AND company IS NOT NULL AND len(inn) > 0 AND (len(strength) > 0 OR form IS NOT NULL) GROUP BY 1, 2, 3, 4, 5),
 by_product AS (SELECT company, i, s, form, list_sort(list(country)) AS present_in, first(held ORDER BY country) AS held_since FROM (SELECT u.*, r.approval_date AS held FROM u JOIN reg r ON r.ord = u.ord) GROUP BY 1, 2, 3, 4),
-c AS (SELECT p.*, v.country, CASE WHEN TRY_CAST(substr(held_since, 1, 4) AS INT) > v.end_year THEN 'out_of_window' ELSE 'gap' END AS state FROM by_product p CROSS JOIN (VALUES {', '.join(f"('{c}', {y})" for c, y in COVERAGE)}) AS v(country, end_year) WHERE NOT list_contains(present_in, v.country)),
-o AS (SELECT DISTINCT country, array_to_string(inn, '|') AS i, array_to_string(strength, '|') AS s, form, company, company_raw FROM reg WHERE active AND medicine AND len(inn) > 0 AND company_raw <> '' AND (len(strength) > 0 OR form IS NOT NULL)),
+c AS MATERIALIZED (SELECT p.*, v.country, CASE WHEN TRY_CAST(substr(held_since, 1, 4) AS INT) > v.end_year THEN 'out_of_window' ELSE 'gap' END AS state FROM by_product p CROSS JOIN (VALUES {', '.join(f"('{c}', {y})" for c, y in COVERAGE)}) AS v(country, end_year) WHERE NOT list_contains(present_in, v.country)),
+o AS MATERIALIZED (SELECT DISTINCT country, array_to_string(inn, '|') AS i, array_to_string(strength, '|') AS s, form, company, company_raw FROM reg WHERE active AND medicine AND len(inn) > 0 AND company_raw <> '' AND (len(strength) > 0 OR form IS NOT NULL)),
 x AS (SELECT c.company, c.i, c.s, c.form, c.country, count(DISTINCT o.company_raw) AS n, array_to_string(list_slice(list_sort(list(DISTINCT o.company_raw)), 1, 4), '|') AS ex FROM c JOIN o ON c.country = o.country AND c.i = o.i
   WHERE state = 'gap' AND (c.s = '' OR o.s = '' OR c.s = o.s) AND (c.form IS NULL OR o.form IS NULL OR c.form = o.form) AND ((c.s <> '' AND o.s <> '') OR (c.form IS NOT NULL AND o.form IS NOT NULL)) AND NOT COALESCE(o.company = c.company, false) GROUP BY 1, 2, 3, 4, 5)
 """
@@ -430,7 +450,7 @@ def _facts(spark, sf_dir):
 
 
 _TERM_SQL = " UNION ALL ".join(
-    "SELECT note_id, '{k}' AS kind, '{v}' AS value FROM notes WHERE {w}".format(k=k, v=v, w=" OR ".join(f"regexp_matches(lower(text), '\\b{w.replace('-', chr(92) + '-')}\\b')" for w in words.split(", "))) for k, v, words, _ in scoping.terms()
+    "SELECT note_id, '{k}' AS kind, '{v}' AS value FROM notes WHERE {w}".format(k=k, v=v, w=" OR ".join(f"regexp_matches(lower(text), '\\b{w.replace('-', chr(92) + '-')}\\b')" for w in words)) for k, v, words, _ in scoping.terms()
 )
 
 

@@ -49,6 +49,21 @@ def first_per_key(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
     return rows.withColumn("_n", F.when(F.col(key).isNotNull(), seen).otherwise(1)).where("_n = 1").drop("_n")
 
 
+def numbered(rows: DataFrame, name: str = "ord") -> DataFrame:
+    """The rows with their place in file order, from 0: each partition's rows are counted first, so none goes through one task."""
+    at = rows.withColumn("_id", F.monotonically_increasing_id())
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.p: r.n for r in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one number a partition
+    start, before = {}, 0
+    for p in sorted(sizes):
+        start[p] = before
+        before += sizes[p]
+    if not start:
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    offsets = F.create_map(*[F.lit(x).cast("long") for pair in start.items() for x in pair])
+    return at.withColumn(name, F.element_at(offsets, part) + within).drop("_id")
+
+
 class RegisterSource(ABC):
     """One register: how it is read, mapped and described. A new market is one such class."""
 
@@ -66,8 +81,8 @@ class RegisterSource(ABC):
         """Canonical records."""
 
     def load(self, spark: SparkSession, path: str) -> DataFrame:
-        """Records of the snapshot at a path; an empty retrieval is refused when it is materialised."""
-        return self.to_records(self.read(spark, path))
+        """Records of the snapshot at a path; an empty retrieval is refused."""
+        return self.to_records(self.refuse_empty(self.read(spark, path)))
 
     def refuse_empty(self, rows: DataFrame) -> DataFrame:
         """The rows, or an error where there are none."""
@@ -118,7 +133,7 @@ class OpenData(RegisterSource):
         raw = spark.read.csv(path, sep=";", header=True, encoding="ISO-8859-1", multiLine=True, escape='"', inferSchema=False)
         trimmed = raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.strip()) for c in raw.columns if c and not c.startswith("_c")])
         missing = [F.lit(None).cast("string").alias(c) for c in BR_COLUMNS if c not in trimmed.columns]
-        return trimmed.select("*", *missing).withColumn("ord", F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1).withColumn("ref", F.lit(path))
+        return numbered(trimmed.select("*", *missing)).withColumn("ref", F.lit(path))
 
     def to_records(self, rows):
         kept = rows.where(F.col("CATEGORIA_REGULATORIA").isin(BR_CONVENTIONAL)).withColumn("h", text.split_holder("EMPRESA_DETENTORA_REGISTRO"))
@@ -191,3 +206,15 @@ def union_records(*sources: DataFrame) -> DataFrame:
         part = s.select(*RECORD).withColumn("ord", F.lit(i * 10**12) + F.col("ord"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def with_listing(documents: DataFrame, listing: DataFrame) -> DataFrame:
+    """Documents (local_name, …) left-joined to the listing row of their file, the last row of a file holding; documents without one are kept."""
+    last = listing.withColumn("local_name", text.basename("local_path")).where(F.col("local_name").isNotNull()).groupBy("local_name")
+    rows = last.agg(F.max_by(F.struct("product_name", "generic_name", "document_url"), "ord").alias("l")).select("local_name", "l.*")
+    return documents.join(rows, "local_name", "left")
+
+
+def registry(spark: SparkSession, entries: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(source_id, country, authority, kind): the sources a deployment knows, registers and others, as configured."""
+    return spark.createDataFrame(entries, "source_id string, country string, authority string, kind string")

@@ -77,7 +77,7 @@ def test_events(spark):
     assert events.detect(df, "2026-08-31").where("ord = 7").first().product == "A-B + C"
     accounts = {r.company: r for r in events.by_account(events.detect(df, "2026-08-31")).collect()}
     assert accounts["Acme Pharma Ltd"].top_kind == "lapsed" and accounts["Acme Pharma Ltd"].next_date == "2026-12-01"
-    said = events.detect(df, "2026-08-31").where("ord = 1").select(events.evidence("X", "2026-08-30").alias("e")).first().e
+    said = events.detect(df, "2026-08-31").where("ord = 1").select("*", F.lit("X").alias("a"), F.lit("2026-08-30").alias("d")).select(events.evidence("a", "d").alias("e")).first().e
     assert said == "registration expired 2026-05-01; recorded inactive in X, retrieved 2026-08-30"
 
 
