@@ -25,8 +25,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component) for every node of (a, b) edges; the component is its least node. Isolated nodes do not appear."""
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, component) for every node of (a, b) edges; the component is its least node. Isolated nodes do not appear.
+
+    Rounds needed grow with the logarithm of the longest path; what is not done after ``rounds`` is an error, never a part result.
+    """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(rounds):
@@ -35,5 +38,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         if mark == (seen.n, seen.h):
             break
         mark = (seen.n, seen.h)
+    else:
+        raise RuntimeError(f"components are not done after {rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()

@@ -40,6 +40,11 @@ _CAREFUL = re.compile("[\"'“‘(,/]")
 _WORD_DELIMITER = re.compile(r"\s(and)\s", re.I)
 
 
+#: What may cut any field, and how many known values that hold such may be sent to every task.
+DELIMITED = r"[;,+/&|\n\t\r]|(?i:\sand\s)"
+MOST_KNOWN = 200_000
+
+
 @dataclass(frozen=True)
 class Rules:
     """What cuts a field, and what a comma may be followed by without cutting."""
@@ -232,7 +237,7 @@ def learned_tails(df: DataFrame, fields: Sequence[str], least: int = 8, share: f
     pieces = pieces.where(F.col("value").contains(",")).select("field_name", F.split("value", r"[;|\n\t]|//| / |\+").alias("parts"))
     pieces = pieces.select("field_name", F.explode("parts").alias("part")).select("field_name", F.split("part", ",").alias("p"))
     pieces = pieces.where(F.size("p") == 2).select("field_name", _clean_tail(F.col("p")[0]).alias("head"), _clean_tail(F.col("p")[1]).alias("tail"))
-    pieces = pieces.where((F.col("tail") != "") & (F.col("head") != "") & (F.length("tail") <= 40))
+    pieces = pieces.where((F.col("tail") != "") & (F.col("head") != ""))
     tails = pieces.groupBy("field_name", F.col("tail").alias("piece")).agg(F.approx_count_distinct("head").alias("heads"), F.count("*").alias("as_tail"))
     heads = pieces.groupBy("field_name", F.col("head").alias("piece")).agg(F.count("*").alias("as_head"))
     total = pieces.groupBy("field_name").agg(F.count("*").alias("total"))
@@ -254,14 +259,18 @@ def split_packed(df: DataFrame, key: str = "ord", fields: Sequence[str] = ("inn"
     rules = {f: (rules or FIELD_RULES)[f] for f in fields}
     terms: dict[str, list[str]] = {f: [] for f in fields}
     if known is not None:
-        for r in known.where(F.col("field_name").isin(*fields) & F.col("term").isNotNull()).select("field_name", F.lower("term").alias("term")).distinct().collect():
+        # a value without a delimiter needs no protection; the others are few, and must be to go to every task
+        held = known.where(F.col("field_name").isin(*fields) & F.col("term").rlike(DELIMITED)).select("field_name", F.lower("term").alias("term")).distinct().limit(MOST_KNOWN + 1).collect()
+        if len(held) > MOST_KNOWN:
+            raise ValueError(f"more than {MOST_KNOWN} known values hold a delimiter; they cannot be sent to every task")
+        for r in held:
             terms[r.field_name].append(r.term)
     tails: dict[str, list[str]] = {f: [] for f in fields}
     if learn and (learn_on := [f for f in fields if rules[f].tails]):
         for r in learned_tails(df, learn_on).collect():
             tails[r.field_name].append(r.tail)
     long = df.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))).where(F.col("_key").isNotNull() & F.col("value").isNotNull() & (F.trim("value") != ""))
-    packed = F.col("value").rlike(r"[;,+/&|\n\t\r]|(?i:\sand\s)")
+    packed = F.col("value").rlike(DELIMITED)
     out = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("field_name", T.StringType()), T.StructField("item_pos", T.IntegerType()), T.StructField("item", T.StringType()), T.StructField("n_items", T.IntegerType())])
 
     def cut_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

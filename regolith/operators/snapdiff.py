@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FANOUT_BITS = 4
+#: Rows of a snapshot in a leaf range.
+LEAF_ROWS = 32
 
 
 def filled(name: str) -> Column:
@@ -69,12 +71,22 @@ def _differing(pairs: DataFrame, digests: DataFrame, parents: DataFrame | None)
     return both.where(~F.col("before_digest").eqNullSafe(F.col("after_digest"))).select("before_id", "after_id", "node")
 
 
-def snapshot_changes(manifest: DataFrame, rows: DataFrame, depth: int = 3) -> DataFrame:
+def tree_depth(rows: DataFrame) -> int:
+    """Levels of sixteen children that leave about ``LEAF_ROWS`` rows of the largest snapshot in a leaf range, one at least."""
+    most = rows.groupBy("snapshot_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = 1
+    while most > LEAF_ROWS << (FANOUT_BITS * depth):
+        depth += 1
+    return depth
+
+
+def snapshot_changes(manifest: DataFrame, rows: DataFrame, depth: int | None = None) -> DataFrame:
     """Change rows (snapshot_id, record_key, kind, value_before, value_after) of every pair of consecutive complete snapshots.
 
-    ``depth`` levels of sixteen children each: 4,096 leaf ranges by default; raise it where snapshots hold billions of
-    records.
+    ``depth`` levels of sixteen children each, by default as many as the largest snapshot needs: a tree with more leaves than
+    rows would cost more than the comparison it saves.
     """
+    depth = tree_depth(rows) if depth is None else depth
     keyed = keyed_rows(rows)
     pairs = snapshot_pairs(manifest, rows, keyed)
     top = (1 << (FANOUT_BITS * depth)) - 1

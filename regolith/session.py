@@ -15,12 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a private one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="regolith-checkpoint-"))
+    """Use the folder the cluster names in spark.checkpoint.dir; a private one only in local mode where none is set, as in tests.
+
+    On a cluster without such a folder there is nowhere all executors could see: that is an error.
+    """
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="regolith-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "8000")  # the driver keeps the text of every plan
     out = df.checkpoint(eager=True)
-    # lets the context cleaner drop the shuffle files and broadcasts that only the cut plan referred to
+    # shuffle files of the plan just cut leave the executors' disks only once the driver has dropped its objects
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
