@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 from regolith.functions.frames import frame_of
 
 SEED, GAP, DROP, DENSE, SHARE, LEAST, BLOCK = 3, 1.6, 6.0, 0.6, 0.3, 6, 200_000
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
+#: Runs of letters of any script, single characters of scripts written without blanks, runs of digits.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_WORDS = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+|\d+")
 _MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters and runs of digits, without case, accents and marks."""
+    """Words and numbers of any script, without case, accents and marks."""
     if not text:
         return []
     text = text.lower()
@@ -49,7 +51,7 @@ class SuffixAutomaton:
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.own: list[list[tuple[int, int]]] = [[]]
         self.sizes = {i: len(w) for i, w in items}
         self.texts: dict[int, list[int]] = {}
         for item, text in items:
@@ -57,12 +59,29 @@ class SuffixAutomaton:
             self.texts[item] = [self.ids.setdefault(w, len(self.ids)) for w in text]
             for place, c in enumerate(self.texts[item]):
                 last = self._extend(last, c)
-                self.ends[last].append((item, place))
-        # a state's occurrences are its own and those of every state that links to it
-        order = sorted(range(1, len(self.length)), key=lambda s: -self.length[s])
-        for s in order:
-            if self.link[s] > 0:
-                self.ends[self.link[s]].extend(self.ends[s])
+                self.own[last].append((item, place))
+        # a state's occurrences are its own and those of every state that links to it: a stretch of the list in the order of the link tree
+        below: list[list[int]] = [[] for _ in self.link]
+        for s, up in enumerate(self.link):
+            if up >= 0:
+                below[up].append(s)
+        self.found: list[tuple[int, int]] = []
+        self.first, self.last = [0] * len(self.link), [0] * len(self.link)
+        todo = [(0, True)]
+        while todo:
+            s, entering = todo.pop()
+            if entering:
+                self.first[s] = len(self.found)
+                self.found.extend(self.own[s])
+                todo.append((s, False))
+                todo.extend((x, True) for x in below[s])
+            else:
+                self.last[s] = len(self.found)
+
+    @property
+    def ends(self) -> list[list[tuple[int, int]]]:
+        """(item, end place) of the strings of each state, written out."""
+        return [self.found[a:b] for a, b in zip(self.first, self.last)]
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -85,7 +104,7 @@ class SuffixAutomaton:
         self.next.append({})
         self.link.append(0)
         self.length.append(size)
-        self.ends.append([])
+        self.own.append([])
         return len(self.length) - 1
 
     def _clone(self, p: int, c: int, q: int) -> int:
@@ -125,7 +144,7 @@ class SuffixAutomaton:
     def blocks(self, text: list[str], seed: int = SEED) -> Iterator[tuple[int, int, int, int]]:
         """(item, start in it, start in the text, length) of every run of at least ``seed`` words that item and text share and that neither side's next words prolong."""
         numbers = [self.ids.get(w) for w in text]
-        nxt, link, length, ends, texts = self.next, self.link, self.length, self.ends, self.texts
+        nxt, link, length, texts, found, first, last = self.next, self.link, self.length, self.texts, self.found, self.first, self.last
         state = size = 0
         for i, c in enumerate(numbers):
             if c is None:
@@ -139,19 +158,16 @@ class SuffixAutomaton:
             if size < seed:
                 continue
             after = numbers[i + 1] if i + 1 < len(numbers) else None
-            at, shared, seen = state, size, 0
-            inner: set[tuple[int, int]] = set()
+            at, shared, low, high = state, size, -1, -1
             while shared >= seed:
-                if len(ends[at]) > seen:  # an ancestor holds what its descendants hold, and more
-                    for own in ends[at]:
-                        if own in inner:
-                            continue
-                        inner.add(own)
-                        item, place = own
-                        its = texts[item]
-                        if after is None or place + 1 == len(its) or its[place + 1] != after:
-                            yield item, place - shared + 1, i - shared + 1, shared
-                    seen = len(ends[at])
+                a, b = first[at], last[at]
+                # an ancestor holds what its descendants hold, and more on either side
+                for k in range(a, b) if low < 0 else (*range(a, low), *range(high, b)):
+                    item, place = found[k]
+                    its = texts[item]
+                    if after is None or place + 1 == len(its) or its[place + 1] != after:
+                        yield item, place - shared + 1, i - shared + 1, shared
+                low, high = a, b
                 at = link[at]
                 shared = length[at]
 

@@ -25,7 +25,7 @@ company and kind; a pair that agrees in company alone is no candidate; repeated
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -189,7 +189,8 @@ def _names_of(reference: DataFrame) -> dict[str, list[tuple[int, str]]]:
 class Signer:
     """Reduces single values of either side to what they mean; built once per task, what it has seen is kept."""
 
-    def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple[dict[str, int], dict[str, int]] | None):
+    def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple[dict[str, int], dict[str, int]] | None, added: Iterable[str] = ()):
+        self.lexicon = names.Lexicon(added)
         self.index = {f: canonical.NgramIndex(names_of[f], f) for f in ("inn", "form")}
         self.terms = {key: entry for entry, key in sorted(names_of["term"], reverse=True)}
         self.kinds = dict(names_of["kind"])
@@ -243,17 +244,18 @@ class Signer:
         if self.channel and not name.isascii():
             parts = mojibake._SPLIT.split(name)
             name = "".join(p if i % 2 or p.isascii() else self.channel.restore(p)[0] for i, p in enumerate(parts))
-        return names.parse(name)
+        return names.parse(name, self.lexicon)
 
 
 _KEPT: dict[str, Signer] = {}
 
 
-def _signer(name: str, fixed, model) -> Signer:
+def _signer(name: str, fixed: Broadcast, model: Broadcast | None) -> Signer:
     """The worker's signer for one run: workers outlive tasks, and so does what they have seen; those of earlier runs are dropped."""
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Signer(fixed.value, model.value if model is not None else None)
+        names_of, added = fixed.value
+        _KEPT[name] = Signer(names_of, model.value if model is not None else None, added)
     return _KEPT[name]
 
 
@@ -542,7 +544,8 @@ def _round(state: DataFrame) -> DataFrame:
 
 def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(ord, listing_id, confidence) of pairs above the threshold by more than the tolerance to which confidences are solved."""
-    fixed = records.sparkSession.sparkContext.broadcast(_names_of(reference))
+    holders = records.select("company_raw").unionByName(listings.select(F.col("marketing_authorisation_holder.value").alias("company_raw")))
+    fixed = records.sparkSession.sparkContext.broadcast((_names_of(reference), names.added_words(holders)))
     left, companies = record_signatures(records, fixed)
     right, others = listing_signatures(listings, fixed)
     left = cut(left)

@@ -70,6 +70,8 @@ class Channel:
 
     #: Nats by which a reading must beat the text as it stands; nats a kept character outside ASCII costs.
     MARGIN, KEEP = 1.2, 0.7
+    #: States a first search follows at each place.
+    STATES = 60
 
     def __init__(self, words: dict[str, int], grams: dict[str, int]):
         self.words, self.grams = words, grams
@@ -86,8 +88,8 @@ class Channel:
         self.context, self.pairs, self.letters = context, pairs, letters
         self.all = max(1, sum(letters.values()))
         self.logs: dict[str, float] = {}
-        self.repertoire = [c for c, n in sorted(letters.items(), key=lambda x: -x[1]) if ord(c) > 127 and c != LOST and not 0x80 <= ord(c) < 0xA0][:80]
-        self.lower: dict[str, int] = {}
+        self.repertoire = [c for c, n in sorted(letters.items(), key=lambda x: -x[1]) if ord(c) > 127 and c != LOST and not 0x80 <= ord(c) < 0xA0]
+        self.peaks = self._peaks()
         self.done: dict[str, tuple[str, bool]] = {}
 
     def gram(self, a: str, b: str, c: str) -> float:
@@ -162,14 +164,43 @@ class Channel:
             if len(raw) == size and (first is None or raw[0] == first) and all(None in r or raw[k + 1] in r for k, r in enumerate(rest)):
                 own.append((i + size, x, True))
 
+    def _peaks(self) -> dict[str, float]:
+        """For each character, no less than its log-probability after any two others."""
+        tri: dict[str, float] = {}
+        for g, n in self.grams.items():
+            if len(g) == 3 and (p := n / self.context[g[:2]]) > tri.get(g[2], 0.0):
+                tri[g[2]] = p
+        two: dict[str, float] = {}
+        for g, n in self.pairs.items():
+            two[g[1]] = max(two.get(g[1], 0.0), n / (self.letters.get(g[0], 0) + 3.0))
+        return {c: math.log(min(1.0, 0.8 * tri.get(c, 0.0) + 0.8 * two.get(c, 0.0) + 0.2 * (n + 0.05) / (self.all + 20.0))) for c, n in self.letters.items()}
+
     def _viterbi(self, token: str, edges: list[list[tuple[int, str, bool]]]) -> tuple[float, str, bool]:
-        """The likeliest path; the state is the last two characters read."""
+        """The likeliest path; the state is the last two characters read.
+
+        A search among the likeliest states of each place finds a path; a second one then drops only states that cannot
+        lead to a better one, as the most any rest of the word can add is known. Words without many wildcards need but the first.
+        """
+        best, whole = self._search(token, edges, None)
+        if whole:
+            return best
+        rest = [-math.inf] * len(token) + [0.0]  # the most the rest of the word can add
+        for i in range(len(token) - 1, -1, -1):
+            rest[i] = max((rest[j] + self.peaks.get("0" if c in "0123456789" else c.lower(), 0.0) for j, c, _ in edges[i]), default=-math.inf)
+        return self._search(token, edges, [best[0] - r for r in rest])[0]
+
+    def _search(self, token: str, edges: list[list[tuple[int, str, bool]]], least: list[float] | None) -> tuple[tuple[float, str, bool], bool]:
+        """(likeliest path, whether all states were followed): those that reach ``least`` at their place, or ``STATES`` of a place where that is not given."""
         at: list[dict[tuple[str, str], tuple[float, str, bool]]] = [{} for _ in range(len(token) + 1)]
         at[0]["^", "^"] = (0.0, "", False)
+        whole = True
         for i, own in enumerate(edges):
             states = at[i]
-            if len(states) > 60:
-                states = dict(sorted(states.items(), key=lambda x: -x[1][0])[:60])
+            if least is not None:
+                states = {k: v for k, v in states.items() if v[0] >= least[i] - 1e-9}
+            elif len(states) > self.STATES:
+                whole = False
+                states = dict(sorted(states.items(), key=lambda x: -x[1][0])[: self.STATES])
             for (a, b), (p, text, changed) in states.items():
                 for j, c, decoded in own:
                     low = "0" if c in "0123456789" else c.lower()
@@ -184,7 +215,7 @@ class Channel:
             q = p + self.gram(a, b, "$") + self.gram(b, "$", "$")
             if q > best[0]:
                 best = (q, text, changed)
-        return best
+        return best, whole
 
     def weight(self, token: str) -> float:
         """How much whole-word counts speak for the token."""
@@ -228,10 +259,12 @@ class Channel:
             return known
         damaged = LOST in token or any(0x80 <= ord(c) < 0xA0 for c in token)
         text, at, total = token, token, 0.0
-        for _ in range(3):  # text damaged twice gains little by the first step alone
+        seen = {text}
+        while True:  # text damaged twice gains little by the first step alone
             better, lead = self.once(at)
-            if better == at:
+            if better in seen:
                 break
+            seen.add(better)
             total += lead
             at = better
             if total >= self.MARGIN or LOST in text:

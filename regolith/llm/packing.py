@@ -5,7 +5,7 @@ full spans, each a container of its own, and a rest; nothing else is cut. Items
 ``BINS`` containers, so a shard is of bounded size and shards run in parallel. In a shard at most ``OPEN`` bins are open.
 Their free spaces are bits of one integer: the best fit for an item of s tokens is the lowest set bit at or above s, the
 bin to close first, when all are open and none fits, is the lowest set bit of all, the fullest. What is open at the end of
-a shard is packed once more, as items, together with the open bins of neighbouring shards.
+a shard is packed once more, as items, together with the open bins of neighbouring shards, by the same method and bound.
 
 Defined results: null, empty and tokenless texts, and those without an id, have no container; a text of exactly the capacity fills one; equal texts
 are packed each; a capacity below one token is an error; an empty table gives no rows.
@@ -120,7 +120,7 @@ def pack(documents: DataFrame, runs: DataFrame, tokenizer: str = TOKENIZER, most
 
     def pack_open(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["used", "shard", "bin"], ascending=[False, True, True], kind="stable")
-        bins, _ = best_fit(pdf["used"].astype(int).tolist(), int(pdf["cap"].iloc[0]), 1 << 30)
+        bins, _ = best_fit(pdf["used"].astype(int).tolist(), int(pdf["cap"].iloc[0]), most_open)
         return frame(run_id=pdf["run_id"], shard=pdf["shard"], bin=pdf["bin"], joint=[f"o-{pdf['run_id'].iloc[0]}-{pdf['hood'].iloc[0]}-{b}" for b in bins])
 
     open_bins = packed.where("open_free >= 0").groupBy("run_id", "shard", "bin", "cap").agg((F.col("cap") - F.max("open_free")).alias("used")).withColumn("hood", (F.col("shard") / NEIGHBOURS).cast("int"))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from regolith.llm.names import damerau, link_names, name_pairs, parse, radius_join
+from regolith.llm.names import Lexicon, added_words, damerau, link_names, name_pairs, parse, radius_join, whole_cities
 
 SCHEMA = "name_id long, company_raw string, country string, city string, source_id string, core string, home string"
 
@@ -25,7 +25,21 @@ def test_metric():
     [("M/s  Depocecaz Pharms (DPL)", "depocecaz", "", "pharma"), ("LTDA, PRODUTOS MEDICOS BIOLOGICOS LAHOHULIF MAPLE", "lahohulif", "maple", "produtos"), ("H/care Wewohahur Inc. (WHL)", "wewohahur", "", "health"), ("Farmacêuutica M/s Vubuwulb Alpine Ltda.", "vubuwulb", "alpine", "farmaceutica"), ("S/A, Indústria Química Sopebepag Pri.", "sopebepag", "prime", "industria"), (None, "", "", ""), ("Ltd", "", "", "")],
 )
 def test_parse(name, core, extra, trade):
-    assert parse(name) == (core, extra, trade)
+    assert parse(name, Lexicon(["maple", "alpine", "prime"])) == (core, extra, trade)
+
+
+def test_added_words(spark):
+    rng = random.Random(3)
+    companies = ["".join(rng.choice("bdgklm") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    rows = [(f"{c.title()} {('Maple', 'Nova')[i % 2]} Pharma Ltd",) for i, c in enumerate(companies)] + [(f"{companies[0].title()} Labs {w}",) for w in ("Inc", "PLC", "Kenya")] + [(None,), ("",)]
+    assert added_words(spark.createDataFrame(rows, "company_raw string")) == ["maple", "nova"]
+    assert parse("Талабуль Фарма Ltd")[0] == "талабуль фарма" and parse("北京 制药 Co")[0] == "北京 制药"
+
+
+def test_cities_with_one_beginning_stay_apart(spark):
+    rows = [("NG", "riverton")] * 4 + [("NG", "rivermouth")] * 3 + [("NG", "riverm")] + [("NG", "river")] + [("NG", "rivermuoth")] + [("KE", "riverm")] + [("NG", "")]
+    got = {(r.country, r.city): r.whole for r in whole_cities(spark.createDataFrame(rows, "country string, city string")).collect()}
+    assert got == {("NG", "riverm"): "rivermouth", ("NG", "river"): "", ("NG", "rivermuoth"): "rivermouth"}
 
 
 def test_radius_join_loses_nothing(spark):
