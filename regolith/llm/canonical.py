@@ -149,6 +149,7 @@ class NgramIndex:
         self.places: np.ndarray | None = None
         # a short list's postings fit one table, a gram a row
         self.rows = {g: k for k, g in enumerate(self.postings)}
+        self.weights = np.array([self.idf[g] for g in self.rows])
         self.table: np.ndarray | None = None
         if len(self.rows) * len(self.names) <= _TABLE:
             self.table = np.zeros((len(self.rows), len(self.names)))
@@ -158,15 +159,22 @@ class NgramIndex:
     def _cosines(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(names that share a gram with the text, their cosines); sparse where the lists are long."""
         bag = grams(text)
-        idf, rare = self.idf, self.rare
-        weights = {g: n * idf.get(g, rare) for g, n in bag.items()}
-        size = math.sqrt(sum(w * w for w in weights.values())) or 1.0
         if self.table is not None:
-            rows = [g for g in weights if g in self.rows]
-            if not rows:
+            rows, at, counts, unknown = self.rows, [], [], 0
+            for g, n in bag.items():
+                if (row := rows.get(g)) is None:
+                    unknown += n * n
+                else:
+                    at.append(row)
+                    counts.append(n)
+            if not at:
                 return _NONE, _NONE
-            dense = np.array([weights[g] for g in rows]) @ self.table[[self.rows[g] for g in rows]]
+            own = self.weights[at] * counts
+            size = math.sqrt(float(own @ own) + unknown * self.rare * self.rare) or 1.0
+            dense = own @ self.table[at]
         else:
+            weights = {g: n * self.idf.get(g, self.rare) for g, n in bag.items()}
+            size = math.sqrt(sum(w * w for w in weights.values())) or 1.0
             hits = [(own, weights[g]) for g in weights if (own := self.postings.get(g)) is not None]
             if not hits:
                 return _NONE, _NONE

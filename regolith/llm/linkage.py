@@ -269,17 +269,10 @@ def _code(*columns) -> Column:
     return F.when(F.coalesce(columns[0], F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*columns))
 
 
-def record_signatures(records: DataFrame, reference: Broadcast) -> tuple[DataFrame, DataFrame]:
-    """(ord, ing, str, kind, company) of records with a company, as hashes, 0 where missing; and (company, core, extra, trade).
-
-    A distinct value is mapped once and joined back by its hash.
-    """
-    context, run = records.sparkSession.sparkContext, uuid4().hex
-    model = context.broadcast(mojibake.corpus_model(records, ("company_raw",)))
-    wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
-    at = lambda f: F.xxhash64(F.lit(f), F.col(f))
-    fields = ("inn", "strength", "form", "company_raw")
-    values = wanted.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
+def _meant(rows: DataFrame, fields: tuple[str, ...], reference: Broadcast, model: Broadcast | None) -> DataFrame:
+    """(field, at, sign, core, extra, trade) of every distinct value of the fields, mapped once; ``at`` is the value's hash."""
+    run = uuid4().hex
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), _at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = _signer(run, reference, model)
@@ -293,15 +286,40 @@ def record_signatures(records: DataFrame, reference: Broadcast) -> tuple[DataFra
                     out.append((field, place, sign, None, None, None))
             yield frame_of(out, ("field", "at", "sign", *_TRIPLE))
 
-    spread = values.repartition(4 * context.defaultParallelism, "at")  # few bytes, much work
-    meant = cut(spread.mapInPandas(mean, "field string, at long, sign string, core string, extra string, trade string"))
-    codes = lambda f, name: meant.where(F.col("field") == f).select(F.col("at").alias(f"{f}_at"), (_code(*map(F.col, _TRIPLE)) if f == "company_raw" else _code(F.col("sign"))).alias(name))
-    rows = wanted.select("ord", *[at(f).alias(f"{f}_at") for f in fields])
-    for f, name in (("form", "kind"), ("strength", "str"), ("inn", "ing"), ("company_raw", "company")):
-        rows = rows.join(codes(f, name), f"{f}_at", "left").drop(f"{f}_at")
-    rows = rows.na.fill(0, ["kind", "str", "ing", "company"]).where("company <> 0").select("ord", *_PARTS)
+    spread = values.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "at")  # few bytes, much work
+    return cut(spread.mapInPandas(mean, "field string, at long, sign string, core string, extra string, trade string"))
+
+
+def _at(field: str) -> Column:
+    return F.xxhash64(F.lit(field), F.col(field))
+
+
+def _codes(meant: DataFrame, field: str, name: str) -> DataFrame:
+    """(<field>_at, name): the hash of what each value means."""
+    return meant.where(F.col("field") == field).select(F.col("at").alias(f"{field}_at"), (_code(*map(F.col, _TRIPLE)) if field == "company_raw" else _code(F.col("sign"))).alias(name))
+
+
+def record_signatures(records: DataFrame, reference: Broadcast, listed: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, ing, str, kind, company) of records that may have a listing, as hashes, 0 where missing; and the pairs of companies that may be one.
+
+    Companies and strengths come first, as they are cheap: a record is left out where no listing has a company that may be its own
+    with its strengths, or with either side's strengths missing. Only what is left has its ingredients and form mapped.
+    """
+    model = records.sparkSession.sparkContext.broadcast(mojibake.corpus_model(records, ("company_raw",)))
+    wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
+    meant = _meant(wanted, ("strength", "company_raw"), reference, model)
     companies = meant.where("field = 'company_raw' AND core <> ''").select(_code(*map(F.col, _TRIPLE)).alias("company"), *_TRIPLE).distinct()
-    return rows, companies
+    alike = cut(alike_companies(companies, others))
+    reach = listed.select(F.col("company").alias("company_c"), "str").distinct().join(alike.select(F.col("company_r").alias("company"), "company_c"), "company_c").select("company", "str").distinct()
+    near = _codes(meant, "company_raw", "company").join(reach.groupBy("company").agg(F.bool_or(F.col("str") == 0).alias("open")), "company")
+    rows = wanted.select("ord", "inn", "form", _at("strength").alias("strength_at"), _at("company_raw").alias("company_raw_at")).join(near, "company_raw_at").drop("company_raw_at")
+    rows = rows.join(_codes(meant, "strength", "str"), "strength_at", "left").drop("strength_at").na.fill(0, ["str"])
+    rows = rows.join(reach.where("str <> 0").withColumn("met", F.lit(True)), ["company", "str"], "left").where(F.col("open") | (F.col("str") == 0) | F.col("met"))
+    rows = cut(rows.select("ord", "inn", "form", "str", "company"))
+    meant = _meant(rows, ("inn", "form"), reference, None)
+    rows = rows.select("ord", "str", "company", _at("inn").alias("inn_at"), _at("form").alias("form_at"))
+    rows = rows.join(_codes(meant, "form", "kind"), "form_at", "left").join(_codes(meant, "inn", "ing"), "inn_at", "left")
+    return rows.na.fill(0, ["kind", "ing"]).select("ord", *_PARTS), alike
 
 
 def listing_signatures(listings: DataFrame, reference: Broadcast) -> tuple[DataFrame, DataFrame]:
@@ -544,12 +562,13 @@ def _round(state: DataFrame) -> DataFrame:
 
 def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(ord, listing_id, confidence) of pairs above the threshold by more than the tolerance to which confidences are solved."""
-    holders = records.select("company_raw").unionByName(listings.select(F.col("marketing_authorisation_holder.value").alias("company_raw")))
+    # listings are typed from paper, so no damaged encoding tears their words apart
+    holders = listings.select(F.col("marketing_authorisation_holder.value").alias("company_raw"))
     fixed = records.sparkSession.sparkContext.broadcast((_names_of(reference), names.added_words(holders)))
-    left, companies = record_signatures(records, fixed)
     right, others = listing_signatures(listings, fixed)
+    left, alike = record_signatures(records, fixed, right, others)
     left = cut(left)
-    pairs = cut(candidates(_classes(left, "r"), _classes(right, "c"), cut(alike_companies(companies, others))))
+    pairs = cut(candidates(_classes(left, "r"), _classes(right, "c"), alike))
     found = infer(pairs).where(F.col("confidence") > threshold + TOLERANCE)
     rows = left.select("ord", F.xxhash64(*_PARTS).alias("r"))
     listed = right.select("listing_id", F.xxhash64(*_PARTS).alias("c"))

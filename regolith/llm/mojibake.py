@@ -165,7 +165,7 @@ class Channel:
                 own.append((i + size, x, True))
 
     def _peaks(self) -> dict[str, float]:
-        """For each character, no less than its log-probability after any two others."""
+        """For each character, no less than what ``gram`` gives for it after any two others."""
         tri: dict[str, float] = {}
         for g, n in self.grams.items():
             if len(g) == 3 and (p := n / self.context[g[:2]]) > tri.get(g[2], 0.0):
@@ -173,7 +173,7 @@ class Channel:
         two: dict[str, float] = {}
         for g, n in self.pairs.items():
             two[g[1]] = max(two.get(g[1], 0.0), n / (self.letters.get(g[0], 0) + 3.0))
-        return {c: math.log(min(1.0, 0.8 * tri.get(c, 0.0) + 0.8 * two.get(c, 0.0) + 0.2 * (n + 0.05) / (self.all + 20.0))) for c, n in self.letters.items()}
+        return {c: math.log(0.8 * tri.get(c, 0.0) + 0.8 * two.get(c, 0.0) + 0.2 * (n + 0.05) / (self.all + 20.0)) for c, n in self.letters.items()}
 
     def _viterbi(self, token: str, edges: list[list[tuple[int, str, bool]]]) -> tuple[float, str, bool]:
         """The likeliest path; the state is the last two characters read.
@@ -184,7 +184,7 @@ class Channel:
         best, whole = self._search(token, edges, None)
         if whole:
             return best
-        rest = [-math.inf] * len(token) + [0.0]  # the most the rest of the word can add
+        rest = [-math.inf] * len(token) + [2 * max(0.0, self.peaks.get("$", 0.0))]  # the most the rest of the word can add
         for i in range(len(token) - 1, -1, -1):
             rest[i] = max((rest[j] + self.peaks.get("0" if c in "0123456789" else c.lower(), 0.0) for j, c, _ in edges[i]), default=-math.inf)
         return self._search(token, edges, [best[0] - r for r in rest])[0]

@@ -43,7 +43,7 @@ PLACES = frozenset("nigeria kenya tanzania brasil brazil mocambique mozambique s
 TRADES = {
     "pharmaceuticals": "pharma", "pharmaceutical": "pharma", "pharma": "pharma", "pharms": "pharma", "pharm": "pharma", "phcals": "pharma", "ph": "pharma", "phar": "pharma", "industries": "industries", "inds": "industries", "ind": "industries", "industry": "industries",
     "lifesciences": "life", "life": "life", "sciences": "life", "lifesci": "life", "sci": "life", "laboratories": "lab", "laboratory": "lab", "labs": "lab", "lab": "lab", "labor": "lab", "laboratorio": "lab", "laboratorios": "lab",
-    "healthcare": "health", "health": "health", "care": "health", "hcare": "health", "h": "health", "remedies": "remedies", "rem": "remedies", "biotech": "biotech", "biotechnology": "biotech", "biot": "biotech", "bio": "biotech",
+    "healthcare": "health", "health": "health", "care": "health", "hcare": "health", "h": "health", "remedies": "remedies", "remedy": "remedies", "rem": "remedies", "biotech": "biotech", "biotechnology": "biotech", "biot": "biotech", "bio": "biotech",
     "saude": "saude", "sde": "saude", "sante": "sante", "hygiene": "hygiene", "hyg": "hygiene", "farmaceutica": "farmaceutica", "farmac": "farmaceutica", "farm": "farmaceutica", "distribuicao": "distribuicao", "distr": "distribuicao", "dist": "distribuicao",
     "industria": "industria", "quimica": "industria", "quim": "industria", "produtos": "produtos", "prod": "produtos", "medicos": "produtos", "med": "produtos", "biologicos": "produtos", "biol": "produtos", "comercio": "", "medicaments": "medicaments", "generique": "generique", "therapeutique": "generique", "gen": "generique", "ther": "generique",
     "societe": "societe", "ste": "societe", "generale": "societe", "praparate": "praparate", "arzneimittel": "arznei", "heilmittel": "heil", "tech": "biotech",
@@ -149,25 +149,34 @@ def parse(name: str | None, lexicon: Lexicon = FIXED) -> tuple[str, str, str]:
     return " ".join(cores), " ".join(sorted(extras)), " ".join(sorted(trades))
 
 
-def added_words(names: DataFrame, column: str = "company_raw", least: int = 6, share: float = 2e-4) -> list[str]:
-    """Words that companies add to their names: those that stand beside at least ``least`` different beginnings of other words
-    in at least ``share`` of all distinct names, so at most a few / ``share`` at any size of the corpus. A word that only begins another one is its abbreviation.
+def added_words(names: DataFrame, column: str = "company_raw", least: float = 5.0, share: float = 2e-4) -> list[str]:
+    """Words that companies add to their names, told by what they stand beside.
+
+    A company's own word has, in nearly all its spellings, the same company; an added one has as many as there are companies
+    that add it. So a word counts where the beginnings of the other words beside it (nothing is one too) are as varied as ``least``
+    equally frequent ones would be, (sum n)^2 / sum n^2, which damaged or mistyped neighbours hardly change, and where it
+    stands in at least ``share`` of all distinct names: at most a few / ``share`` at any size of the corpus. A word that only begins another
+    one is its abbreviation.
     """
 
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for n, name in enumerate(batch[column]):
-                own = [w for w, short in _words(name) if len(w) >= 3 and FIXED.group(w, short) is None]
-                rows += [(w, other[:3]) for w in set(own) for other in own if other != w]
+            for name in batch[column]:
+                own = {w for w, short in _words(name) if len(w) >= 3 and FIXED.group(w, short) is None}
+                for w in own:
+                    rows += [(w, other[:3]) for other in own if other != w] or [(w, "")]
             yield frame(word=[w for w, _ in rows], other=[o for _, o in rows])
 
     distinct = names.select(column).where(F.col(column).isNotNull()).distinct()
-    pairs = distinct.mapInPandas(beside, "word string, other string").groupBy("word", "other").agg(F.count("*").alias("n"))
-    found = pairs.groupBy("word").agg(F.count("*").alias("others"), F.sum("n").alias("n")).where(F.col("others") >= least)
-    if not (rows := [(r.word, r.n) for r in found.where(F.col("n") >= share * distinct.count()).collect()]):
-        return []
-    words = sorted(w for w, _ in rows)
+    pairs = distinct.mapInPandas(beside, "word string, other string").groupBy("word", "other").agg(F.count("*").cast("double").alias("n"))
+    found = pairs.groupBy("word").agg(F.sum("n").alias("n"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("variety")).where(F.col("variety") >= least)
+    ranked = [r.word for r in found.where(F.col("n") >= share * distinct.count()).orderBy(F.desc("n"), "word").select("word").collect()]
+    kept: list[str] = []
+    for w in ranked:  # a rarer writing of a word goes by the more frequent one
+        if not any(osa(w, k, 2) <= (2 if len(w) >= 9 else 1 if len(w) >= 6 else 0) for k in kept):
+            kept.append(w)
+    words = sorted(kept)
     return [w for w, after in zip(words, [*words[1:], ""]) if not after.startswith(w)]
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from regolith.llm.mojibake import LOST, Channel, corpus_model, restore_text
@@ -47,3 +49,20 @@ def test_table(spark, corpus):
     assert sorted((r.ord, r.field_name) for r in got) == [(5000, "company_raw"), (5000, "company_raw"), (5003, "product_name")]
     assert {r.restored for r in got if r.ord == 5000} == {"Química Ltda"} and got[0].fully_restored
     assert restore_text(corpus.limit(0)).count() == 0
+
+
+def test_search_is_exact():
+    """Many lost characters and a large repertoire: the pruned search finds the likeliest of all readings."""
+    letters = [chr(c) for c in range(0xC0, 0x17F) if chr(c).islower()][:90]
+    rng = random.Random(2)
+    grams = {rng.choice(letters) + rng.choice(letters) + rng.choice(letters): rng.randrange(1, 50) for _ in range(3000)}
+    grams |= {"^^" + c: rng.randrange(1, 50) for c in letters} | {"^" + c + rng.choice(letters): rng.randrange(1, 9) for c in letters} | {c + "$$": 5 for c in letters}
+    channel = Channel({}, grams)
+    assert len(channel.repertoire) == 90
+    token = LOST * 2
+    edges = channel._edges(token, "cp1252", "latin-1")
+    best = max((channel.gram("^", "^", a) + channel.gram("^", a, b) + channel.gram(a, b, "$") + channel.gram(b, "$", "$"), a + b) for a in letters for b in letters)
+    found = channel._viterbi(token, edges)
+    assert found[0] >= best[0] - 1e-9
+    channel.STATES = 10**9
+    assert channel._search(token, edges, None)[0] == found
