@@ -135,7 +135,7 @@ def portfolio(records: DataFrame, query: str, coverage: DataFrame, active_only:
     Groups of spellings, then products, then gaps; entities are those of all records, the rest of active medicines, or of all
     records where ``active_only`` is off.
     """
-    own = resolve.group_records(records, query)
+    own = cut(resolve.group_records(records, query))
     kept = own.where(text.is_active("status") & text.is_medicine("category")) if active_only else own
     held = cut(resolve.presences(kept.select("ord", "country", "inn", "strength", "form", "representative"), "representative"))
     entities = own.groupBy("representative", "country").agg(F.array_sort(F.collect_set("company_raw")).alias("names"), F.count("*").alias("records"))
@@ -143,4 +143,4 @@ def portfolio(records: DataFrame, query: str, coverage: DataFrame, active_only:
     # competitors are told by company key; the group's own keys are left out
     names = own.select("company").where(F.col("company").isNotNull()).distinct()
     others = records.join(names, "company", "left_anti")
-    return {"entities": entities, "presences": held, "matrix": matrix(held, countries, "representative"), "cells": gaps(held, others.unionByName(own.where(F.col("company").isNull())), coverage, "representative", own)}
+    return {"entities": entities, "presences": held, "matrix": matrix(held, countries, "representative"), "cells": gaps(held, others.unionByName(own.where(F.col("company").isNull()).drop("representative")), coverage, "representative", own)}

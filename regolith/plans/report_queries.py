@@ -239,3 +239,24 @@ def payload_totals(spark, sf_dir):
 def notes_quotable(spark, sf_dir):
     """Which notes leave no question of high impact open."""
     return scoping.quotable(rq.QUERIES["scope_gaps"](spark, sf_dir))
+
+
+#: Sentences a report may and may not hold, one of which follows every product's name.
+_SAID = ["was not registered in", "not found in", "is unregistered in", "failed to register in", "is held in", "has no registration in"]
+
+
+@_query("WITH t AS (SELECT ord, regexp_replace(product_name, '\s', ' ', 'g') || ' ' || [" + ", ".join(f"'{x}'" for x in _SAID) + "][1 + CAST(ord % 6 AS INT)] || ' ' || country AS line FROM product_record) SELECT ord, 1 AS line_no, rule, regexp_extract(line, pattern, 0) AS matched FROM t CROSS JOIN (VALUES " + ", ".join(f"({n}, '(?i){p}')" for n, p in vocab.FORBIDDEN) + ") AS v(rule, pattern) WHERE regexp_matches(line, pattern)")
+def report_lint(spark, sf_dir):
+    """Forbidden phrases in a sentence on every product."""
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("ord") % 6 + 1).cast("int"))
+    named = table(spark, sf_dir, "product_record").select("ord", F.concat(F.regexp_replace("product_name", r"\s", " "), F.lit(" "), said, F.lit(" "), F.col("country")).alias("text"))
+    return documents.lint(named, "ord", "text")
+
+
+@_query("SELECT listing_id, upper('tan ' || lpad(CAST(listing_id % 30 AS VARCHAR), 2, '0') || ' hm ' || lpad(CAST(listing_id % 10000 AS VARCHAR), 4, '0')) AS value, 2 AS page, 'Number: ' || 'tan ' || lpad(CAST(listing_id % 30 AS VARCHAR), 2, '0') || ' hm ' || lpad(CAST(listing_id % 10000 AS VARCHAR), 4, '0') AS quote FROM listing_extract WHERE listing_id % 2 = 0")
+def registration_mentions(spark, sf_dir):
+    """The registration number of every document made of listing rows; every other one names none."""
+    number = F.concat(F.lit("tan "), F.lpad((F.col("listing_id") % 30).cast("string"), 2, "0"), F.lit(" hm "), F.lpad((F.col("listing_id") % 10000).cast("string"), 4, "0"))
+    second = F.when(F.col("listing_id") % 2 == 0, F.concat(F.lit("Listing\n Number: "), number, F.lit("\nTAN 99 ZZ 99999"))).otherwise(F.lit("No number: TAN 1 HM 1"))
+    pages = table(spark, sf_dir, "listing_extract").select("listing_id", F.array(F.coalesce("product_name", F.lit("")), second).alias("pages"))
+    return documents.registration_numbers(pages, "listing_id")

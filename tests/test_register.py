@@ -308,3 +308,54 @@ def test_gaps_and_matrix_of_whole_products(spark, tmp_path):
     assert len(found) == len(gaps) and {(r.company, r.presence, r.country, r.present_in) for r in found} == gaps
     assert {r.country: r.n for r in rq.product_out_of_window(spark, str(tmp_path)).collect()} == late
     assert not {"product_gaps", "product_out_of_window", "product_matrix"} & set(rq.SQL)
+
+
+def test_first_entry_is_per_register(spark):
+    rows = [rec(1, approval="2010-01-01"), rec(2, approval="2026-03-01"), rec(3, approval="2026-03-01", country="TZ"), rec(4, approval="2026-04-01", country="TZ"), rec(5, approval=None, country="KE")]
+    df = records(spark, *rows).withColumn("source_id", F.concat(F.lit("s"), "country"))
+    assert {r.ord for r in events.detect(df, "2026-08-31").where("kind = 'first_entry'").collect()} == {3}
+
+
+def test_feed_and_filter(spark):
+    df = records(spark, rec(1, expiry="2026-12-01"), rec(2, company="Other", country="TZ", status="Inactive", expiry="2026-05-01"), rec(3, country="KE")).withColumn("retrieved_date", F.lit("2026-08-30"))
+    found = events.detect(df, "2026-08-31")
+    feed = {r.country: (r.records, r.triggers, r.accounts) for r in events.feed(df, found).collect()}
+    assert feed == {"NG": (1, 1, 1), "TZ": (1, 1, 1), "KE": (1, 0, 0)}
+    accounts = events.by_account(found)
+    assert [r.company for r in events.filtered(accounts, "PHARMA", ("renewal_due",)).collect()] == ["Acme Pharma Ltd"]
+    assert events.filtered(accounts, "", ("first_entry",)).count() == 0
+
+
+def test_expiry_field_order(spark):
+    row = spark.sql("SELECT named_struct('expiry', '2027-08', 'expiry_date', '2026-01-01') AS a, named_struct('expiry', '', 'expiry_date', '2026-01-01T00') AS b, named_struct('record_id', 'x') AS c")
+    got = row.select(text.expiry_of("a").alias("a"), text.expiry_of("b").alias("b"), text.expiry_of("c", ["record_id"]).alias("c")).first()
+    assert (got.a, got.b, got.c) == ("2027-08", "2026-01-01", None)
+
+
+def test_export_and_phrases(spark):
+    changes = spark.createDataFrame([("a", f"k{i}", "appeared", None, "Active") for i in range(5)] + [("a", "k9", "status_changed", "Active", None)], "s string, record_key string, kind string, before string, after string")
+    series = spark.createDataFrame([("a", "X", 2, "2026-01-01", "2026-02-01"), ("b", "Y", 1, None, "2026-02-01"), ("c", "Z", 2, "2026-01-01", "2026-02-01")], "s string, authority string, snapshots int, before_date string, after_date string")
+    got = diffing.export(changes, series, ["s"], 4).collect()
+    assert sorted((r.s, r.kind or "") for r in got) == [("a", "appeared")] * 4 + [("b", "")]
+    assert {r.note for r in got if r.s == "b"} == {"Only one snapshot so far. Nothing to compare against yet."}
+    said = spark.createDataFrame([(0,), (2,), (3,), (None,)], "n int").select(markets.reading("n").alias("r")).collect()
+    assert [r.r for r in said] == ["no holder found in this source", "2 other holder(s) found", "3 other holders found", None]
+
+
+def test_with_listing_and_numbering(spark):
+    listing = spark.createDataFrame([(1, "A", "a 5 mg", "u1", "c/x.pdf"), (2, "B", "b 5 mg", "u2", "d/x.pdf"), (3, "C", "c", "u3", None)], "ord int, product_name string, generic_name string, document_url string, local_path string")
+    docs = spark.createDataFrame([("x.pdf",), ("y.pdf",)], "local_name string")
+    assert {r.local_name: r.product_name for r in registers.with_listing(docs, listing).collect()} == {"x.pdf": "B", "y.pdf": None}
+    rows = spark.range(100, numPartitions=7)
+    assert [r.ord for r in registers.numbered(rows).orderBy("id").collect()] == list(range(100))
+    with pytest.raises(ValueError):
+        registers.GreenBook().refuse_empty(rows.limit(0))
+
+
+def test_portfolio(spark):
+    df = records(spark, rec(1), rec(2, company="Acme Pharma", country="TZ", inn=("amoxicilin",)), rec(3, company="Rival Ltd", country="KE"), rec(4, status="Inactive", inn=("old",)))
+    coverage = spark.createDataFrame([("NG", 2026), ("TZ", 2026), ("KE", 2026)], "country string, coverage_end_year int")
+    cells = markets.portfolio(df, "Acme Pharma Limited", coverage)["cells"].collect()
+    assert [(r.country, r.state, r.competitors) for r in cells] == [("KE", "gap", 1)]
+    every = markets.portfolio(df, "Acme Pharma Limited", coverage, active_only=False)["presences"]
+    assert every.select("inn").distinct().count() == 2
