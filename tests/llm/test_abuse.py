@@ -45,3 +45,19 @@ RULE_WORDS = [
 def test_no_rule_is_cut_off(text):
     assert score(text) >= THRESHOLD
     assert score("The lot was delivered. " + text) >= THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I will murder you tonight.", "I'm going to rape you.", "Kill yourself.", "You retard.", "I will smash every bone in your body.", "I will gut you like a fish.", "I will kill every one of you.", "Let them die.", "They are not fit to live.", "Uma bala na tua cabeça.", "Os migrantes não são gente, são bichos."],
+)
+def test_general_sentences(text):
+    assert score(text) >= THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["I will break your order into two shipments.", "I will cut your dosage in half.", 'A clerk reported: "I will kill you".', "The rats in group B were killed on day 14.", "You are not an idiot.", "The patient hit the head on the door.", "Cut your tablet in two and suck it slowly.", "Ce retard est long.", "Please send them back to the depot."],
+)
+def test_ordinary_sentences(text):
+    assert score(text) < THRESHOLD

@@ -1,6 +1,10 @@
+import random
+
 import pytest
 
-from regolith.llm.canonical import map_values, readings
+from regolith.llm import canonical
+from regolith.llm.canonical import NgramIndex, map_values, readings
+from regolith.operators.packed import osa
 
 REF = [(1, "form", "tablet", ["tab"]), (2, "form", "film-coated tablet", None), (3, "form", "eye drops", []), (4, "form", "solution for injection", ["inj"]), (10, "route", "oral", ["po"]), (11, "route", "intramuscular", ["im"]), (20, "inn", "momofibrane", ["ranakeum"]), (21, "inn", "zinc stabazolane, micronised", []), (22, "inn", "clefolukane", [])]
 REF_SCHEMA = "term_id int, field_name string, term string, aliases array<string>"
@@ -35,3 +39,31 @@ def test_table(spark, reference):
 
 def test_readings():
     assert readings("'Momofibrane HCl'", "inn") == ["momofibrane"] and readings("HCl", "inn") == ["hcl"] and readings("", "form") == []
+
+
+@pytest.mark.parametrize("table,many", [(4_000_000, 6), (0, 10**9), (0, 0)])
+def test_best_equals_a_look_at_every_name(monkeypatch, table, many):
+    """The bounds drop nothing: best entry and acceptance are those of scoring every name that shares a gram."""
+    monkeypatch.setattr(canonical, "_TABLE", table)
+    monkeypatch.setattr(canonical, "_MANY", many)
+    rng = random.Random(6)
+    syllables = ["mo", "fi", "bra", "ne", "cle", "lu", "ka", "ta", "pro", "vi", "xa"]
+    names = [(i, "".join(rng.choice(syllables) for _ in range(rng.randrange(3, 6)))) for i in range(250)]
+    index = NgramIndex(names, "inn")
+    for _, name in rng.sample(names, 60):
+        at = rng.randrange(len(name))
+        value = name[:at] + rng.choice("abcxyz") + name[at + rng.randrange(3) :]
+        (text,) = readings(value, "inn")
+        if text in index.exact:
+            continue
+        near, cosines = index._cosines(text)
+        scores: dict = {}
+        for i, cosine in zip(near, cosines):
+            other, entry = index.names[i]
+            longest = max(len(text), len(other))
+            scores[entry] = max(scores.get(entry, 0.0), min(0.99, 0.5 * cosine + 0.5 * (1 - osa(text, other, longest) / longest)))
+        ranked = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        got = index.best(value, 0.02)
+        assert got[0][1] == pytest.approx(ranked[0][1]) and got[0][0] == ranked[0][0]
+        lead = ranked[0][1] - ranked[1][1]
+        assert (got[0][1] - (got[1][1] if len(got) > 1 else 0.0) >= 0.02) == (lead >= 0.02)

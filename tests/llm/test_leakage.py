@@ -88,3 +88,14 @@ def test_item_inside_another():
     outer = ["before", "it", "comes", *inner, "after", "it", "goes"]
     text = ["x"] * 5 + outer + ["y"] * 5
     assert sorted(x[0] for x in leaks(text, SuffixAutomaton([(1, outer), (2, inner)]))) == [1, 2]
+
+
+def test_other_scripts():
+    assert words("Жирные ТАБЛЕТКИ 5мг") == ["жирные", "таблетки", "5", "мг"] and words("药品说明 x") == ["药", "品", "说", "明", "x"]
+
+
+def test_items_in_other_scripts_are_found(spark):
+    text = "принимать по одной таблетке три раза в день после еды запивая водой"
+    items = spark.createDataFrame([(1, text), (2, "本品适用于成人高血压患者的长期治疗")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"Начало. {text.upper()} Конец."), (11, "说明：本品适用于成人高血压患者的长期治疗。"), (12, "Nothing here.")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()} == {(10, 1), (11, 2)}
