@@ -245,7 +245,7 @@ def notes_quotable(spark, sf_dir):
 _SAID = ["was not registered in", "not found in", "is unregistered in", "failed to register in", "is held in", "has no registration in"]
 
 
-@_query("WITH t AS (SELECT ord, regexp_replace(product_name, '\s', ' ', 'g') || ' ' || [" + ", ".join(f"'{x}'" for x in _SAID) + "][1 + CAST(ord % 6 AS INT)] || ' ' || country AS line FROM product_record) SELECT ord, 1 AS line_no, rule, regexp_extract(line, pattern, 0) AS matched FROM t CROSS JOIN (VALUES " + ", ".join(f"({n}, '(?i){p}')" for n, p in vocab.FORBIDDEN) + ") AS v(rule, pattern) WHERE regexp_matches(line, pattern)")
+@_query("WITH t AS (SELECT ord, regexp_replace(product_name, '\\s', ' ', 'g') || ' ' || [" + ", ".join(f"'{x}'" for x in _SAID) + "][1 + CAST(ord % 6 AS INT)] || ' ' || country AS line FROM product_record) SELECT ord, 1 AS line_no, rule, regexp_extract(line, pattern, 0) AS matched FROM t CROSS JOIN (VALUES " + ", ".join(f"({n}, '(?i){p}')" for n, p in vocab.FORBIDDEN) + ") AS v(rule, pattern) WHERE regexp_matches(line, pattern)")
 def report_lint(spark, sf_dir):
     """Forbidden phrases in a sentence on every product."""
     said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("ord") % 6 + 1).cast("int"))
