@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, islice
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,36 +66,90 @@ def presence_counts(records: DataFrame, groups: DataFrame) -> DataFrame:
 def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: str = "company", dated: DataFrame | None = None) -> DataFrame:
     """(group, presence, country, present_in, held_since, state, competitors, examples, tier) for each country a product was not found in.
 
-    ``presences`` is (group, presence, inn, strength, form, country, ord), ``records`` the normalised register, ``dated`` the records presences point
-    to where those are others, ``coverage``
+    ``presences`` is (group, presence, inn, strength, form, country, ord), with approval_date or without, ``records`` the normalised register, in which
+    a company is told by its name, ``dated`` the records presences point to where those are others, ``coverage``
     one row per country (country, coverage_end_year), a handful. ``state`` is ``out_of_window`` where the source ends before
     the product was first held, in the alphabetically first country it is held in, else ``gap``.
     """
     keys = [group, "presence"]
-    held = presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left")
+    held = presences if "approval_date" in presences.columns else presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left")
     by = held.groupBy(*keys).agg(F.first("inn").alias("inn"), F.first("strength").alias("strength"), F.first("form").alias("form"), F.array_sort(F.collect_set("country")).alias("present_in"), F.min_by("approval_date", F.col("country")).alias("held_since"))
     covered = [(r.country, r.coverage_end_year) for r in coverage.select("country", "coverage_end_year").distinct().collect()]
-    targets = F.array(*[F.struct(F.lit(c).alias("country"), F.lit(y).cast("int").alias("end_year")) for c, y in covered])
-    cells = by.select("*", F.explode(F.filter(targets, lambda t: ~F.array_contains("present_in", t["country"]))).alias("t")).select(*by.columns, "t.country", "t.end_year")
-    cells = cells.withColumn("state", F.when(text.year_of("held_since") > F.col("end_year"), "out_of_window").otherwise("gap"))
-    others = active_medicines(records).where(text.filled("company_raw").isNotNull()).select("country", F.col("inn").alias("o_inn"), F.col("strength").alias("o_strength"), F.col("form").alias("o_form"), F.col("company").alias("o_company"), "company_raw").distinct()
-    agree = ((F.size("strength") == 0) | (F.size("o_strength") == 0) | (F.col("strength") == F.col("o_strength"))) & (F.col("form").isNull() | F.col("o_form").isNull() | (F.col("form") == F.col("o_form")))
-    known = ((F.size("strength") > 0) & (F.size("o_strength") > 0)) | (F.col("form").isNotNull() & F.col("o_form").isNotNull())
-    usable = (F.size("o_strength") > 0) | F.col("o_form").isNotNull()
-    context = (
-        cells.where("state = 'gap'")
-        .select(*keys, "inn", "strength", "form", F.col("country").alias("c_country"))
-        .join(others, (F.col("c_country") == F.col("country")) & (F.col("inn") == F.col("o_inn")))
-        .where(agree & known & usable & ~F.coalesce(F.col("o_company") == F.col(group), F.lit(False)))
-        .groupBy(*keys, "c_country")
-        .agg(F.countDistinct("company_raw").alias("competitors"), F.slice(F.array_sort(F.collect_set("company_raw")), 1, 4).alias("examples"))
-        .withColumnRenamed("c_country", "country")
-    )
-    n = F.when(F.col("state") == "gap", F.coalesce("competitors", F.lit(0)))
+    others = active_medicines(records).where(text.filled("company_raw").isNotNull() & F.col("country").isin([c for c, _ in covered]) & resolve.usable())
+    others = others.select("country", F.col("inn").alias("o_inn"), F.col("strength").alias("o_strength"), F.col("form").alias("o_form"), F.col("company").alias("o_company"), "company_raw")
+    cells = _competed(by, others, covered, keys)
+    state = F.when(text.year_of("held_since") > F.col("end_year"), "out_of_window").otherwise("gap")
+    cells = cells.withColumn("state", state)
+    gap = F.col("state") == "gap"
+    n = F.when(gap, F.col("n"))
     tier = F.when(n.isNull(), 2).when(n == 0, 1).when(n <= 3, 0).otherwise(3)
-    nulls = [F.col(f"cells.{k}").eqNullSafe(F.col(f"context.{k}")) for k in (*keys, "country")]
-    joined = cells.alias("cells").join(context.alias("context"), nulls, "left")
-    return joined.select(*[F.col(f"cells.{k}") for k in (*keys, "inn", "strength", "form", "country", "present_in", "state")], F.substring("held_since", 1, 10).alias("held_since"), n.cast("long").alias("competitors"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), tier.alias("tier"))
+    return cells.select(*keys, "inn", "strength", "form", "country", "present_in", "state", F.substring("held_since", 1, 10).alias("held_since"), n.alias("competitors"), F.when(gap, F.col("examples")).otherwise(F.array().cast("array<string>")).alias("examples"), tier.alias("tier"))
+
+
+def _competed(by: DataFrame, others: DataFrame, covered: list[tuple[str, int | None]], keys: list[str]) -> DataFrame:
+    """The products by covered country they were not found in: (country, end_year, n, examples), n the names of other companies that hold something agreeing there.
+
+    Products and names of equal ingredients meet in one pass over rows sorted by ingredients and profile: names are gathered once a
+    profile (strength and form), whichever companies ask for it, so no pair of a product and a name is ever a row.
+    """
+    group = keys[0]
+    kinds = dict(by.dtypes)
+    offers = others.select(F.col("o_inn").alias("inn"), F.col("o_strength").alias("strength"), F.col("o_form").alias("form"), F.lit(0).alias("asks"), "country", F.col("o_company").alias("company_"), "company_raw", *[F.lit(None).cast(kinds[c]).alias(c) for c in (*keys, "present_in", "held_since")])
+    wanted = by.select("inn", "strength", "form", F.lit(1).alias("asks"), *[F.lit(None).cast("string").alias(c) for c in ("country", "company_", "company_raw")], *keys, "present_in", "held_since")
+    rows = offers.unionByName(wanted).repartition("inn").sortWithinPartitions("inn", "asks", "strength", "form")
+    out = [*keys, "inn", "strength", "form", "present_in", "held_since"]
+    countries, years = [c for c, _ in covered], [y for _, y in covered]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inn, offered, profile, there = None, {}, None, {}
+        for batch in batches:
+            lists = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("inn", "strength", "form", "asks", "country", "company_", "company_raw", group, "present_in")]
+            row, where, number, ends, texts = [], [], [], [0], []
+            for i, (its, strength, form, asks, country, company, raw, own, present) in enumerate(zip(*lists)):
+                strength = tuple(strength or ())
+                if its != inn:
+                    inn, offered, profile = its, {}, None
+                if not asks:
+                    offered.setdefault((strength, form), set()).add((country, raw, company))
+                    continue
+                if profile != (strength, form):
+                    profile, there = (strength, form), _there(offered, strength, form)
+                for j, target in enumerate(countries):
+                    if target is None or target in present:
+                        continue
+                    names, by_company = there.get(target, ((), {}))
+                    row.append(i)
+                    where.append(j)
+                    number.append(len(names) - (by_company.get(own, 0) if own is not None else 0))
+                    texts.extend(islice((x for x, c in names if c is None or c != own), 4))
+                    ends.append(len(texts))
+            if row:
+                kept = batch.select(out).take(pa.array(row, pa.int64()))
+                at = pa.array(where, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(countries, pa.string()).take(at), pa.array(years, pa.int32()).take(at), pa.array(number, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(texts, pa.string()))],
+                    [*out, "country", "end_year", "n", "examples"],
+                )
+
+    return rows.mapInArrow(meet, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", country string, end_year int, n long, examples array<string>")
+
+
+def _there(offered: dict, strength: tuple[str, ...], form: str | None) -> dict:
+    """By country the sorted names, each with its company, that hold something agreeing with a profile, and how many each company has.
+
+    Equal strengths or equal forms must be known on both sides, and neither may differ. A name of several companies has None.
+    """
+    if strength and form is not None:
+        found = [offered.get(k, ()) for k in ((strength, form), (strength, None), ((), form))]
+    elif strength or form is not None:
+        found = [v for (s, f), v in offered.items() if (s == strength if strength else f == form)]
+    else:
+        found = []
+    names: dict[str, dict[str, str | None]] = {}
+    for country, raw, company in chain.from_iterable(found):
+        own = names.setdefault(country, {})
+        own[raw] = company if own.get(raw, company) == company else None
+    return {country: (sorted(own.items(), key=itemgetter(0)), Counter(own.values())) for country, own in names.items()}
 
 
 def matrix(presences: DataFrame, countries: list[str], group: str = "company") -> DataFrame:

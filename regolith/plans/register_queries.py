@@ -279,7 +279,9 @@ def product_presences(spark, sf_dir):
 
 def _exact_presences(r: DataFrame) -> DataFrame:
     held = r.where(text.is_active("status") & text.is_medicine("category") & F.col("company").isNotNull() & resolve.usable())
-    return held.withColumn("presence", F.xxhash64("inn", "strength", "form")).groupBy("company", "presence", "inn", "strength", "form", "country").agg(F.min("ord").alias("ord"))
+    placed = held.withColumn("presence", F.xxhash64("inn", "strength", "form")).select("company", "presence", "inn", "strength", "form", "country", "ord", "approval_date")
+    # one exchange for this grouping and that of gaps()
+    return placed.repartition("company", "presence").groupBy("company", "presence", "inn", "strength", "form", "country").agg(F.min("ord").alias("ord"), F.min_by("approval_date", "ord").alias("approval_date"))
 
 
 def _gaps(spark, sf_dir, presences=_exact_presences):

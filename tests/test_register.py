@@ -359,3 +359,33 @@ def test_portfolio(spark):
     assert [(r.country, r.state, r.competitors) for r in cells] == [("KE", "gap", 1)]
     every = markets.portfolio(df, "Acme Pharma Limited", coverage, active_only=False)["presences"]
     assert every.select("inn").distinct().count() == 2
+
+
+def test_gaps_gather_names_once_a_profile(spark):
+    import random
+
+    rng = random.Random(7)
+    profiles = [((), "tablet"), (("5mg",), None), (("5mg",), "tablet"), (("5mg",), "capsule"), (("9mg",), "tablet"), (("9mg",), None)]
+    rows = []
+    for i in range(260):
+        strength, form = rng.choice(profiles)
+        rows.append(rec(i, company=f"{rng.choice(['acme', 'beta', 'core', 'dune'])} {rng.choice('abcdef')}", country=rng.choice(["NG", "TZ", "BR"]), inn=(rng.choice(["rareone", "usual", "usual"]),), strength=strength, form=form))
+    rows += [rec(900, company="", inn=("usual",)), rec(901, inn=("alone",), approval="2025-01-01"), rec(902, country="XX")]
+    df = records(spark, *rows)
+    held = df.where("company IS NOT NULL").withColumn("presence", F.xxhash64("inn", "strength", "form")).groupBy("company", "presence", "inn", "strength", "form", "country").agg(F.min("ord").alias("ord"), F.min_by("approval_date", "ord").alias("approval_date"))
+    cells = markets.gaps(held, df, spark.createDataFrame([("NG", 2026), ("TZ", 2023), ("BR", None)], "country string, coverage_end_year int"))
+    data = df.collect()
+    agree = lambda a, b: a.inn == b.inn and not (a.strength and b.strength and a.strength != b.strength) and not (a.form and b.form and a.form != b.form) and bool((a.strength and b.strength) or (a.form and b.form))
+    products = {(r.company, tuple(r.inn), tuple(r.strength), r.form): r for r in data if r.company}
+    expected = {}
+    for key, r in products.items():
+        present = {x.country for x in data if x.company == r.company and (x.inn, x.strength, x.form) == (r.inn, r.strength, r.form)}
+        for country in {"NG", "TZ", "BR"} - present:
+            names = sorted({x.company_raw for x in data if x.country == country and x.company_raw and x.company != r.company and agree(r, x)})
+            late = country == "TZ" and r.approval_date > "2024"
+            expected[*key, country] = (None, []) if late else (len(names), names[:4])
+    found = cells.collect()
+    assert len(found) == len(expected) and {(c.company, tuple(c.inn), tuple(c.strength), c.form, c.country): (c.competitors, c.examples) for c in found} == expected
+    assert any(n and n > 4 for n, _ in expected.values())
+    # no row for a pair of a product and a name
+    assert "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()
