@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from heapq import merge
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import inf
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,43 +127,126 @@ def _alike(x: str, y: str) -> bool:
     return bool(x) and bool(y) and 200.0 * min(len(x), len(y)) >= 85.0 * total and 200.0 * similarity.lcs(x, y) / total >= 85
 
 
+class _Letters:
+    """A text's letters in 32 classes, the first four of each as bits, those beyond counted: what two texts share of them bounds their common subsequence."""
+
+    __slots__ = ("bits", "over", "size", "text")
+
+    def __init__(self, text: str) -> None:
+        self.text, self.size, self.over = text, len(text), 0
+        low = high = 0
+        for letter, n in Counter(ord(x) & 31 for x in text).items():
+            first = min(n, 4)
+            low |= ((1 << min(first, 2)) - 1) << 2 * letter
+            high |= ((1 << max(first - 2, 0)) - 1) << 2 * letter
+            self.over += n - first
+        self.bits = (np.uint64(low), np.uint64(high))
+
+
+class _Heads:
+    """Products of one kind in the order they were found; finds the first alike in the letters without comparing each."""
+
+    __slots__ = ("at", "texts", "exact", "low", "high", "over", "size")
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self.texts: list[str] = []
+        self.exact: dict[str, int] = {}
+        self.low, self.high = np.empty(8, np.uint64), np.empty(8, np.uint64)
+        self.over, self.size = np.empty(8, np.int64), np.empty(8, np.int64)
+
+    def add(self, at: int, x: _Letters) -> None:
+        n = len(self.at)
+        if n == len(self.low):
+            for name in ("low", "high", "over", "size"):
+                held = getattr(self, name)
+                setattr(self, name, np.concatenate([held, np.empty_like(held)]))
+        self.low[n], self.high[n] = x.bits
+        self.over[n], self.size[n] = x.over, x.size
+        self.exact.setdefault(x.text, n)
+        self.at.append(at)
+        self.texts.append(x.text)
+
+    def first(self, x: _Letters, before: float, alike: Callable[[str, str], bool]) -> float:
+        """The first product alike, if there is one before a given one; else that."""
+        n = min(self.exact.get(x.text, len(self.at)), bisect_left(self.at, before))
+        if n:
+            shared = np.bitwise_count(self.low[:n] & x.bits[0]).astype(np.int64) + np.bitwise_count(self.high[:n] & x.bits[1]) + np.minimum(self.over[:n], x.over)
+            for i in np.flatnonzero(200 * shared >= 85 * (self.size[:n] + x.size)).tolist():
+                if alike(self.texts[i], x.text):
+                    return self.at[i]
+        i = self.exact.get(x.text)
+        return before if i is None or not x.text else min(before, self.at[i])
+
+
+class _Products:
+    """The products of one company, found in record order."""
+
+    def __init__(self) -> None:
+        self.heads: list[tuple] = []
+        self.placed: dict[tuple, int] = {}
+        self.letters: dict[str, _Letters] = {}
+        # by strength and form where both are to be compared or one is unknown; by strength, and by form, whatever the other is
+        self.both: dict[tuple, _Heads] = defaultdict(_Heads)
+        self.strong: dict[tuple[str, ...], _Heads] = defaultdict(_Heads)
+        self.shaped: dict[str, _Heads] = defaultdict(_Heads)
+        self.alike = lru_cache(1 << 18)(_alike)
+
+    def place(self, inn: list[str], strength: list[str], form: str | None) -> int:
+        """The first product an identity agrees with, else a new one: strengths and forms known on both sides are equal, one of them is, ingredients are alike."""
+        identity = (tuple(inn), tuple(strength), form)
+        if (known := self.placed.get(identity)) is not None:
+            return known
+        words = " ".join(sorted(" ".join(inn).split()))
+        if (x := self.letters.get(words)) is None:
+            x = self.letters[words] = _Letters(words)
+        s, f = tuple(strength), form or None
+        if s and f:
+            asked = [self.both.get(k) for k in ((s, f), (s, None), ((), f))]
+        else:
+            asked = [self.strong.get(s) if s else self.shaped.get(f) if f else None]
+        found: float = inf
+        for heads in asked:
+            if heads is not None:
+                found = heads.first(x, found, self.alike)
+        if found == inf:
+            found = len(self.heads)
+            self.heads.append((inn, strength, form))
+            self.both[s, f].add(found, x)
+            if s:
+                self.strong[s].add(found, x)
+            if f:
+                self.shaped[f].add(found, x)
+        self.placed[identity] = int(found)
+        return int(found)
+
+
 def presences(records: DataFrame, group: str = "company") -> DataFrame:
     """(group, presence, inn, strength, form, country, ord): products of each group and the first record per country.
 
     ``records`` has ord, country, inn, strength, form. The first presence, in record order, that matches takes a record; a
-    presence keeps the identity of its first record. Only distinct identities meet in a task, since equal
-    identities always meet the same presence; records too thin to identify are left out.
+    presence keeps the identity of its first record. Only distinct identities are compared, since equal
+    identities always meet the same presence; records too thin to identify are left out. A task reads its groups one after
+    the other in record order and keeps one group's presences and identities.
     """
-    thin = records.where(usable())
-    identities = thin.groupBy(group, "inn", "strength", "form").agg(F.min("ord").alias("ord"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        heads: list[tuple[str, list[str], str | None]] = []
-        by_strength: dict[tuple[str, ...], list[int]] = {}  # strengths known on both sides must be equal
-        likes: dict[tuple[str, str], bool] = {}
-        out = []
-        for inn, strength, form in zip(pdf["inn"], pdf["strength"], pdf["form"]):
-            words, strength, form = " ".join(sorted(" ".join(inn).split())), list(strength), form if isinstance(form, str) else None
-            same = by_strength.get(tuple(strength), [])
-            for i in range(len(heads)) if not strength else merge(same, by_strength.get((), [])):
-                head, hs, hf = heads[i]
-                if (hs and strength and hs != strength) or (hf and form and hf != form) or not ((hs and strength) or (hf and form)):
-                    continue
-                if (like := likes.get((head, words))) is None:
-                    like = likes[head, words] = _alike(head, words)
-                if like:
-                    out.append(i)
-                    break
-            else:
-                by_strength.setdefault(tuple(strength), []).append(len(heads))
-                heads.append((words, strength, form))
-                out.append(len(heads) - 1)
-        return frame(**{group: pdf[group], "inn": pdf["inn"], "strength": pdf["strength"], "form": [f if isinstance(f, str) else None for f in pdf["form"]], "presence": out})
-
-    kinds = dict(records.dtypes)
-    placed = cut(identities.groupBy(group).applyInPandas(greedy, f"{group} {kinds[group]}, inn array<string>, strength array<string>, form string, presence int"))
-    joined = thin.alias("t").join(placed.alias("p"), [F.col(f"t.{group}").eqNullSafe(F.col(f"p.{group}")), F.col("t.inn") == F.col("p.inn"), F.col("t.strength") == F.col("p.strength"), F.col("t.form").eqNullSafe(F.col("p.form"))])
-    heads = joined.groupBy(f"p.{group}", "p.presence").agg(F.min_by(F.struct("t.inn", "t.strength", "t.form"), "t.ord").alias("head"))
-    first = joined.groupBy(f"p.{group}", "p.presence", "t.country").agg(F.min("t.ord").alias("ord"))
-    return first.join(heads, [group, "presence"]).select(group, "presence", "head.inn", "head.strength", "head.form", "country", "ord")
+    fields = ["inn", "strength", "form"]
+    rows = records.where(usable()).groupBy(group, *fields, "country").agg(F.min("ord").alias("ord"))
+    kinds = dict(rows.dtypes)
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: object = _Products  # of no group yet
+        products = _Products()
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (group, *fields, "country", "ord")}
+            at, heads = [], []
+            for owner, *identity in zip(*[columns[c].to_pylist() for c in (group, *fields)]):
+                if owner != own:
+                    own, products = owner, _Products()
+                at.append(products.place(*identity))
+                heads.append(products.heads[at[-1]])
+            shown = [pa.array(x, columns[c].type) for c, x in zip(fields, zip(*heads))] if heads else [columns[c] for c in fields]
+            yield pa.RecordBatch.from_arrays([columns[group], pa.array(at, pa.int32()), *shown, columns["country"], columns["ord"]], [group, "presence", *fields, "country", "ord"])
+
+    schema = ", ".join(f"`{c}` {'int' if c == 'presence' else kinds[c]}" for c in (group, "presence", *fields, "country", "ord"))
+    placed = rows.repartition(group).sortWithinPartitions(group, "ord").mapInArrow(greedy, schema)
+    return placed.groupBy(group, "presence", *fields, "country").agg(F.min("ord").alias("ord")).select(group, "presence", *fields, "country", "ord")

@@ -389,3 +389,30 @@ def test_gaps_gather_names_once_a_profile(spark):
     assert any(n and n > 4 for n, _ in expected.values())
     # no row for a pair of a product and a name
     assert "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_products_of_a_large_company_are_found_by_their_letters():
+    import random
+
+    rng = random.Random(3)
+    names = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(3, 7))) for _ in range(150)]
+
+    def typed(x):
+        i = rng.randrange(len(x))
+        return rng.choice([x, x, x, x[:i] + x[i + 1 :], x[:i] + rng.choice("xyzé") + x[i:], x[:i] + "q" + x[i + 1 :], "", "aaaaaaaa" + x])
+
+    identities = [(sorted(typed(x) for x in rng.sample(names, rng.choice([1, 1, 2]))), rng.choice([[], ["5mg"], ["5mg", "9mg"], ["9mg"]]), rng.choice([None, "tablet", "capsule", ""])) for _ in range(2500)]
+    identities = list({(tuple(a), tuple(b), c): (a, b, c) for a, b, c in identities}.values())
+    heads, expected = [], []
+    for one in identities:
+        i = next((i for i, h in enumerate(heads) if "".join(one[0]).strip() and "".join(h[0]).strip() and _same_product(h, one)), len(heads))
+        if i == len(heads):
+            heads.append(one)
+        expected.append(i)
+    products, pairs = resolve._Products(), []
+    alike = products.alike
+    products.alike = lambda x, y: pairs.append((x, y)) or alike(x, y)
+    assert [products.place(*one) for one in identities] == expected
+    assert products.heads == heads and len(heads) > 1000
+    # nearly all products are told apart by their letters, not by comparing their texts
+    assert len(pairs) < 20 * len(identities)
