@@ -43,14 +43,44 @@ def propose(notes: DataFrame, ingredients: DataFrame | None = None, key: str = "
         rows = notes.select(key, "text", whole)
         facts = facts.unionByName(rows.select(key, F.lit(kind).alias("kind"), F.trim("m.value").alias("value"), F.col("m.quote").alias("quote"), (F.instr("text", F.col("m.quote")) - 1).alias("start"), F.lit(vocab.CONFIDENCE[kind]).alias("confidence")))
     if ingredients is not None:
-        names = ingredients.where(F.length("ingredient") >= 5).select("ingredient", F.regexp_extract("ingredient", r"[a-z0-9]+", 0).alias("head")).distinct()
-        heads = notes.select(key, "text", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("head"))
-        at = F.instr(F.lower("text"), F.col("ingredient"))
-        found = heads.join(names, "head").where((at > 0) & F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[^a-z0-9./%-]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("ingredient"))))
-        facts = facts.unionByName(found.select(key, F.lit("product").alias("kind"), F.col("ingredient").alias("value"), F.substring(F.col("text"), at, F.length("ingredient")).alias("quote"), (at - 1).alias("start"), F.lit(vocab.CONFIDENCE["product"]).alias("confidence")))
+        named = _named(notes, ingredients, key)
+        facts = facts.unionByName(named.select(key, F.lit("product").alias("kind"), F.col("ingredient").alias("value"), "quote", "start", F.lit(vocab.CONFIDENCE["product"]).alias("confidence")))
     return facts
 
 
+def _named(notes: DataFrame, ingredients: DataFrame, key: str) -> DataFrame:
+    """(key, ingredient, quote, start): the ingredients of five letters or more a note names, the last word's beginning being enough.
+
+    A name's head is its first run of letters and digits, a whole run in the note. Of each head only the distinct lengths of
+    its names are brought to the note; what stands there in each of these lengths is looked up, so no name is searched for in a text.
+    """
+    names = ingredients.where(F.length("ingredient") >= 5).select("ingredient", F.regexp_extract("ingredient", r"[a-z0-9]+", 0).alias("head")).where("head <> ''").distinct()
+    at = F.instr("ingredient", F.col("head"))
+    shape = F.struct(F.expr("substring(ingredient, 1, instr(ingredient, head) - 1)").alias("lead"), (F.length("ingredient") - at + 1).alias("size"))
+    shapes = names.groupBy("head").agg(F.collect_set(shape).alias("shapes"))
+    runs = notes.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("head"))
+    heads = runs.join(shapes, "head").groupBy(key).agg(F.collect_list(F.struct("head", "shapes")).alias("heads"))
+    low = F.lower("text")
+    flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9./%-]", " "), F.lit(" "))
+    beside = F.col(f"t.{key}").eqNullSafe(F.col(f"h.{key}"))
+    texts = notes.select(key, "text", low.alias("low"), flat.alias("flat")).alias("t")
+
+    def spelled(h: Column) -> Column:
+        # what follows the head from each of its places, as far as its longest name goes
+        longest = F.array_max(F.transform(h["shapes"], lambda x: x["size"]))
+        pattern = F.concat(F.lit("(?<![a-z0-9])(?=("), h["head"], F.lit("(?![a-z0-9]).{0,"), (longest - F.length(h["head"])).cast("string"), F.lit("}))"))
+        windows = F.array_distinct(F.regexp_extract_all("flat", pattern, F.lit(1)))
+        return F.flatten(F.transform(windows, lambda w: F.transform(F.filter(h["shapes"], lambda x: x["size"] <= F.length(w)), lambda x: F.concat(x["lead"], F.substring(w, F.lit(1), x["size"])))))
+
+    there = texts.join(heads.alias("h"), beside).select(f"t.{key}", F.explode(F.array_distinct(F.flatten(F.transform("heads", spelled)))).alias("ingredient"))
+    met = there.join(names.select("ingredient"), "ingredient").groupBy(key).agg(F.collect_set("ingredient").alias("met"))
+    place = lambda x: F.instr(F.col("low"), x)
+    whole = lambda x: F.col("flat").contains(F.concat(F.lit(" "), x))
+    said = F.transform(F.filter("met", whole), lambda x: F.struct(x.alias("ingredient"), place(x).alias("at")))
+    found = texts.join(met.alias("h"), beside).select(f"t.{key}", "text", F.inline(F.filter(said, lambda x: x["at"] > 0)))
+    return found.select(key, "ingredient", F.substring(F.col("text"), F.col("at"), F.length("ingredient")).alias("quote"), (F.col("at") - 1).alias("start"))
+
+
 def verified(proposals: DataFrame, notes: DataFrame, key: str = "note_id") -> tuple[DataFrame, DataFrame]:
     """(facts, rejected) of (key, kind, value, quote, confidence): a fact's quote must stand in its note.
 

@@ -416,3 +416,24 @@ def test_products_of_a_large_company_are_found_by_their_letters():
     assert products.heads == heads and len(heads) > 1000
     # nearly all products are told apart by their letters, not by comparing their texts
     assert len(pairs) < 20 * len(identities)
+
+
+def test_names_in_notes_are_looked_up_by_length(spark):
+    import re
+
+    names = ["zinc sulphate", "zinc sulphate mono", "zinc", "calci", "calcium carbonate", "calcium carbonate 500", "carbonate", "-calcium carb", "sul phate", "vitamin b.12/x", "a  b cde", "café au lait"]
+    names += [f"zinc salt {i:03}" for i in range(300)]
+    texts = ["Zinc  sulphate, zinc\nsulphate monohydrate.", "CALCIUM CARBONATE 5000 mg; x-calci", "say -calcium carbonate", "é calcium carbonaté, zinc salt 042 and zinc salt 1", "Vitamin B.12/x twice, vitamin b.12/xy", "calcium", "café au lait, a  b cdef", None]
+    notes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, "again zinc sulphate")], "note_id long, text string")
+    expected = []
+    for note, t in [(r.note_id, r.text) for r in notes.collect() if r.text]:
+        low = t.lower()
+        flat = " " + re.sub(r"[^a-z0-9./%-]", " ", low) + " "
+        for n in names:
+            if len(n) >= 5 and re.search("[a-z0-9]+", n)[0] in re.findall("[a-z0-9]+", low) and n in low and " " + n in flat:
+                expected.append((note, n, t[low.index(n) :][: len(n)], low.index(n)))
+    facts = scoping.propose(notes, spark.createDataFrame([(n,) for n in names], "ingredient string")).where("kind = 'product'")
+    assert sorted((r.note_id, r.value, r.quote, r.start) for r in facts.collect()) == sorted(expected) and len(expected) > 8
+    # names come to the notes by what is written there, not by their heads alone
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "shapes" in plan
