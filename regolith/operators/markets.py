@@ -54,7 +54,7 @@ def scoping_index(records: DataFrame) -> DataFrame:
 
 def vocabulary(records: DataFrame) -> DataFrame:
     """Distinct ingredients of five letters or more."""
-    return records.select(F.explode(F.filter("inn", lambda x: F.length(x) >= 5)).alias("ingredient")).distinct()
+    return records.select(F.explode_outer(F.filter("inn", lambda x: F.length(x) >= 5)).alias("ingredient")).where("ingredient IS NOT NULL").distinct()
 
 
 def presence_counts(records: DataFrame, groups: DataFrame) -> DataFrame:

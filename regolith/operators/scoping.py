@@ -32,15 +32,18 @@ def propose(notes: DataFrame, ingredients: DataFrame | None = None, key: str = "
     ``start`` counts from 0. ``ingredients`` is a table (ingredient) of any size: single words of the note are joined to it,
     names of several words by their first.
     """
-    low = F.lower("text")
+    low = F.col("low")
     hits = []
     for kind, value, words, confidence in terms():
-        found = F.coalesce(*[F.when(low.rlike(rf"\b{_escape(w)}\b"), F.struct(F.expr(f"regexp_instr(lower(text), '\\\\b{_escape(w)}\\\\b')").alias("at"), F.lit(len(w)).alias("size"))) for w in words])
-        hits.append(F.when(found.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.substring(F.col("text"), found["at"], found["size"]).alias("quote"), (found["at"] - 1).alias("start"), F.lit(confidence).alias("confidence"))))
-    facts = notes.select(key, F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+        # a word is looked for as letters first, which is far cheaper than its pattern
+        at = lambda w: F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.expr(f"regexp_instr(low, '\\\\b{_escape(w)}\\\\b')").alias("at"), F.lit(len(w)).alias("size"), F.lit(confidence).alias("confidence"))
+        hits.append(F.coalesce(*[F.when(low.contains(w) & low.rlike(rf"\b{_escape(w)}\b"), at(w)) for w in words]))
+    # generators of the outer kind throughout: of the others Spark infers filters that evaluate what they generate from once more
+    said = notes.select(key, "text", F.lower("text").alias("low")).select(key, "text", F.inline_outer(F.filter(F.array(*hits), lambda h: h.isNotNull()))).where("kind IS NOT NULL")
+    facts = said.select(key, "kind", "value", F.substring(F.col("text"), F.col("at"), F.col("size")).alias("quote"), (F.col("at") - 1).alias("start"), "confidence")
     for kind, pattern in (("volume", vocab.VOLUME), ("timing", vocab.TIMING)):
-        whole = F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(0)).alias("quote"), F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1)).alias("value"))).alias("n", "m")
-        rows = notes.select(key, "text", whole)
+        whole = F.explode_outer(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(0)).alias("quote"), F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1)).alias("value"))).alias("m")
+        rows = notes.select(key, "text", whole).where("m IS NOT NULL")
         facts = facts.unionByName(rows.select(key, F.lit(kind).alias("kind"), F.trim("m.value").alias("value"), F.col("m.quote").alias("quote"), (F.instr("text", F.col("m.quote")) - 1).alias("start"), F.lit(vocab.CONFIDENCE[kind]).alias("confidence")))
     if ingredients is not None:
         named = _named(notes, ingredients, key)
@@ -58,26 +61,29 @@ def _named(notes: DataFrame, ingredients: DataFrame, key: str) -> DataFrame:
     at = F.instr("ingredient", F.col("head"))
     shape = F.struct(F.expr("substring(ingredient, 1, instr(ingredient, head) - 1)").alias("lead"), (F.length("ingredient") - at + 1).alias("size"))
     shapes = names.groupBy("head").agg(F.collect_set(shape).alias("shapes"))
-    runs = notes.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("head"))
-    heads = runs.join(shapes, "head").groupBy(key).agg(F.collect_list(F.struct("head", "shapes")).alias("heads"))
+    runs = notes.select(key, F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("head"))
+    heads = runs.join(shapes, "head").groupBy(key).agg(F.collect_set(F.struct("head", "shapes")).alias("heads"))
     low = F.lower("text")
     flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9./%-]", " "), F.lit(" "))
     beside = F.col(f"t.{key}").eqNullSafe(F.col(f"h.{key}"))
     texts = notes.select(key, "text", low.alias("low"), flat.alias("flat")).alias("t")
 
-    def spelled(h: Column) -> Column:
-        # what follows the head from each of its places, as far as its longest name goes
-        longest = F.array_max(F.transform(h["shapes"], lambda x: x["size"]))
-        pattern = F.concat(F.lit("(?<![a-z0-9])(?=("), h["head"], F.lit("(?![a-z0-9]).{0,"), (longest - F.length(h["head"])).cast("string"), F.lit("}))"))
-        windows = F.array_distinct(F.regexp_extract_all("flat", pattern, F.lit(1)))
-        return F.flatten(F.transform(windows, lambda w: F.transform(F.filter(h["shapes"], lambda x: x["size"] <= F.length(w)), lambda x: F.concat(x["lead"], F.substring(w, F.lit(1), x["size"])))))
+    # what stands at each run of a note, the run and as far on as the longest name of the note's heads goes
+    longest = F.array_max(F.flatten(F.transform("heads", lambda h: F.transform(h["shapes"], lambda x: x["size"]))))
+    pattern = F.concat(F.lit("(?<![a-z0-9])(?=([a-z0-9]+.{0,"), longest.cast("string"), F.lit("}))"))
+    windows = F.array_distinct(F.regexp_extract_all("flat", pattern, F.lit(1)))
+
+    def spelled(w: Column) -> Column:
+        shapes = F.try_element_at(F.col("shapes"), F.regexp_extract(w, "^[a-z0-9]+", 0))
+        return F.transform(F.filter(F.coalesce(shapes, F.array()), lambda x: x["size"] <= F.length(w)), lambda x: F.concat(x["lead"], F.substring(w, F.lit(1), x["size"])))
 
-    there = texts.join(heads.alias("h"), beside).select(f"t.{key}", F.explode(F.array_distinct(F.flatten(F.transform("heads", spelled)))).alias("ingredient"))
+    placed = texts.join(heads.alias("h"), beside).select(f"t.{key}", windows.alias("windows"), F.map_from_entries("heads").alias("shapes"))
+    there = placed.select(key, F.explode_outer(F.array_distinct(F.flatten(F.transform("windows", spelled)))).alias("ingredient"))
     met = there.join(names.select("ingredient"), "ingredient").groupBy(key).agg(F.collect_set("ingredient").alias("met"))
     place = lambda x: F.instr(F.col("low"), x)
     whole = lambda x: F.col("flat").contains(F.concat(F.lit(" "), x))
     said = F.transform(F.filter("met", whole), lambda x: F.struct(x.alias("ingredient"), place(x).alias("at")))
-    found = texts.join(met.alias("h"), beside).select(f"t.{key}", "text", F.inline(F.filter(said, lambda x: x["at"] > 0)))
+    found = texts.join(met.alias("h"), beside).select(f"t.{key}", "text", F.inline_outer(F.filter(said, lambda x: x["at"] > 0))).where("ingredient IS NOT NULL")
     return found.select(key, "ingredient", F.substring(F.col("text"), F.col("at"), F.length("ingredient")).alias("quote"), (F.col("at") - 1).alias("start"))
 
 

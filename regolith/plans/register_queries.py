@@ -446,9 +446,16 @@ def _notes(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("source = 'call_note' AND text IS NOT NULL").select(F.col("doc_id").alias("note_id"), "text")
 
 
+def _vocabulary(spark, sf_dir):
+    """The ingredients of the register, each spelling normalised once."""
+    spelled = table(spark, sf_dir, "product_record").select("inn").distinct()
+    return markets.vocabulary(spelled.select(text.normalize_inn("inn").alias("inn")))
+
+
 def _facts(spark, sf_dir):
-    notes = _notes(spark, sf_dir)
-    return scoping.verified(scoping.propose(notes, markets.vocabulary(register(spark, sf_dir))), notes)
+    """(facts, rejected, notes, ingredients); notes and ingredients are read in several places, so they are cut."""
+    notes, ingredients = cut(_notes(spark, sf_dir)), cut(_vocabulary(spark, sf_dir))
+    return *scoping.verified(scoping.propose(notes, ingredients), notes), notes, ingredients
 
 
 _TERM_SQL = " UNION ALL ".join(
@@ -470,8 +477,10 @@ def verified_facts(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir):
-    r = register(spark, sf_dir)
-    return cut(scoping.resolve_facts(_facts(spark, sf_dir)[0], r.select("country").where(F.col("country").isNotNull()).distinct(), markets.vocabulary(r)))
+    """(resolved facts, notes)."""
+    facts, _, notes, ingredients = _facts(spark, sf_dir)
+    countries = table(spark, sf_dir, "product_record").select("country").where(F.col("country").isNotNull()).distinct()
+    return cut(scoping.resolve_facts(facts, countries, ingredients)), notes
 
 
 @_query()
@@ -479,12 +488,12 @@ def scope_lines(spark, sf_dir):
     """V5-V7, V9: products by market and service asked for, and who holds them."""
     r = markets.active_medicines(register(spark, sf_dir)).where(F.col("company_raw").isNotNull())
     holders = r.select("country", F.explode("inn").alias("ingredient"), "company_raw", "ord")
-    return scoping.scope_lines(_resolved(spark, sf_dir), holders, "Talabulub Pharmaceuticals Limited")
+    return scoping.scope_lines(_resolved(spark, sf_dir)[0], holders, "Talabulub Pharmaceuticals Limited")
 
 
 @_query()
 def scope_gaps(spark, sf_dir):
     """What each note leaves open."""
-    resolved = _resolved(spark, sf_dir)
+    resolved, notes = _resolved(spark, sf_dir)
     lines = scoping._distinct(resolved, "service", "note_id").select("note_id", "service")
-    return scoping.open_questions(resolved, lines, _notes(spark, sf_dir))
+    return scoping.open_questions(resolved, lines, notes)

@@ -437,3 +437,27 @@ def test_names_in_notes_are_looked_up_by_length(spark):
     # names come to the notes by what is written there, not by their heads alone
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert "shapes" in plan
+
+
+def _reads(monkeypatch, query, spark, folder):
+    """The tables a query reads, one entry a read."""
+    from regolith.plans import register_queries as rq
+
+    read = []
+    monkeypatch.setattr(rq, "table", lambda s, d, name, f=rq.table: read.append(name) or f(s, d, name))
+    return sorted(query(spark, folder).collect()), read
+
+
+def test_notes_and_ingredients_are_read_once(spark, monkeypatch):
+    from regolith.plans import report_queries
+
+    rows, read = _reads(monkeypatch, report_queries.QUERIES["notes_quotable"], spark, "/root/testdata/sf0.001")
+    assert rows and read.count("documents") == 1 and read.count("product_record") <= 2
+
+
+def test_names_in_notes_of_one_key(spark):
+    # notes of one key share their heads; a run longer than any name is no other name's head
+    notes = spark.createDataFrame([(1, "zinc sulphate"), (1, "zincsulphatehydrate zinc oxide"), (None, "zinc oxide")], "note_id long, text string")
+    names = spark.createDataFrame([("zinc sulphate",), ("zinc oxide",), ("zincs",)], "ingredient string")
+    found = scoping.propose(notes, names).where("kind = 'product'").collect()
+    assert sorted((str(r.note_id), r.value, r.start) for r in found) == [("1", "zinc oxide", 20), ("1", "zinc sulphate", 0), ("None", "zinc oxide", 0)]
