@@ -155,7 +155,8 @@ def _there(offered: dict, strength: tuple[str, ...], form: str | None) -> dict:
 def matrix(presences: DataFrame, countries: list[str], group: str = "company") -> DataFrame:
     """Product by country, true where held."""
     label = F.concat_ws(" ", F.array_join("inn", " + "), F.array_join("strength", " + "), F.col("form"))
-    return presences.groupBy(group, "presence", label.alias("label")).pivot("country", countries).agg(F.count("ord") > 0).na.fill(False)
+    held = lambda c: F.coalesce(F.bool_or(F.col("country") == c), F.lit(False)).alias(c)
+    return presences.where(F.col("ord").isNotNull()).groupBy(group, "presence", label.alias("label")).agg(*[held(c) for c in countries])
 
 
 def source_coverage(records: DataFrame, counted: dict[str, str]) -> DataFrame:

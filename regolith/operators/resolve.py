@@ -224,29 +224,37 @@ class _Products:
 def presences(records: DataFrame, group: str = "company") -> DataFrame:
     """(group, presence, inn, strength, form, country, ord): products of each group and the first record per country.
 
-    ``records`` has ord, country, inn, strength, form. The first presence, in record order, that matches takes a record; a
+    ``records`` has ord, country, inn, strength, form; approval_date where it has that too. The first presence, in record order, that matches takes a record; a
     presence keeps the identity of its first record. Only distinct identities are compared, since equal
     identities always meet the same presence; records too thin to identify are left out. A task reads its groups one after
-    the other in record order and keeps one group's presences and identities.
+    the other in record order and keeps one group's presences and identities; a product's first row in a country is its
+    first record there.
     """
     fields = ["inn", "strength", "form"]
-    rows = records.where(usable()).groupBy(group, *fields, "country").agg(F.min("ord").alias("ord"))
-    kinds = dict(rows.dtypes)
+    dated = [F.min_by("approval_date", "ord").alias("approval_date")] if "approval_date" in records.columns else []
+    rows = records.where(usable()).groupBy(group, *fields, "country").agg(F.min("ord").alias("ord"), *dated)
+    kinds, passed = dict(rows.dtypes), rows.columns[5:]
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: object = _Products  # of no group yet
         products = _Products()
+        seen: set[tuple[int, str | None]] = set()
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (group, *fields, "country", "ord")}
-            at, heads = [], []
-            for owner, *identity in zip(*[columns[c].to_pylist() for c in (group, *fields)]):
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (group, *fields, "country", *passed)}
+            first, at, heads = [], [], []
+            for i, (owner, country, *identity) in enumerate(zip(*[columns[c].to_pylist() for c in (group, "country", *fields)])):
                 if owner != own:
-                    own, products = owner, _Products()
-                at.append(products.place(*identity))
-                heads.append(products.heads[at[-1]])
-            shown = [pa.array(x, columns[c].type) for c, x in zip(fields, zip(*heads))] if heads else [columns[c] for c in fields]
-            yield pa.RecordBatch.from_arrays([columns[group], pa.array(at, pa.int32()), *shown, columns["country"], columns["ord"]], [group, "presence", *fields, "country", "ord"])
-
-    schema = ", ".join(f"`{c}` {'int' if c == 'presence' else kinds[c]}" for c in (group, "presence", *fields, "country", "ord"))
-    placed = rows.repartition(group).sortWithinPartitions(group, "ord").mapInArrow(greedy, schema)
-    return placed.groupBy(group, "presence", *fields, "country").agg(F.min("ord").alias("ord")).select(group, "presence", *fields, "country", "ord")
+                    own, products, seen = owner, _Products(), set()
+                presence = products.place(*identity)
+                if (presence, country) not in seen:
+                    seen.add((presence, country))
+                    first.append(i)
+                    at.append(presence)
+                    heads.append(products.heads[presence])
+            if first:
+                shown = [pa.array(x, columns[c].type) for c, x in zip(fields, zip(*heads))]
+                kept = pa.array(first, pa.int64())
+                yield pa.RecordBatch.from_arrays([columns[group].take(kept), pa.array(at, pa.int32()), *shown, *[columns[c].take(kept) for c in ("country", *passed)]], [group, "presence", *fields, "country", *passed])
+
+    schema = ", ".join(f"`{c}` {'int' if c == 'presence' else kinds[c]}" for c in (group, "presence", *fields, "country", *passed))
+    return rows.repartition(group).sortWithinPartitions(group, "ord").mapInArrow(greedy, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions import similarity, text, vocab
+from regolith.functions.frames import settled
 from regolith.operators import diffing, documents, events, markets, resolve, scoping
 from regolith.operators.snapdiff import record_key
 from regolith.session import cut, table
@@ -265,9 +266,13 @@ def product_verdicts(spark, sf_dir):
     return pairs.select("ord", resolve.product_verdict()["verdict"].alias("verdict"))
 
 
-def _presences(r: DataFrame) -> DataFrame:
-    held = r.where(text.is_active("status") & text.is_medicine("category") & F.col("company").isNotNull())
-    return resolve.presences(held.select("ord", "country", "inn", "strength", "form", "company"))
+def _presences(r: DataFrame, *also: str) -> DataFrame:
+    held = r.where(text.is_active("status") & text.is_medicine("category")).select("ord", "country", "inn", "strength", "form", "company", *also)
+    return resolve.presences(settled(held, "inn", "strength", "form", "company").where(F.col("company").isNotNull()))
+
+
+def _dated_presences(r: DataFrame) -> DataFrame:
+    return _presences(r, "approval_date")
 
 
 @_query()

@@ -461,3 +461,16 @@ def test_names_in_notes_of_one_key(spark):
     names = spark.createDataFrame([("zinc sulphate",), ("zinc oxide",), ("zincs",)], "ingredient string")
     found = scoping.propose(notes, names).where("kind = 'product'").collect()
     assert sorted((str(r.note_id), r.value, r.start) for r in found) == [("1", "zinc oxide", 20), ("1", "zinc sulphate", 0), ("None", "zinc oxide", 0)]
+
+
+def test_presences_compute_fields_once_and_shuffle_identities_twice(spark):
+    from regolith.plans import register_queries as rq
+
+    folder = "/root/testdata/sf0.001"
+    plan = rq.product_matrix(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    # by identity, by company, and the matrix; no filter evaluates what the rows are made of
+    assert plan.count("Aggregate") == 2 and not any("regexp_replace" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter"))
+    found = rq._dated_presences(rq.register(spark, folder)).collect()
+    dates = {r.ord: r.approval_date for r in rq.table(spark, folder, "product_record").select("ord", "approval_date").collect()}
+    assert found and all(r.approval_date == dates[r.ord] for r in found)
+    assert len({(r.company, r.presence, r.country) for r in found}) == len(found)
