@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regolith.functions import text
+from regolith.functions.frames import settled
 from regolith.operators import resolve
 from regolith.session import cut
 
@@ -75,7 +76,8 @@ def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: s
     held = presences if "approval_date" in presences.columns else presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left")
     by = held.groupBy(*keys).agg(F.first("inn").alias("inn"), F.first("strength").alias("strength"), F.first("form").alias("form"), F.array_sort(F.collect_set("country")).alias("present_in"), F.min_by("approval_date", F.col("country")).alias("held_since"))
     covered = [(r.country, r.coverage_end_year) for r in coverage.select("country", "coverage_end_year").distinct().collect()]
-    others = active_medicines(records).where(text.filled("company_raw").isNotNull() & F.col("country").isin([c for c, _ in covered]) & resolve.usable())
+    others = records.where(text.is_active("status") & text.is_medicine("category") & text.filled("company_raw").isNotNull() & F.col("country").isin([c for c, _ in covered]))
+    others = settled(others.select("country", "inn", "strength", "form", "company", "company_raw"), "inn", "strength", "form", "company").where(resolve.usable())
     others = others.select("country", F.col("inn").alias("o_inn"), F.col("strength").alias("o_strength"), F.col("form").alias("o_form"), F.col("company").alias("o_company"), "company_raw")
     cells = _competed(by, others, covered, keys)
     state = F.when(text.year_of("held_since") > F.col("end_year"), "out_of_window").otherwise("gap")

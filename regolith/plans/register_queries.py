@@ -332,14 +332,14 @@ def presence_matrix(spark, sf_dir):
 @_query()
 def product_gaps(spark, sf_dir):
     """Q7, Q8: whitespace_cells of whole products, records of other spellings and with missing fields included."""
-    found = _gaps(spark, sf_dir, _presences).where("state = 'gap'")
+    found = _gaps(spark, sf_dir, _dated_presences).where("state = 'gap'")
     return found.select("company", "presence", _bar("inn"), _bar("strength"), "form", "country", _bar("present_in"), "competitors", _bar("examples"), "tier")
 
 
 @_query()
 def product_out_of_window(spark, sf_dir):
     """out_of_window of whole products."""
-    return _gaps(spark, sf_dir, _presences).where("state = 'out_of_window'").groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
+    return _gaps(spark, sf_dir, _dated_presences).where("state = 'out_of_window'").groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
 
 
 @_query()

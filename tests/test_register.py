@@ -463,14 +463,29 @@ def test_names_in_notes_of_one_key(spark):
     assert sorted((str(r.note_id), r.value, r.start) for r in found) == [("1", "zinc oxide", 20), ("1", "zinc sulphate", 0), ("None", "zinc oxide", 0)]
 
 
-def test_presences_compute_fields_once_and_shuffle_identities_twice(spark):
+def _plan(spark, df):
+    """The steps of a query's plan, whole."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(2**24))
+    return [line.strip(" :+-") for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+
+
+def test_presences_compute_fields_once(spark):
     from regolith.plans import register_queries as rq
 
     folder = "/root/testdata/sf0.001"
-    plan = rq.product_matrix(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
-    # by identity, by company, and the matrix; no filter evaluates what the rows are made of
-    assert plan.count("Aggregate") == 2 and not any("regexp_replace" in line for line in plan.split("\n") if line.strip(" :+-").startswith("Filter"))
+    plan = _plan(spark, rq.product_matrix(spark, folder))
+    # by identity and the matrix; no filter evaluates what ingredients and companies are made of
+    assert sum(x.startswith("Aggregate") for x in plan) == 2 and not any("split(" in x for x in plan if x.startswith("Filter"))
     found = rq._dated_presences(rq.register(spark, folder)).collect()
     dates = {r.ord: r.approval_date for r in rq.table(spark, folder, "product_record").select("ord", "approval_date").collect()}
     assert found and all(r.approval_date == dates[r.ord] for r in found)
     assert len({(r.company, r.presence, r.country) for r in found}) == len(found)
+
+
+def test_gaps_of_whole_products_take_dates_along(spark):
+    from regolith.plans import register_queries as rq
+
+    plan = _plan(spark, rq.product_gaps(spark, "/root/testdata/sf0.001"))
+    assert sum(x.startswith("Relation") for x in plan) == 2 and not any(x.startswith("Join") for x in plan)
+    # names of others are normalised once a record as well
+    assert not any("split(" in x for x in plan if x.startswith("Filter"))
