@@ -136,6 +136,9 @@ def scope_lines(resolved: DataFrame, holders: DataFrame, client: str | None = No
     ``holders`` is (country, ingredient, company_raw, ord) of active registrations.
     """
     lines = _distinct(resolved, "product", key).join(_distinct(resolved, "market", key), key).join(_distinct(resolved, "service", key).distinct(), key)
+    # only who holds what was asked for is looked at
+    asked = lines.select(F.col("market").alias("country"), F.col("product").alias("ingredient")).distinct()
+    holders = holders.join(asked, ["country", "ingredient"], "left_semi")
     names = holders.select("company_raw").distinct()
     names = names.withColumn("own", F.lit(False)) if client is None else with_verdict(names, F.lit(client), F.col("company_raw")).select("company_raw", (F.col("verdict.verdict") == "match").alias("own"))
     by = holders.select("country", "ingredient", "company_raw", "ord").join(names, "company_raw").groupBy("country", "ingredient").agg(F.min_by(F.when(F.col("own"), F.col("company_raw")), F.when(F.col("own"), F.col("ord"))).alias("holder"), F.countDistinct("company_raw").alias("names"))

@@ -491,8 +491,8 @@ def _resolved(spark, sf_dir):
 @_query()
 def scope_lines(spark, sf_dir):
     """V5-V7, V9: products by market and service asked for, and who holds them."""
-    r = markets.active_medicines(register(spark, sf_dir)).where(F.col("company_raw").isNotNull())
-    holders = r.select("country", F.explode("inn").alias("ingredient"), "company_raw", "ord")
+    r = register(spark, sf_dir).where(text.is_active("status") & text.is_medicine("category") & F.col("company_raw").isNotNull())
+    holders = r.select("country", F.explode_outer("inn").alias("ingredient"), "company_raw", "ord").where("ingredient IS NOT NULL")
     return scoping.scope_lines(_resolved(spark, sf_dir)[0], holders, "Talabulub Pharmaceuticals Limited")
 
 

@@ -489,3 +489,11 @@ def test_gaps_of_whole_products_take_dates_along(spark):
     assert sum(x.startswith("Relation") for x in plan) == 2 and not any(x.startswith("Join") for x in plan)
     # names of others are normalised once a record as well
     assert not any("split(" in x for x in plan if x.startswith("Filter"))
+
+
+def test_scope_lines_look_at_asked_products_only(spark):
+    resolved = spark.createDataFrame([(1, "product", "zinc"), (1, "market", "NG"), (1, "service", "renewal"), (2, "product", "iron")], "note_id long, kind string, entity string")
+    holders = spark.createDataFrame([("NG", "zinc", "Own Ltd", 3), ("NG", "zinc", "Other Ltd", 1), ("NG", "iron", "Third Ltd", 2), ("KE", "zinc", "Fourth Ltd", 4)], "country string, ingredient string, company_raw string, ord long")
+    lines = scoping.scope_lines(resolved, holders, "Own Limited")
+    assert [(r.product, r.market, r.service, r.already_held, r.holder, r.competitors) for r in lines.collect()] == [("zinc", "NG", "renewal", True, "Own Ltd", 1)]
+    assert any(x.startswith("Join LeftSemi") for x in _plan(spark, lines))
