@@ -497,3 +497,10 @@ def test_scope_lines_look_at_asked_products_only(spark):
     lines = scoping.scope_lines(resolved, holders, "Own Limited")
     assert [(r.product, r.market, r.service, r.already_held, r.holder, r.competitors) for r in lines.collect()] == [("zinc", "NG", "renewal", True, "Own Ltd", 1)]
     assert any(x.startswith("Join LeftSemi") for x in _plan(spark, lines))
+
+
+def test_scope_gaps_read_each_table_once(spark, monkeypatch):
+    from regolith.plans import register_queries as rq
+
+    rows, read = _reads(monkeypatch, rq.QUERIES["scope_gaps"], spark, "/root/testdata/sf0.001")
+    assert rows and read.count("documents") == 1 and read.count("product_record") <= 2
