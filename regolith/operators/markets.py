@@ -73,9 +73,8 @@ def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: s
     the product was first held, in the alphabetically first country it is held in, else ``gap``.
     """
     keys = [group, "presence"]
-    held = presences if "approval_date" in presences.columns else presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left")
-    by = held.groupBy(*keys).agg(F.first("inn").alias("inn"), F.first("strength").alias("strength"), F.first("form").alias("form"), F.array_sort(F.collect_set("country")).alias("present_in"), F.min_by("approval_date", F.col("country")).alias("held_since"))
-    covered = [(r.country, r.coverage_end_year) for r in coverage.select("country", "coverage_end_year").distinct().collect()]
+    by = _by_product(presences if "approval_date" in presences.columns else presences.join((records if dated is None else dated).select("ord", "approval_date"), "ord", "left"), keys)
+    covered = _covered(coverage)
     others = records.where(text.is_active("status") & text.is_medicine("category") & text.filled("company_raw").isNotNull() & F.col("country").isin([c for c, _ in covered]))
     others = settled(others.select("country", "inn", "strength", "form", "company", "company_raw"), "inn", "strength", "form", "company").where(resolve.usable())
     others = others.select("country", F.col("inn").alias("o_inn"), F.col("strength").alias("o_strength"), F.col("form").alias("o_form"), F.col("company").alias("o_company"), "company_raw")
@@ -88,6 +87,24 @@ def gaps(presences: DataFrame, records: DataFrame, coverage: DataFrame, group: s
     return cells.select(*keys, "inn", "strength", "form", "country", "present_in", "state", F.substring("held_since", 1, 10).alias("held_since"), n.alias("competitors"), F.when(gap, F.col("examples")).otherwise(F.array().cast("array<string>")).alias("examples"), tier.alias("tier"))
 
 
+def out_of_window(presences: DataFrame, coverage: DataFrame, group: str = "company") -> DataFrame:
+    """(group, presence, country, held_since): the cells of ``gaps`` in that state, of presences with approval_date. Who else holds what decides nothing here, so the register is not met."""
+    keys = [group, "presence"]
+    ends = [F.struct(F.lit(c).alias("country"), F.lit(y).cast("int").alias("end_year")) for c, y in _covered(coverage) if c is not None and y is not None]
+    by = _by_product(presences.select(*keys, "inn", "strength", "form", "country", "approval_date"), keys)
+    late = F.filter(F.array(*ends), lambda e: (text.year_of("held_since") > e["end_year"]) & ~F.array_contains("present_in", e["country"])) if ends else F.array().cast("array<struct<country: string, end_year: int>>")
+    return by.select(*keys, "held_since", F.explode(late).alias("e")).select(*keys, "e.country", F.substring("held_since", 1, 10).alias("held_since"))
+
+
+def _by_product(held: DataFrame, keys: list[str]) -> DataFrame:
+    """Products with the countries they are held in and the date of their first record in the alphabetically first of these."""
+    return held.groupBy(*keys).agg(F.first("inn").alias("inn"), F.first("strength").alias("strength"), F.first("form").alias("form"), F.array_sort(F.collect_set("country")).alias("present_in"), F.min_by("approval_date", F.col("country")).alias("held_since"))
+
+
+def _covered(coverage: DataFrame) -> list[tuple[str, int | None]]:
+    return [(r.country, r.coverage_end_year) for r in coverage.select("country", "coverage_end_year").distinct().collect()]
+
+
 def _competed(by: DataFrame, others: DataFrame, covered: list[tuple[str, int | None]], keys: list[str]) -> DataFrame:
     """The products by covered country they were not found in: (country, end_year, n, examples), n the names of other companies that hold something agreeing there.
 

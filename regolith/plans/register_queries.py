@@ -289,10 +289,13 @@ def _exact_presences(r: DataFrame) -> DataFrame:
     return placed.repartition("company", "presence").groupBy("company", "presence", "inn", "strength", "form", "country").agg(F.min("ord").alias("ord"), F.min_by("approval_date", "ord").alias("approval_date"))
 
 
+def _coverage(spark):
+    return spark.createDataFrame(COVERAGE, "country string, coverage_end_year int")
+
+
 def _gaps(spark, sf_dir, presences=_exact_presences):
     r = register(spark, sf_dir)
-    return markets.gaps(presences(r), r, spark.createDataFrame(COVERAGE, "country string, coverage_end_year int"))
-
+    return markets.gaps(presences(r), r, _coverage(spark))
 
 
 
@@ -339,7 +342,8 @@ def product_gaps(spark, sf_dir):
 @_query()
 def product_out_of_window(spark, sf_dir):
     """out_of_window of whole products."""
-    return _gaps(spark, sf_dir, _dated_presences).where("state = 'out_of_window'").groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
+    cells = markets.out_of_window(_dated_presences(register(spark, sf_dir)), _coverage(spark))
+    return cells.groupBy("country").agg(F.count("*").alias("n"), F.min("held_since").alias("held_since"))
 
 
 @_query()

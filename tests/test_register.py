@@ -491,6 +491,22 @@ def test_gaps_of_whole_products_take_dates_along(spark):
     assert not any("split(" in x for x in plan if x.startswith("Filter"))
 
 
+def test_out_of_window_does_not_meet_the_register(spark):
+    from regolith.plans import register_queries as rq
+
+    # the register is read once, and only for who holds what
+    plan = _plan(spark, rq.product_out_of_window(spark, "/root/testdata/sf0.001"))
+    assert sum(x.startswith("Relation") for x in plan) == 1 and sum(x.startswith("MapInArrow") for x in plan) == 1
+    held = [("a", 0, "NG", "2024-05-05"), ("a", 1, "NG", "2026-01-01T00"), ("a", 1, "KE", "2025-02-02"), ("a", 2, "TZ", "2024"), ("b", 0, None, "2025-01-01"), ("b", 1, "NG", None), ("b", 2, "BR", "soon"), ("b", 3, "BR", "2026-01-01"), ("b", 3, "NG", "2000-01-01")]
+    p = spark.createDataFrame([(c, i, ["x"], ["1mg"], "gel", n, k, d) for k, (c, i, n, d) in enumerate(held)], "company string, presence int, inn array<string>, strength array<string>, form string, country string, ord long, approval_date string")
+    coverage = spark.createDataFrame([("NG", 2025), ("TZ", 2023), ("KE", 2024), ("BR", None), (None, 2000), ("TZ", 2024)], "country string, coverage_end_year int")
+    both = lambda df: sorted((r.company, r.presence, r.country, r.held_since) for r in df.collect())
+    expected = [("a", 0, "TZ", "2024-05-05"), ("a", 1, "TZ", "2025-02-02"), ("a", 1, "TZ", "2025-02-02"), ("b", 3, "KE", "2026-01-01"), ("b", 3, "TZ", "2026-01-01"), ("b", 3, "TZ", "2026-01-01")]
+    found = both(markets.out_of_window(p, coverage))
+    others = records(spark, rec(1))
+    assert found == expected == both(markets.gaps(p, others, coverage).where("state = 'out_of_window'"))
+
+
 def test_scope_lines_look_at_asked_products_only(spark):
     resolved = spark.createDataFrame([(1, "product", "zinc"), (1, "market", "NG"), (1, "service", "renewal"), (2, "product", "iron")], "note_id long, kind string, entity string")
     holders = spark.createDataFrame([("NG", "zinc", "Own Ltd", 3), ("NG", "zinc", "Other Ltd", 1), ("NG", "iron", "Third Ltd", 2), ("KE", "zinc", "Fourth Ltd", 4)], "country string, ingredient string, company_raw string, ord long")
