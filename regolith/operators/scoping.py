@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -54,32 +57,25 @@ def propose(notes: DataFrame, ingredients: DataFrame | None = None, key: str = "
 def _named(notes: DataFrame, ingredients: DataFrame, key: str) -> DataFrame:
     """(key, ingredient, quote, start): the ingredients of five letters or more a note names, the last word's beginning being enough.
 
-    A name's head is its first run of letters and digits, a whole run in the note. Of each head only the distinct lengths of
-    its names are brought to the note; what stands there in each of these lengths is looked up, so no name is searched for in a text.
+    A name's head is its first run of letters and digits, a whole run in the note. Only where a note has a head does it say on
+    what follows, as far as the head's longest name goes; names and what is said meet in one order (``_begun``), so no name
+    is searched for in a text and none is spelled out that is not there.
     """
     names = ingredients.where(F.length("ingredient") >= 5).select("ingredient", F.regexp_extract("ingredient", r"[a-z0-9]+", 0).alias("head")).where("head <> ''").distinct()
-    at = F.instr("ingredient", F.col("head"))
-    shape = F.struct(F.expr("substring(ingredient, 1, instr(ingredient, head) - 1)").alias("lead"), (F.length("ingredient") - at + 1).alias("size"))
-    shapes = names.groupBy("head").agg(F.collect_set(shape).alias("shapes"))
+    rest = F.expr("substring(ingredient, instr(ingredient, head))")
+    sizes = names.groupBy("head").agg(F.max(F.length(rest)).alias("size"))
     runs = notes.select(key, F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("head"))
-    heads = runs.join(shapes, "head").groupBy(key).agg(F.collect_set(F.struct("head", "shapes")).alias("heads"))
+    heads = runs.join(sizes, "head").groupBy(key).agg(F.collect_set(F.struct("head", "size")).alias("shapes"))
     low = F.lower("text")
     flat = F.concat(F.lit(" "), F.regexp_replace(low, r"[^a-z0-9./%-]", " "), F.lit(" "))
     beside = F.col(f"t.{key}").eqNullSafe(F.col(f"h.{key}"))
     texts = notes.select(key, "text", low.alias("low"), flat.alias("flat")).alias("t")
 
-    # what stands at each run of a note, the run and as far on as the longest name of the note's heads goes
-    longest = F.array_max(F.flatten(F.transform("heads", lambda h: F.transform(h["shapes"], lambda x: x["size"]))))
-    pattern = F.concat(F.lit("(?<![a-z0-9])(?=([a-z0-9]+.{0,"), longest.cast("string"), F.lit("}))"))
-    windows = F.array_distinct(F.regexp_extract_all("flat", pattern, F.lit(1)))
-
-    def spelled(w: Column) -> Column:
-        shapes = F.try_element_at(F.col("shapes"), F.regexp_extract(w, "^[a-z0-9]+", 0))
-        return F.transform(F.filter(F.coalesce(shapes, F.array()), lambda x: x["size"] <= F.length(w)), lambda x: F.concat(x["lead"], F.substring(w, F.lit(1), x["size"])))
-
-    placed = texts.join(heads.alias("h"), beside).select(f"t.{key}", windows.alias("windows"), F.map_from_entries("heads").alias("shapes"))
-    there = placed.select(key, F.explode_outer(F.array_distinct(F.flatten(F.transform("windows", spelled)))).alias("ingredient"))
-    met = there.join(names.select("ingredient"), "ingredient").groupBy(key).agg(F.collect_set("ingredient").alias("met"))
+    # what stands at each head of a note
+    pattern = F.concat(F.lit("(?<![a-z0-9])(?=((?:"), F.array_join("shapes.head", "|"), F.lit(")(?![a-z0-9]).{0,"), F.array_max("shapes.size").cast("string"), F.lit("}))"))
+    placed = texts.join(heads.alias("h"), beside).select(f"t.{key}", F.explode_outer(F.array_distinct(F.regexp_extract_all("flat", pattern, F.lit(1)))).alias("said")).where("said IS NOT NULL")
+    there = _begun(names.select("head", rest.alias("said"), "ingredient"), placed.withColumn("head", F.regexp_extract("said", "^[a-z0-9]+", 0)), key)
+    met = there.groupBy(key).agg(F.collect_set("ingredient").alias("met"))
     place = lambda x: F.instr(F.col("low"), x)
     whole = lambda x: F.col("flat").contains(F.concat(F.lit(" "), x))
     said = F.transform(F.filter("met", whole), lambda x: F.struct(x.alias("ingredient"), place(x).alias("at")))
@@ -87,6 +83,39 @@ def _named(notes: DataFrame, ingredients: DataFrame, key: str) -> DataFrame:
     return found.select(key, "ingredient", F.substring(F.col("text"), F.col("at"), F.length("ingredient")).alias("quote"), (F.col("at") - 1).alias("start"))
 
 
+def _begun(names: DataFrame, said: DataFrame, key: str) -> DataFrame:
+    """(key, ingredient): the names (head, said, ingredient) each text (head, said, key) of the same head begins with.
+
+    In the order of letters whatever begins with a name follows it directly, so one pass that remembers the names the last row
+    begins with finds them all; a task holds no more than these.
+    """
+    kind = dict(said.dtypes)[key]
+    rows = names.select("head", "said", F.lit(0).alias("asks"), "ingredient", F.lit(None).cast(kind).alias(key)).unionByName(said.select("head", "said", F.lit(1).alias("asks"), F.lit(None).cast("string").alias("ingredient"), key))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun = None, []
+        for batch in batches:
+            row, found = [], []
+            for i, (head, text_, asks, name) in enumerate(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("head", "said", "asks", "ingredient")])):
+                if head != last:
+                    last, begun = head, []
+                while begun and not text_.startswith(begun[-1][0]):
+                    begun.pop()
+                if asks:
+                    for _, its in begun:
+                        row.extend([i] * len(its))
+                        found.extend(its)
+                elif begun and begun[-1][0] == text_:
+                    begun[-1][1].append(name)
+                else:
+                    begun.append((text_, [name]))
+            if row:
+                keys = batch.column(batch.schema.get_field_index(key)).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string())], [key, "ingredient"])
+
+    return rows.repartition("head").sortWithinPartitions("head", "said", "asks").mapInArrow(meet, f"`{key}` {kind}, ingredient string")
+
+
 def verified(proposals: DataFrame, notes: DataFrame, key: str = "note_id") -> tuple[DataFrame, DataFrame]:
     """(facts, rejected) of (key, kind, value, quote, confidence): a fact's quote must stand in its note.
 

@@ -457,7 +457,8 @@ def _notes(spark, sf_dir):
 
 def _vocabulary(spark, sf_dir):
     """The ingredients of the register, each spelling normalised once."""
-    spelled = table(spark, sf_dir, "product_record").select("inn").distinct()
+    # few bytes, much work: adaptive execution would leave it to a task or two
+    spelled = table(spark, sf_dir, "product_record").select("inn").distinct().repartition(2 * spark.sparkContext.defaultParallelism)
     return markets.vocabulary(spelled.select(text.normalize_inn("inn").alias("inn")))
 
 

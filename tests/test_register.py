@@ -507,6 +507,25 @@ def test_out_of_window_does_not_meet_the_register(spark):
     assert found == expected == both(markets.gaps(p, others, coverage).where("state = 'out_of_window'"))
 
 
+def test_names_are_met_in_order_of_letters(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["zinc", "zin", "zinc ", "oxide", "ox", " ", "-", "5"]
+    text_of = lambda: rng.choice(("zinc", "zin", "ox")) + " " + "".join(rng.choice(words) for _ in range(rng.randrange(5)))
+    head = lambda t: t.split(" ")[0]
+    names = sorted({(head(t), t, lead + t) for t in (text_of() for _ in range(400)) for lead in ("", "-")})
+    said = [(head(t), t, i % 90 or None) for i, t in enumerate(text_of() + text_of() for _ in range(300))]
+    got = scoping._begun(spark.createDataFrame(names, "head string, said string, ingredient string"), spark.createDataFrame(said, "head string, said string, note_id long"), "note_id")
+    # names of another head that is the same but for its end are none
+    expected = [(str(k), n) for h, t, k in said for g, s, n in names if g == h and t.startswith(s)]
+    assert sorted((str(r.note_id), r.ingredient) for r in got.collect()) == sorted(expected) and len(expected) > 300
+    # no name is spelled out for a note in each length its head has: one join brings heads to notes, two bring texts
+    notes = spark.createDataFrame([(1, "zinc oxide")], "note_id long, text string")
+    plan = _plan(spark, scoping._named(notes, spark.createDataFrame([("zinc oxide",)], "ingredient string"), "note_id"))
+    assert sum(x.startswith("Join") for x in plan) == 3 and sum(x.startswith("MapInArrow") for x in plan) == 1
+
+
 def test_scope_lines_look_at_asked_products_only(spark):
     resolved = spark.createDataFrame([(1, "product", "zinc"), (1, "market", "NG"), (1, "service", "renewal"), (2, "product", "iron")], "note_id long, kind string, entity string")
     holders = spark.createDataFrame([("NG", "zinc", "Own Ltd", 3), ("NG", "zinc", "Other Ltd", 1), ("NG", "iron", "Third Ltd", 2), ("KE", "zinc", "Fourth Ltd", 4)], "country string, ingredient string, company_raw string, ord long")
