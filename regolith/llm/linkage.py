@@ -24,6 +24,7 @@ company and kind; a pair that agrees in company alone is no candidate; repeated
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 from uuid import uuid4
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window as W
 
 from regolith.functions.frames import frame, frame_of
 from regolith.llm import canonical, mojibake, names
-from regolith.operators.packed import FIELD_RULES, Segmenter, osa
+from regolith.operators.packed import FIELD_RULES, Segmenter, letter_bits, osa
 from regolith.session import cut
 
 #: The kind each form of the list belongs to.
@@ -56,6 +57,7 @@ CHECKED, MOST_ROUNDS = 2, 2000
 MEMBERS = 20_000
 
 
+@functools.lru_cache(100_000)
 def number(text: str) -> float | None:
     """A number with a decimal or thousands mark: three digits after a lone comma and no zero before it are thousands."""
     t = re.sub(r"[  ]", "", text)
@@ -86,34 +88,47 @@ def strengths(text: str | None) -> list[str]:
     return out
 
 
+#: Of a free text: salts in parentheses, a short form that holds a mark, the marks between its parts, words, and what a word must hold.
+_SALT = re.compile(r"\((?=[^)]*[a-z])[^)|]*\)", re.I)
+_COATED = re.compile(r"\bf/c\b", re.I)
+_BETWEEN = re.compile(r"[;+/&|()]|,(?!\s*(?:micronised|hydrated|anhydrous|m\w{3,}nis\w*|h\w{2,}r\w*ted|an\w{2,}dr\w*s)\b)|\sand\s", re.I)
+_WRITTEN, _MEANT = re.compile(r"[^\s,]+"), re.compile(r"[a-zà-ÿ0-9]")
+
+
 class ListingParser:
     """Finds ingredients, strengths and the form in one free text, in any order."""
 
     def __init__(self, index: dict[str, canonical.NgramIndex], forms: list[tuple[int, str]]):
         self.index = index
-        self.seen: dict[tuple[str, str], tuple[int, float]] = {}
+        self.seen: dict[tuple[str, str], tuple[int, float, float]] = {}
         self.form_words: dict[str, bool] = {}
         written = {w for _, name in forms for w in re.findall(r"[a-z0-9]+", canonical.fold(name))}
-        self.rests: dict[str, set[str]] = {}
-        for v in written | {k for k in canonical.WORDS["form"] if len(k) > 1}:
-            for rest in names._deletions(v, 2):
-                self.rests.setdefault(rest, set()).add(v)
-
-    def best(self, field: str, text: str) -> tuple[int, float]:
-        key = (field, text)
-        if key not in self.seen:
-            found = self.index[field].best(text) if text else []
+        #: Words of forms by length, each with the letters it has as bits: an edit changes two of them at most.
+        self.written: dict[int, list[tuple[int, str]]] = {}
+        for v in sorted(written | {k for k in canonical.WORDS["form"] if len(k) > 1}):
+            self.written.setdefault(len(v), []).append((letter_bits(v), v))
+
+    def best(self, field: str, text: str, least: float = 0.0) -> tuple[int, float]:
+        """(entry, score) of the best entry; a score below ``least`` is no more than known to be below it."""
+        if not text:
+            return 0, 0.0
+        key = (field, text.lower())  # readings are in lower case
+        own = self.seen.get(key)
+        if own is None or own[1] < own[2] > least:
+            found = self.index[field].best(text, 0.0, least)
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            self.seen[key] = found[0] if found else (0, 0.0)
-        return self.seen[key]
+            own = self.seen[key] = (*(found[0] if found else (0, 0.0)), least)
+        return own[:2]
 
     def form_word(self, word: str) -> bool:
         """Whether a word is one of the words forms are made of, or nearly."""
+        word = word.lower()
         if (known := self.form_words.get(word)) is None:
             w = re.sub(r"[^a-z0-9]", "", canonical.fold(word))
             most = 0 if len(w) < 4 else 1 if len(w) < 7 else 2
-            near = {v for rest in names._deletions(w, most) for v in self.rests.get(rest, ())} if w else ()
+            bits = letter_bits(w)
+            near = (v for n in range(len(w) - most, len(w) + most + 1) for own, v in self.written.get(n, ()) if (own ^ bits).bit_count() <= 2 * most) if w else ()
             known = any(osa(w, v, most) <= most for v in near)
             if len(self.form_words) > 300_000:
                 self.form_words.clear()
@@ -129,18 +144,30 @@ class ListingParser:
         n = len(words)
         ahead = next((i for i, m in enumerate(marks) if not m), n)
         behind = next((i for i, m in enumerate(reversed(marks)) if not m), n)
+        floor = -1.0
         for form, inn in ((words[:ahead], words[ahead:]), (words[n - behind :], words[: n - behind])):
             if len(form) == sum(marks):
                 f, fs = self.best("form", " ".join(form)) if form else (0, 0.0)
                 i, s = self.best("inn", " ".join(inn)) if inn else (0, 0.0)
+                total = (fs - 0.45) * len("".join(form)) * bool(form) + (s - 0.45) * len("".join(inn)) * bool(inn)
                 if (not form or fs >= 0.8) and (not inn or s >= 0.7):
-                    return " ".join(inn), f, (fs - 0.45) * len("".join(form)) * bool(form) + (s - 0.45) * len("".join(inn)) * bool(inn)
+                    return " ".join(inn), f, total
+                floor = max(floor, total)
         best = ("", 0, -1.0)
         for k in range(n + 1):
             for form, inn in ((words[:k], words[k:]), (words[n - k :], words[: n - k])):
-                f, fs = self.best("form", " ".join(form)) if form else (0, 0.0)
-                i, s = self.best("inn", " ".join(inn)) if inn else (0, 0.0)
-                total = (fs - 0.45) * len("".join(form)) * bool(form) + (s - 0.45) * len("".join(inn)) * bool(inn)
+                f_size, i_size = len("".join(form)), len("".join(inn))
+                # what the one must score for the cut to win, though the other fit wholly, and then beside the other's score
+                wanted = max(best[2], floor) - 1e-9
+                least = 0.45 + (wanted - 0.55 * f_size) / i_size if inn else 0.0
+                i, s = self.best("inn", " ".join(inn), max(0.0, least)) if inn else (0, 0.0)
+                if inn and s < least:
+                    continue
+                least = 0.45 + (wanted - (s - 0.45) * i_size) / f_size if form else 0.0
+                f, fs = self.best("form", " ".join(form), max(0.0, least)) if form and least <= 1.0 else (0, 0.0)
+                if form and fs < least:
+                    continue
+                total = (fs - 0.45) * f_size * bool(form) + (s - 0.45) * i_size * bool(inn)
                 if total > best[2]:
                     best = (" ".join(inn), f if fs >= canonical.THRESHOLD["form"] else 0, total)
         return best
@@ -151,21 +178,20 @@ class ListingParser:
             return [], [], 0
         strong = strengths(text)
         rest = _STRENGTH.sub(" | ", text)
-        rest = re.sub(r"\((?=[^)]*[a-z])[^)|]*\)", " ", rest, flags=re.I)  # salts in parentheses
+        rest = _SALT.sub(" ", rest)
         ingredients, form, form_score = [], 0, 0.0
-        for part in re.split(r"[;+/&|()]|,(?!\s*(?:micronised|hydrated|anhydrous|m\w{3,}nis\w*|h\w{2,}r\w*ted|an\w{2,}dr\w*s)\b)|\sand\s", re.sub(r"\bf/c\b", "fc", rest, flags=re.I), flags=re.I):
-            words = re.findall(r"[^\s,]+", part or "")
-            words = [w for w in words if re.search(r"[a-zà-ÿ0-9]", w.lower())]
+        for part in _BETWEEN.split(_COATED.sub("fc", rest)):
+            words = [w for w in _WRITTEN.findall(part or "") if _MEANT.search(w.lower())]
             if not words:
                 continue
             inn, f, score = self.chunk(words)
             if f and score > form_score:
                 form, form_score = f, score
             if inn:
-                entry, s = self.best("inn", inn)
+                entry, s = self.best("inn", inn, canonical.THRESHOLD["inn"])
                 if entry and s >= canonical.THRESHOLD["inn"]:
                     ingredients.append(str(entry))
-                elif not f and self.best("form", inn)[1] < canonical.THRESHOLD["form"]:
+                elif not f and self.best("form", inn, canonical.THRESHOLD["form"])[1] < canonical.THRESHOLD["form"]:
                     ingredients.append("x:" + (canonical.readings(inn, "inn") or [inn])[0])
         return sorted(set(ingredients)), strong, form
 
@@ -189,7 +215,7 @@ def _names_of(reference: DataFrame) -> dict[str, list[tuple[int, str]]]:
 class Signer:
     """Reduces single values of either side to what they mean; built once per task, what it has seen is kept."""
 
-    def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple[dict[str, int], dict[str, int]] | None, added: Iterable[str] = ()):
+    def __init__(self, names_of: dict[str, list[tuple[int, str]]], model: tuple | None, added: Iterable[str] = ()):
         self.lexicon = names.Lexicon(added)
         self.index = {f: canonical.NgramIndex(names_of[f], f) for f in ("inn", "form")}
         self.terms = {key: entry for entry, key in sorted(names_of["term"], reverse=True)}
@@ -269,10 +295,15 @@ def _code(*columns) -> Column:
     return F.when(F.coalesce(columns[0], F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(*columns))
 
 
-def _meant(rows: DataFrame, fields: tuple[str, ...], reference: Broadcast, model: Broadcast | None) -> DataFrame:
-    """(field, at, sign, core, extra, trade) of every distinct value of the fields, mapped once; ``at`` is the value's hash."""
+def _values(rows: DataFrame, *fields: str) -> DataFrame:
+    """(field, value): the distinct values of the fields."""
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
+
+
+def _meant(values: DataFrame, reference: Broadcast, model: Broadcast | None) -> DataFrame:
+    """(field, at, sign, core, extra, trade) of distinct values, mapped once; ``at`` is the value's hash."""
     run = uuid4().hex
-    values = rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), _at(f).alias("at")) for f in fields]))).where(F.col("value").isNotNull()).distinct()
+    values = values.withColumn("at", F.xxhash64("field", "value"))  # as _at
 
     def mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = _signer(run, reference, model)
@@ -286,7 +317,7 @@ def _meant(rows: DataFrame, fields: tuple[str, ...], reference: Broadcast, model
                     out.append((field, place, sign, None, None, None))
             yield frame_of(out, ("field", "at", "sign", *_TRIPLE))
 
-    spread = values.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "at")  # few bytes, much work
+    spread = values.repartition(4 * values.sparkSession.sparkContext.defaultParallelism, "at")  # few bytes, much work
     return cut(spread.mapInPandas(mean, "field string, at long, sign string, core string, extra string, trade string"))
 
 
@@ -295,31 +326,38 @@ def _at(field: str) -> Column:
 
 
 def _codes(meant: DataFrame, field: str, name: str) -> DataFrame:
-    """(<field>_at, name): the hash of what each value means."""
-    return meant.where(F.col("field") == field).select(F.col("at").alias(f"{field}_at"), (_code(*map(F.col, _TRIPLE)) if field == "company_raw" else _code(F.col("sign"))).alias(name))
+    """(<field>_at, name): the hash of what each value means; each value comes once, so rows find it in a hash table and need no order."""
+    return meant.where(F.col("field") == field).select(F.col("at").alias(f"{field}_at"), (_code(*map(F.col, _TRIPLE)) if field == "company_raw" else _code(F.col("sign"))).alias(name)).hint("shuffle_hash")
 
 
 def record_signatures(records: DataFrame, reference: Broadcast, listed: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ord, ing, str, kind, company) of records that may have a listing, as hashes, 0 where missing; and the pairs of companies that may be one.
 
+    With each record, whether some listing its company may have is without ingredients (``bare``) or without strengths (``open``).
+
     Companies and strengths come first, as they are cheap: a record is left out where no listing has a company that may be its own
     with its strengths, or with either side's strengths missing. Only what is left has its ingredients and form mapped.
     """
-    model = records.sparkSession.sparkContext.broadcast(mojibake.corpus_model(records, ("company_raw",)))
+    context = records.sparkSession.sparkContext
+    written = cut(records.where(F.col("company_raw").isNotNull()).groupBy("company_raw").agg(F.count("*").alias("n"), (F.count("ord") > 0).alias("wanted")))
+    tokens = mojibake.corpus_tokens(written, ("company_raw",), "n")
+    model = mojibake.tokens_model(tokens)
+    model = context.broadcast((*model, mojibake.restored_tokens(tokens, context.broadcast(model))))
     wanted = records.select("ord", "inn", "strength", "form", "company_raw").where(F.col("ord").isNotNull() & F.col("company_raw").isNotNull())
-    meant = _meant(wanted, ("strength", "company_raw"), reference, model)
+    meant = _meant(_values(wanted, "strength").unionByName(written.where("wanted").select(F.lit("company_raw").alias("field"), F.col("company_raw").alias("value"))), reference, model)
     companies = meant.where("field = 'company_raw' AND core <> ''").select(_code(*map(F.col, _TRIPLE)).alias("company"), *_TRIPLE).distinct()
     alike = cut(alike_companies(companies, others))
-    reach = listed.select(F.col("company").alias("company_c"), "str").distinct().join(alike.select(F.col("company_r").alias("company"), "company_c"), "company_c").select("company", "str").distinct()
-    near = _codes(meant, "company_raw", "company").join(reach.groupBy("company").agg(F.bool_or(F.col("str") == 0).alias("open")), "company")
+    reach = listed.groupBy(F.col("company").alias("company_c"), "str").agg(F.bool_or(F.col("ing") == 0).alias("bare"))
+    reach = reach.join(alike.select(F.col("company_r").alias("company"), "company_c"), "company_c").groupBy("company", "str").agg(F.bool_or("bare").alias("bare"))
+    near = _codes(meant, "company_raw", "company").join(reach.groupBy("company").agg(F.bool_or(F.col("str") == 0).alias("open"), F.bool_or("bare").alias("bare")), "company").hint("shuffle_hash")
     rows = wanted.select("ord", "inn", "form", _at("strength").alias("strength_at"), _at("company_raw").alias("company_raw_at")).join(near, "company_raw_at").drop("company_raw_at")
     rows = rows.join(_codes(meant, "strength", "str"), "strength_at", "left").drop("strength_at").na.fill(0, ["str"])
-    rows = rows.join(reach.where("str <> 0").withColumn("met", F.lit(True)), ["company", "str"], "left").where(F.col("open") | (F.col("str") == 0) | F.col("met"))
-    rows = cut(rows.select("ord", "inn", "form", "str", "company"))
-    meant = _meant(rows, ("inn", "form"), reference, None)
-    rows = rows.select("ord", "str", "company", _at("inn").alias("inn_at"), _at("form").alias("form_at"))
+    rows = rows.join(reach.where("str <> 0").select("company", "str", F.lit(True).alias("met")).hint("shuffle_hash"), ["company", "str"], "left").where(F.col("open") | (F.col("str") == 0) | F.col("met"))
+    rows = cut(rows.select("ord", "inn", "form", "str", "company", "bare", "open"))
+    meant = _meant(_values(rows, "inn", "form"), reference, None)
+    rows = rows.select("ord", "str", "company", "bare", "open", _at("inn").alias("inn_at"), _at("form").alias("form_at"))
     rows = rows.join(_codes(meant, "form", "kind"), "form_at", "left").join(_codes(meant, "inn", "ing"), "inn_at", "left")
-    return rows.na.fill(0, ["kind", "ing"]).select("ord", *_PARTS), alike
+    return rows.na.fill(0, ["kind", "ing"]).select("ord", *_PARTS, "bare", "open"), alike
 
 
 def listing_signatures(listings: DataFrame, reference: Broadcast) -> tuple[DataFrame, DataFrame]:
@@ -343,9 +381,9 @@ def listing_signatures(listings: DataFrame, reference: Broadcast) -> tuple[DataF
     return signed.select("listing_id", *[_code(F.col(x)).alias(x) for x in ("ing", "str", "kind")], company), signed.select(company, *_TRIPLE).distinct()
 
 
-def _classes(signatures: DataFrame, tag: str) -> DataFrame:
-    """Distinct signatures with their class number, columns tagged."""
-    return signatures.select(*_PARTS).distinct().select(F.xxhash64(*_PARTS).alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in _PARTS])
+def _classes(signatures: DataFrame, tag: str, *more: str) -> DataFrame:
+    """Distinct signatures with their class number, columns tagged; ``more`` are columns that follow from the signature."""
+    return signatures.select(*_PARTS, *more).distinct().select(F.xxhash64(*_PARTS).alias(tag), *[F.col(c).alias(f"{c}_{tag}") for c in _PARTS], *more)
 
 
 def core_keys(core: str) -> list[str]:
@@ -405,12 +443,14 @@ def candidates(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame
 
     One equi-join on company, ingredients and strengths together, so no pair is made only to be thrown away but for its kind of
     form. A side that knows a field offers its value and, where the other may lack it, a mark; a side that lacks it offers
-    that mark: every pair meets under exactly one key. Pairs that share neither ingredients nor strengths must be of one known
+    that mark: every pair meets under exactly one key. ``bare`` and ``open`` of the left say whether the listings of companies that may be
+    its own lack ingredients or strengths at all. Pairs that share neither ingredients nor strengths must be of one known
     kind, and are made only where one product of that company and kind is there at all: where several would fit alike, none is it.
     """
     own, lacks, any_ = 0, 1, 2
     mark = lambda n, v=None: F.xxhash64(F.lit(n), v if v is not None else F.lit(0))
-    ways_r = lambda x: F.when(F.col(x) != 0, F.array(mark(own, F.col(x)), mark(lacks))).otherwise(F.array(mark(any_)))
+    without = {"ing_r": "bare", "str_r": "open"}
+    ways_r = lambda x: F.when(F.col(x) == 0, F.array(mark(any_))).when(F.col(without[x]), F.array(mark(own, F.col(x)), mark(lacks))).otherwise(F.array(mark(own, F.col(x))))
     ways_c = lambda x: F.when(F.col(x) != 0, F.array(mark(own, F.col(x)), mark(any_))).otherwise(F.array(mark(lacks), mark(any_)))
     cross = lambda a, b: F.flatten(F.transform(a, lambda i: F.transform(b, lambda s: F.struct(i.alias("i"), s.alias("s")))))
     blank = [mark(lacks), mark(any_)]
@@ -468,11 +508,12 @@ def infer(pairs: DataFrame) -> DataFrame:
     state = _parts(state)
     sizes = state.groupBy("part").agg(F.count("*").alias("size"))
     kept = ["r", "c", "confidence"]
-    most = sizes.agg(F.max("size")).first()[0] or 0
+    most, total = sizes.agg(F.max("size"), F.sum("size")).first()
     if not most:
         return settled
     small = state if most <= MEMBERS else state.join(sizes.where(F.col("size") <= MEMBERS), "part", "left_semi")
-    solved = settled.unionByName(small.groupBy("part").applyInPandas(_solved, "r long, c long, confidence double"))
+    dealt = F.pmod(F.xxhash64("part"), F.lit(-(-total // MEMBERS)))  # parts by the lot, as a call costs more than a part
+    solved = settled.unionByName(small.groupBy(dealt).applyInPandas(_solved, "r long, c long, confidence double"))
     return solved if most <= MEMBERS else solved.unionByName(_rounds(state.join(sizes.where(F.col("size") > MEMBERS), "part", "left_semi")).select(*kept))
 
 
@@ -504,34 +545,40 @@ def _rounds(state: DataFrame) -> DataFrame:
 
 
 def _solved(rows: pd.DataFrame) -> pd.DataFrame:
-    """The same rounds over one part in memory."""
-    at = {"r": pd.factorize(rows["r"])[0], "c": pd.factorize(rows["c"])[0], "t": rows.groupby(["r", "kc"], sort=False).ngroup().to_numpy()}
-    has = {k: rows[f"has_{k}"].to_numpy() for k in "rct"}
-    part = {k: rows[f"a_{k}"].to_numpy() for k in "rc"}
-    whole = {k: rows[f"aa_{k}"].to_numpy() for k in "rc"}
-    sim, z, m = rows["sim"].to_numpy(), rows["sim"].to_numpy().copy(), rows["level"].to_numpy().copy()
-    u = {k: np.zeros(len(rows)) for k in "rctm"}
-    copies = has["r"] + has["c"] + has["t"]
+    """The same rounds over some parts in memory, for each part until it settles; no part touches another."""
+    rows = rows.sort_values("part", kind="stable")
+    number = {k: np.unique(rows[k].to_numpy(), return_inverse=True)[1] for k in ("r", "c", "kc", "part")}
+    # (bins of a sum, per row; columns of the rows still at work)
+    at = {"r": number["r"], "c": number["c"], "t": np.unique(number["r"] * len(rows) + number["kc"], return_inverse=True)[1]}
     twins = np.bincount(at["t"])[at["t"]]
+    x = {c: rows[c].to_numpy(dtype=float) for c in ("has_r", "has_c", "has_t", "a_r", "a_c", "aa_r", "aa_c", "sim", "z", "m")}
+    x |= {f"at_{k}": v for k, v in at.items()} | {f"u_{k}": np.zeros(len(rows)) for k in "rctm"} | {"twins": twins, "part": number["part"], "row": np.arange(len(rows))}
+    x["copies"] = x["has_r"] + x["has_c"] + x["has_t"]
+    confidence = np.zeros(len(rows))
     for _ in range(MOST_ROUNDS):
-        y = {}
+        y, z, m = {}, x["z"], x["m"]
         for k in "rc":
-            q = z - u[k]
-            over = np.bincount(at[k], part[k] * q)[at[k]] - 1.0
-            y[k] = q - np.clip(over / whole[k], 0.0, EXCLUSIVE / STEP) * part[k]
-        apart = np.clip((z - u["t"] - m + u["m"]) / 2, -ALIKE / STEP, ALIKE / STEP)
-        y["t"], y_m = z - u["t"] - apart, m - u["m"] + apart
-        mean = sum(has[k] * (y[k] + u[k]) for k in "rct") / copies
-        up, down = mean + (EVIDENCE - PRIOR) / (copies * STEP), mean - PRIOR / (copies * STEP)
-        new = np.clip(np.where(up < sim, up, np.where(down > sim, down, sim)), 0.0, 1.0)
-        m_new = np.bincount(at["t"], y_m + u["m"])[at["t"]] / twins
-        gap = max(*[(has[k] * np.abs(y[k] - new)).max() for k in "rct"], (has["t"] * np.abs(y_m - m_new)).max(), np.abs(new - z).max())
+            q = z - x[f"u_{k}"]
+            over = np.bincount(x[f"at_{k}"], x[f"a_{k}"] * q)[x[f"at_{k}"]] - 1.0
+            y[k] = q - np.clip(over / x[f"aa_{k}"], 0.0, EXCLUSIVE / STEP) * x[f"a_{k}"]
+        apart = np.clip((z - x["u_t"] - m + x["u_m"]) / 2, -ALIKE / STEP, ALIKE / STEP)
+        y["t"], y_m = z - x["u_t"] - apart, m - x["u_m"] + apart
+        mean = sum(x[f"has_{k}"] * (y[k] + x[f"u_{k}"]) for k in "rct") / x["copies"]
+        up, down = mean + (EVIDENCE - PRIOR) / (x["copies"] * STEP), mean - PRIOR / (x["copies"] * STEP)
+        new = np.clip(np.where(up < x["sim"], up, np.where(down > x["sim"], down, x["sim"])), 0.0, 1.0)
+        m_new = np.bincount(x["at_t"], y_m + x["u_m"])[x["at_t"]] / x["twins"]
+        gap = np.maximum.reduce([*[x[f"has_{k}"] * np.abs(y[k] - new) for k in "rct"], x["has_t"] * np.abs(y_m - m_new), np.abs(new - z)])
         for k in "rct":
-            u[k] = u[k] + y[k] - new
-        u["m"] = u["m"] + y_m - m_new
-        z, m = new, m_new
-        if gap <= TOLERANCE / 10:
-            return frame(r=rows["r"], c=rows["c"], confidence=z.tolist())
+            x[f"u_{k}"] = x[f"u_{k}"] + y[k] - new
+        x["u_m"] = x["u_m"] + y_m - m_new
+        x["z"], x["m"] = new, m_new
+        starts = np.nonzero(np.diff(x["part"], prepend=-1))[0]
+        ended = np.repeat(np.maximum.reduceat(gap, starts) <= TOLERANCE / 10, np.diff(starts, append=len(gap)))
+        if ended.any():
+            confidence[x["row"][ended]] = new[ended]
+            if ended.all():
+                return frame(r=rows["r"], c=rows["c"], confidence=confidence.tolist())
+            x = {k: v[~ended] for k, v in x.items()}
     raise RuntimeError(f"copies and variables still differ after {MOST_ROUNDS} rounds")
 
 
@@ -568,7 +615,7 @@ def link_products(records: DataFrame, listings: DataFrame, reference: DataFrame,
     right, others = listing_signatures(listings, fixed)
     left, alike = record_signatures(records, fixed, right, others)
     left = cut(left)
-    pairs = cut(candidates(_classes(left, "r"), _classes(right, "c"), alike))
+    pairs = cut(candidates(_classes(left, "r", "bare", "open"), _classes(right, "c"), alike))
     found = infer(pairs).where(F.col("confidence") > threshold + TOLERANCE)
     rows = left.select("ord", F.xxhash64(*_PARTS).alias("r"))
     listed = right.select("listing_id", F.xxhash64(*_PARTS).alias("c"))

@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,7 @@ class Channel:
     #: States a first search follows at each place.
     STATES = 60
 
-    def __init__(self, words: dict[str, int], grams: dict[str, int]):
+    def __init__(self, words: dict[str, int], grams: dict[str, int], done: dict[str, tuple[str, bool]] | None = None):
         self.words, self.grams = words, grams
         self.to_byte, self.to_char = _tables()
         self.total = max(1, sum(words.values()))
@@ -90,7 +91,7 @@ class Channel:
         self.logs: dict[str, float] = {}
         self.repertoire = [c for c, n in sorted(letters.items(), key=lambda x: -x[1]) if ord(c) > 127 and c != LOST and not 0x80 <= ord(c) < 0xA0]
         self.peaks = self._peaks()
-        self.done: dict[str, tuple[str, bool]] = {}
+        self.done = dict(done or {})
 
     def gram(self, a: str, b: str, c: str) -> float:
         """log P(c | a b): trigram, bigram and single-character frequencies, interpolated."""
@@ -276,11 +277,21 @@ class Channel:
         return text, damaged
 
 
+def corpus_tokens(df: DataFrame, fields: Sequence[str], times: str | None = None) -> DataFrame:
+    """(w, n): the words outside ASCII as they are written, over all rows; a row stands for as many as ``times`` says."""
+    tokens = df.select((F.col(times) if times else F.lit(1)).alias("n"), F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("v")).where(F.col("v").rlike(r"[^\x00-\x7F]"))
+    tokens = tokens.select("n", F.explode(F.split("v", TOKEN)).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
+    return cut(tokens.groupBy("w").agg(F.sum("n").alias("n")))
+
+
 def corpus_model(df: DataFrame, fields: Sequence[str], share: float = 1e-5) -> tuple[dict[str, int], dict[str, int]]:
     """Frequencies of words outside ASCII and of their trigrams, over all rows; both bounded by ``share``."""
-    tokens = df.select(F.explode(F.array(*[F.col(f).cast("string") for f in fields])).alias("v")).where(F.col("v").rlike(r"[^\x00-\x7F]"))
-    tokens = tokens.select(F.explode(F.split("v", TOKEN)).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7F]"))
-    shapes = cut(tokens.select(F.regexp_replace(F.lower("w"), r"\d", "0").alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    return tokens_model(corpus_tokens(df, fields), share)
+
+
+def tokens_model(tokens: DataFrame, share: float = 1e-5) -> tuple[dict[str, int], dict[str, int]]:
+    """The same from (w, n)."""
+    shapes = cut(tokens.select(F.regexp_replace(F.lower("w"), r"\d", "0").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n")))
     total = shapes.agg(F.sum("n")).first()[0] or 0
     words = {r.w: r.n for r in shapes.where((F.col("n") >= share * total) & (F.col("n") > 1)).collect()}
     padded = shapes.select(F.concat(F.lit("^^"), "w", F.lit("$$")).alias("s"), "n")
@@ -288,6 +299,22 @@ def corpus_model(df: DataFrame, fields: Sequence[str], share: float = 1e-5) -> t
     return words, {r.g: r.n for r in grams.where(F.col("n") >= share * total).collect()}
 
 
+def restored_tokens(tokens: DataFrame, model: Broadcast, share: float = 1e-5) -> dict[str, tuple[str, bool]]:
+    """What ``Channel.restore`` gives for the words that make up at least ``share`` of all, at most 1/``share`` of them, each restored once.
+
+    Workers that start from it need not each restore what stands in many names; rarer words they restore as they come.
+    """
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        channel = Channel(*model.value)
+        for batch in batches:
+            yield frame_of([(w, *channel.restore(w)) for w in batch["w"]], ("w", "text", "damaged"))
+
+    often = tokens.where(F.col("n") >= share * total).select("w").repartition(2 * tokens.sparkSession.sparkContext.defaultParallelism, "w")
+    return {r.w: (r.text, r.damaged) for r in often.mapInPandas(run, "w string, text string, damaged boolean").collect()}
+
+
 def restore_text(df: DataFrame, key: str = "ord", fields: Sequence[str] = ("company_raw", "product_name"), share: float = 1e-5) -> DataFrame:
     """Damaged values: (key, field_name, value, restored, fully_restored)."""
     spark = df.sparkSession
